@@ -241,14 +241,23 @@ class Layout:
                 out.append(F.date_format(when, pattern))
             pattern = ""
 
+        def literal(shown: str) -> None:
+            nonlocal pattern
+            quoted = shown.replace("'", "''") + "'"
+            # Two quotes in a row would stand for a quote, so neighbouring literals are merged.
+            pattern = pattern[:-1] + quoted if pattern.endswith("'") else pattern + "'" + quoted
+
         for is_token, piece in self.pieces:
             if not is_token:
-                pattern += "'" + piece.replace("'", "''") + "'"
+                literal(piece)
                 continue
             if piece[0] in ".,":
                 letters = "S" * min(len(piece) - 1, 6)
                 if piece[1] == "0":
-                    pattern += f"'{piece[0]}'{letters}" + "'0'" * (len(piece) - 1 - len(letters))
+                    literal(piece[0])
+                    pattern += letters
+                    if len(piece) - 1 > len(letters):
+                        literal("0" * (len(piece) - 1 - len(letters)))
                     continue
                 flush()
                 out.append(F.rtrim(F.rtrim(F.concat(F.lit(piece[0]), F.date_format(when, letters)), F.lit("0")),
@@ -260,7 +269,7 @@ class Layout:
                 flush()
                 out.append(F.lower(F.date_format(when, "a")))
             elif piece == "MST":
-                pattern += "'UTC'"
+                literal("UTC")
             elif _FIELDS[piece][0] == "zone":
                 flush()
                 shown = colon if ":" in piece else (F.substring(offset, 1, 3) if piece == "-07" else offset)

@@ -15,9 +15,9 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Parts of a matched line are joined with a noncharacter, which no valid text holds.
-# Lines that do hold it take the slower way in LineRegex.parts().
-SEP = "\ufdd0"
+# Parts of a matched line are joined with a control character (one byte, so that Java keeps the
+# text in its compact form). Lines that hold it take the slower way in LineRegex._split().
+SEP = "\x01"
 
 
 class RegexError(ValueError):

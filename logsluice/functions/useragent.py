@@ -46,45 +46,32 @@ SYSTEMS = (
 )
 
 
-def _first_match(ua: Column, families: tuple[Family, ...], value) -> Column:
+def _version(ua: Column, family: Family) -> Column:
+    if not family.version:
+        return F.lit(None).cast("string")
+    found = regex_get(ua, family.version)
+    if family.underscores:
+        found = F.translate(found, "_", ".")
+    if family.drop_zero:
+        found = F.regexp_replace(found, r"\.0\z", "")
+    return found
+
+
+def _first_match(ua: Column, families: tuple[Family, ...]) -> Column:
     chain = F
     for family in families:
         test = F.contains(ua, F.lit(family.marks[0]))
         for mark in family.marks[1:]:
             test = test & F.contains(ua, F.lit(mark))
-        chain = chain.when(test, value(family))
+        chain = chain.when(test, F.struct(F.lit(family.name).alias("family"), _version(ua, family).alias("version")))
     return chain
 
 
-def _name(family: Family) -> Column:
-    return F.lit(family.name)
-
-
 def ua_browser(ua: Column) -> Column:
-    return _first_match(ua, BROWSERS, _name)
+    """struct<family, version> of the browser; NULL when none is known."""
+    return _first_match(ua, BROWSERS)
 
 
 def ua_os(ua: Column) -> Column:
-    return _first_match(ua, SYSTEMS, _name)
-
-
-def _version(ua: Column, families: tuple[Family, ...]) -> Column:
-    def version(family: Family) -> Column:
-        if not family.version:
-            return F.lit(None).cast("string")
-        found = regex_get(ua, family.version)
-        if family.underscores:
-            found = F.translate(found, "_", ".")
-        if family.drop_zero:
-            found = F.regexp_replace(found, r"\.0\z", "")
-        return found
-
-    return _first_match(ua, families, version)
-
-
-def ua_browser_version(ua: Column) -> Column:
-    return _version(ua, BROWSERS)
-
-
-def ua_os_version(ua: Column) -> Column:
-    return _version(ua, SYSTEMS)
+    """struct<family, version> of the operating system; NULL when none is known."""
+    return _first_match(ua, SYSTEMS)

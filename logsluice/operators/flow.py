@@ -100,6 +100,16 @@ def _before(key: LineKey) -> Window:
     return Window.partitionBy(key.source).orderBy(key.block).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _by_slice(rows: DataFrame, key: LineKey) -> DataFrame:
+    """Rows shuffled by slice, once for all readers of this table.
+
+    Keys are never NULL. Saying so here keeps the join with the slice summary from adding the
+    condition to one reader only, which would make the shuffles differ and run twice.
+    """
+    known = F.col(key.source).isNotNull() & F.col(key.block).isNotNull()
+    return rows.filter(known).repartition(*key.slice)
+
+
 def running_count(df: DataFrame, flag: Column, name: str, key: LineKey = LineKey()) -> DataFrame:
     """Number of lines with ``flag`` up to and including each line, per source."""
     counted = flag.cast("bigint")
@@ -184,7 +194,7 @@ def fold_continuations(
     """
     ok = F.coalesce(F.col(OK), F.lit(False))
     text = F.when(~ok, F.concat(F.col(line), F.lit("\\n")))
-    rows = parsed.select(*key.columns, text.alias("_text")).repartition(*key.slice)
+    rows = _by_slice(parsed.select(*key.columns, text.alias("_text")), key)
     size = F.coalesce(F.octet_length("_text"), F.lit(0)).cast("bigint")
     inner = rows.withColumn("_sum", F.sum(size).over(_inside(key))).withColumn(
         "_mark", F.max(F.when(F.col("_text").isNull(), F.col("_sum"))).over(_inside(key))
@@ -233,7 +243,7 @@ def split_records(
     Lines are shuffled once, by slice. Records inside a slice are finished there; only the first
     and the last fragment of each slice meet their other halves in a second, small shuffle.
     """
-    rows = lines.select(*key.columns, F.col(line).alias("_text")).repartition(*key.slice)
+    rows = _by_slice(lines.select(*key.columns, F.col(line).alias("_text")), key)
     begins = F.col("_text").rlike(to_java(start)).cast("bigint")
     inner = rows.withColumn("_in", F.sum(begins).over(_inside(key)))
     piece = F.struct(key.pos, F.col("_text").alias("text"))

@@ -75,12 +75,14 @@ def attach(df: DataFrame, values: Mapping[str, Column], drop: Sequence[str] = ()
 
 def regex_residual_of(parts: Column, groups: int) -> Column:
     """Line text outside the captures, tidied, from the parts of a flat regex."""
-    pieces = []
-    for i in range(2 * groups + 3):
-        part = F.get(parts, F.lit(i))
-        captured = i >= 2 and i % 2 == 0 and i < 2 * groups + 2
-        pieces.append(F.repeat(F.lit(" "), F.octet_length(part)) if captured else part)
-    return trim_white(drop_empty_pairs(drop_space_runs(F.concat(*pieces))))
+    # Parts: lead, plain, capture, plain, ..., capture, plain, tail.
+    blanked = F.transform(
+        parts,
+        lambda part, i: F.when(
+            (i % 2 == 0) & (i > 0) & (i < 2 * groups + 2), F.repeat(F.lit(" "), F.octet_length(part))
+        ).otherwise(part),
+    )
+    return trim_white(drop_empty_pairs(drop_space_runs(F.array_join(blanked, ""))))
 
 
 def _nested_residual(pattern: str) -> Callable[[Column], Column]:
@@ -131,7 +133,7 @@ def parse_regex(
     ok = F.size(parts) > 1
     for i, name in enumerate(regex.names):
         at = 2 * (i + 1) if flat else i + 1
-        values[name] = F.when(ok, null_token(F.get(parts, F.lit(at))))
+        values[name] = null_token(F.get(parts, F.lit(at)))  # NULL beyond the one part of a reject
     if flat:
         values["log_line"] = F.when(ok, regex_residual_of(parts, groups))
     elif residual:

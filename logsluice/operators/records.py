@@ -19,7 +19,7 @@ from logsluice.functions.scalars import (
     to_float,
     to_integer,
 )
-from logsluice.functions.useragent import ua_browser, ua_browser_version, ua_os, ua_os_version
+from logsluice.functions.useragent import ua_browser, ua_os
 from logsluice.spec import (
     BOOL,
     DEFAULT_FORMAT,
@@ -49,21 +49,20 @@ def response_millis(parsed: DataFrame) -> DataFrame:
 def enrich_ua(parsed: DataFrame) -> DataFrame:
     """Browser and system columns from ``user_agent``, where the parser left them empty."""
     columns = set(parsed.columns)
-    if "user_agent" in columns:
-        ua = F.coalesce(F.col("user_agent"), F.lit(""))
-    else:
-        ua = F.lit("")
+    wanted = [
+        (name, version, of)
+        for name, version, of in (("browser", "browser_ver", ua_browser), ("os", "os_ver", ua_os))
+        if name in columns and "user_agent" in columns
+    ]
+    if not wanted:
+        return parsed
+    found = parsed.withColumns({f"_{n}": F.when(F.col(n).isNull(), of(F.col("user_agent"))) for n, _, of in wanted})
     changes: dict[str, Column] = {}
-    for name, version, family_of, version_of in (
-        ("browser", "browser_ver", ua_browser, ua_browser_version),
-        ("os", "os_ver", ua_os, ua_os_version),
-    ):
-        if name not in columns or "user_agent" not in columns:
-            continue
+    for name, version, _ in wanted:
         kept = F.col(version) if version in columns else F.lit(None).cast("string")
-        changes[version] = F.when(F.col(name).isNull(), version_of(ua)).otherwise(kept)
-        changes[name] = F.coalesce(F.col(name), family_of(ua))
-    return parsed.withColumns(changes) if changes else parsed
+        changes[version] = F.when(F.col(name).isNull(), F.col(f"_{name}")["version"]).otherwise(kept)
+        changes[name] = F.coalesce(F.col(name), F.col(f"_{name}")["family"])
+    return found.withColumns(changes).drop(*(f"_{n}" for n, _, _ in wanted))
 
 
 def resolve_time(parsed: DataFrame, layout: str) -> DataFrame:
@@ -116,7 +115,11 @@ def to_record(
     for attr in fmt:
         check_attribute(attr)
         text = F.col(attr.key) if attr.key in have else F.lit(None).cast("string")
-        columns.append(typed(attr, text, strict).alias(attr.key))
+        value = typed(attr, text, strict)
+        if attr.key == "event_datetime" and attr.type == TIMESTAMP and not attr.reformats and EVENT_TIME in have:
+            # Already read: the text is only read again where it is the fallback.
+            value = F.coalesce(F.date_trunc("millisecond", F.col(EVENT_TIME)), value)
+        columns.append(value.alias(attr.key))
     return parsed.select(*columns)
 
 

@@ -28,7 +28,7 @@ from logsluice.functions.scalars import (
     to_float,
     to_integer,
 )
-from logsluice.functions.useragent import ua_browser, ua_browser_version, ua_os, ua_os_version
+from logsluice.functions.useragent import ua_browser, ua_os
 from logsluice.operators.delivery import (
     assign_batches,
     collect_batches,
@@ -230,10 +230,10 @@ def ua_functions(spark, sf_dir):
     ua = user_agent()
     return events(spark, sf_dir).select(
         "event_id",
-        ua_browser(ua).alias("browser"),
-        ua_browser_version(ua).alias("browser_ver"),
-        ua_os(ua).alias("os"),
-        ua_os_version(ua).alias("os_ver"),
+        ua_browser(ua)["family"].alias("browser"),
+        ua_browser(ua)["version"].alias("browser_ver"),
+        ua_os(ua)["family"].alias("os"),
+        ua_os(ua)["version"].alias("os_ver"),
     )
 
 
