@@ -34,12 +34,13 @@ RECORD_PART_BYTES = 64 << 20
 MAX_BROADCAST_ROWS = 500_000
 
 
-def bounded_broadcast(small: DataFrame, bound: DataFrame | None = None, max_rows: int = MAX_BROADCAST_ROWS):
+def bounded_broadcast(small: DataFrame, bound: DataFrame | None = None, max_rows: int | None = None) -> DataFrame:
     """Hint a broadcast when ``bound`` (default: the table itself) has at most ``max_rows`` rows.
 
     ``bound`` is a table known to have at least as many rows, and cheap to count. A larger table
     is left to a shuffle join, where adaptive execution splits skewed keys.
     """
+    max_rows = MAX_BROADCAST_ROWS if max_rows is None else max_rows
     counted = (small if bound is None else bound).limit(max_rows + 1).count()
     return F.broadcast(small) if counted <= max_rows else small
 
