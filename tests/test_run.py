@@ -54,7 +54,7 @@ def test_csv_run_with_rejects(spark, logs):
     rows = read_csv(logs / "out")
     assert len(rows) == 23 and {len(r) for r in rows} == {20}
     app = next(r for r in rows if r[6] == "WARN")
-    assert app[3] == "2020-01-01T00:00:00.5Z" and app[19] == '{"x":1}' and app[4] == ""
+    assert app[3] == "2020-01-01T00:00:00.5Z" and app[19] == '{"x":1}' and app[4] == "\\N"
     web = next(r for r in rows if r[10] == "30")
     assert web[11] == "500" and web[13:17] == ["aws-elb", "1.0", "aws-elb", "1.0"] and web[5].endswith("b.log")
     rejects = {(r.file.rsplit("/", 1)[1], r.line) for r in spark.read.parquet(str(logs / "rejects")).collect()}

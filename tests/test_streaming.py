@@ -4,7 +4,6 @@ import os
 import random
 import time
 
-import pytest
 from pyspark.sql import functions as F
 
 from logsluice.operators.delivery import dedup_stream
@@ -25,70 +24,64 @@ def log_text(seed, n=300):
     return "".join(("OK info" if rnd.random() < 0.4 else "trace ü") + f" {i}\n" for i in range(n))
 
 
-def feed(spark, tmp_path, build, schema, text, steps=6):
-    """Append the text piece by piece, running the stream after each; then wait for idle buffers."""
+def feed(spark, tmp_path, build, schema, text, complete, steps=3):
+    """Append the text piece by piece while the stream runs; stop once the output is complete.
+
+    A query with timeouts never runs out of work, so the output is watched instead.
+    """
     folder = tmp_path / "in"
     folder.mkdir()
     data, out = text.encode(), str(tmp_path / "out")
-    stream = build(stream_lines(spark, str(folder), "log", range_bytes=700))
     query = (
-        stream.writeStream.outputMode("append").format("parquet").option("path", out)
-        .option("checkpointLocation", str(tmp_path / "cp")).start()
+        build(stream_lines(spark, str(folder), "log", range_bytes=700))
+        .writeStream.outputMode("append").format("parquet").option("path", out)
+        .option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="300 milliseconds").start()
     )
     try:
         for i in range(steps):
             with open(folder / "a.log", "ab") as f:
                 f.write(data[len(data) * i // steps : len(data) * (i + 1) // steps])
-            query.processAllAvailable()
-        end = time.time() + 60
-        rows, want = [], None
-        while time.time() < end:
-            # A later line lets the timeout be noticed; it goes to another file.
-            with open(folder / "tick.log", "ab") as f:
-                f.write(b"OK tick\n")
-            query.processAllAvailable()
-            rows = [r for r in spark.read.schema(schema).parquet(out).collect() if r.file.endswith("a.log")]
-            if len(rows) == want:
-                break
-            want = len(rows)
-            time.sleep(1.5)
+            time.sleep(2)
+        rows, end = [], time.time() + 40
+        while time.time() < end and query.isActive and len(rows) < complete:
+            time.sleep(1)
+            if os.path.isdir(os.path.join(out, "_spark_metadata")):
+                rows = spark.read.schema(schema).parquet(out).collect()
+        assert query.exception() is None
         return rows
     finally:
         query.stop()
 
 
-@pytest.mark.parametrize("limit", [65_535, 40])
-def test_fold_stream_equals_batch(spark, tmp_path, limit):
+def as_batch(spark, text):
+    rows, at = [], 0
+    for line in text.splitlines():
+        rows.append(("a.log", 0, at, line))
+        at += len(line.encode()) + 1
+    return spark.createDataFrame(rows, "file string, block_start bigint, byte_pos bigint, line string")
+
+
+def test_fold_stream_equals_batch(spark, tmp_path):
     text = log_text(1)
+    parsed = parse_regex(as_batch(spark, text), REGEX, fmt=(), residual=False)
+    want = sorted((r.byte_pos, r.log_line, r.lines, r.bytes) for r in fold_continuations(parsed, BYTE_KEY, limit=40).collect())
 
     def build(lines):
-        return fold_continuations_stream(parse_regex(lines, REGEX, fmt=(), residual=False), limit, idle_ms=800)
+        return fold_continuations_stream(parse_regex(lines, REGEX, fmt=(), residual=False), 40, idle_ms=10_000)
 
     schema = "file string, byte_pos bigint, log_line string, lines bigint, bytes bigint"
-    got = feed(spark, tmp_path, build, schema, text)
-    rows, at = [], 0
-    for line in text.splitlines():
-        rows.append(("a.log", 0, at, line))
-        at += len(line.encode()) + 1
-    batch = spark.createDataFrame(rows, "file string, block_start bigint, byte_pos bigint, line string")
-    parsed = parse_regex(batch, REGEX, fmt=(), residual=False)
-    want = fold_continuations(parsed, BYTE_KEY, limit=limit).collect()
-    assert sorted((r.byte_pos, r.log_line, r.lines, r.bytes) for r in got) == sorted(
-        (r.byte_pos, r.log_line, r.lines, r.bytes) for r in want
-    )
+    got = feed(spark, tmp_path, build, schema, text, len(want))
+    assert sorted((r.byte_pos, r.log_line, r.lines, r.bytes) for r in got) == want
 
 
 def test_split_stream_equals_batch(spark, tmp_path):
     text = log_text(2)
+    want = sorted((r.byte_pos, r.part, r.line) for r in split_records(as_batch(spark, text), "^OK", BYTE_KEY).collect())
     schema = "file string, byte_pos bigint, part bigint, line string"
-    got = feed(spark, tmp_path, lambda lines: split_records_stream(lines, "^OK", idle_ms=3_000), schema, text)
-    rows, at = [], 0
-    for line in text.splitlines():
-        rows.append(("a.log", 0, at, line))
-        at += len(line.encode()) + 1
-    batch = spark.createDataFrame(rows, "file string, block_start bigint, byte_pos bigint, line string")
-    want = split_records(batch, "^OK", BYTE_KEY).collect()
-    assert sorted((r.byte_pos, r.part, r.line) for r in got) == sorted((r.byte_pos, r.part, r.line) for r in want)
+    got = feed(
+        spark, tmp_path, lambda lines: split_records_stream(lines, "^OK", idle_ms=10_000), schema, text, len(want)
+    )
+    assert sorted((r.byte_pos, r.part, r.line) for r in got) == want
 
 
 def test_fan_out_computes_once_and_replays_safely(spark, tmp_path):
