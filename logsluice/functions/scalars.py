@@ -53,7 +53,7 @@ def fit_text(text: Column, length: int = 0) -> Column:
     whole = F.make_valid_utf8(text)
     if length > 0:
         whole = F.substring(whole, 1, length)
-    return F.when(F.contains(whole, F.lit("\x00")), F.translate(whole, "\x00", "")).otherwise(whole)
+    return F.when(F.contains(text, F.lit("\x00")), F.translate(whole, "\x00", "")).otherwise(whole)
 
 
 def fit_bytes(text: Column, size: int) -> Column:

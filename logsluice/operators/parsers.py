@@ -145,29 +145,31 @@ def parse_regex(
 # -- JSON -------------------------------------------------------------------------
 
 
-def json_object(text: Column) -> Column:
-    """Top-level JSON object as map<string, variant>; NULL for anything else.
+def with_object(lines: DataFrame, line: str) -> DataFrame:
+    """Add ``_object``, the top-level JSON object as map<string,variant>; NULL for anything else.
 
     The text is read as the only element of an array, so that text after the object is an error.
     """
-    whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    alone = F.try_variant_get(whole, "$[1]", "variant").isNull()
-    return F.when(alone, F.try_variant_get(whole, "$[0]", "map<string,variant>"))
+    whole = F.try_parse_json(F.concat(F.lit("["), F.col(line), F.lit("]")))
+    read = compute_once(lines, "_array", F.try_variant_get(whole, "$", "array<variant>"))
+    only = F.when(F.size("_array") == 1, F.try_variant_get(F.col("_array")[0], "$", "map<string,variant>"))
+    return compute_once(read, "_object", only).drop("_array")
 
 
-def variant_text(value: Column) -> Column:
-    """JSON value as attribute text: null and null tokens are NULL, numbers have no exponent or ".0"."""
-    text = value.cast("string")
-    kind = F.schema_of_variant(value)
+def variant_text(value: Column, text: Column) -> Column:
+    """Attribute text of a JSON value, given the value and its string cast.
+
+    null and null tokens are NULL, numbers have no exponent or ".0".
+    """
     number = F.when(
         F.contains(text, F.lit("E")),
         F.regexp_replace(text.try_cast("decimal(38,18)").cast("string"), r"\.?0+$", ""),
     ).otherwise(F.regexp_replace(text, r"\.0$", ""))
-    return (
-        F.when(kind == "STRING", null_token(text))
-        .when(kind.startswith("DOUBLE") | kind.startswith("DECIMAL"), number)
-        .otherwise(text)
-    )
+    # Only texts that might be such a number are asked for their type.
+    maybe = F.endswith(text, F.lit(".0")) | F.contains(text, F.lit("E"))
+    kind = F.schema_of_variant(value)
+    is_number = kind.isin("DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+    return F.when(F.when(maybe, is_number).otherwise(F.lit(False)), number).otherwise(null_token(text))
 
 
 def parse_json(
@@ -179,17 +181,22 @@ def parse_json(
     residual: bool = True,
 ) -> DataFrame:
     """``mappings`` says which JSON key feeds which attribute; the other keys stay as JSON in ``log_line``."""
-    cut = compute_once(lines, "_object", json_object(F.col(line)))
+    cut = with_object(lines, line)
     obj = F.col("_object")
+    # Values and their texts are columns of their own, so that each is computed once.
+    places = {source: i for i, source in enumerate(dict.fromkeys(mappings.values()))}
+    cut = cut.withColumns({f"_v{i}": F.try_element_at(obj, F.lit(source)) for source, i in places.items()})
+    cut = cut.withColumns({f"_t{i}": F.col(f"_v{i}").cast("string") for i in places.values()})
     values = default_values(fmt, identity)
     for target, source in mappings.items():
-        found = variant_text(F.try_element_at(obj, F.lit(source)))
-        if target in values:
-            found = F.when(F.map_contains_key(obj, F.lit(source)), found).otherwise(values[target])
-        values[target] = found
+        value, text = F.col(f"_v{places[source]}"), F.col(f"_t{places[source]}")
+        found = variant_text(value, text)
+        # A JSON null is a value here, an absent key is not.
+        values[target] = F.when(value.isNotNull(), found).otherwise(values[target]) if target in values else found
     if residual:
         values["log_line"] = json_residual(obj, mappings)
-    return attach(cut, {**values, OK: obj.isNotNull()}, drop=["_object"])
+    helpers = [f"_{kind}{i}" for i in places.values() for kind in "vt"]
+    return attach(cut, {**values, OK: obj.isNotNull()}, drop=["_object", *helpers])
 
 
 def json_residual(obj: Column, mappings: Mapping[str, str]) -> Column:
@@ -201,7 +208,7 @@ def json_residual(obj: Column, mappings: Mapping[str, str]) -> Column:
 
 def parse_json_raw(lines: DataFrame, fmt: RecordFormat = DEFAULT_FORMAT, line: str = "line") -> DataFrame:
     """Top-level string values become attributes, without defaults; ``log_line`` is the whole line."""
-    cut = compute_once(lines, "_object", json_object(F.col(line)))
+    cut = with_object(lines, line)
 
     def string_value(key: str) -> Column:
         value = F.try_element_at(F.col("_object"), F.lit(key))

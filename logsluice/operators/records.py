@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logsluice.functions.layouts import ISO_8601, iso_ts, parse_ts, reformat_ts
 from logsluice.functions.scalars import (
     NULL_MARK,
+    NULL_TOKENS,
     fit_text,
     null_token,
     plain_number,
@@ -97,7 +98,7 @@ def typed(attr: Attribute, text: Column, strict: bool = False) -> Column:
         return to_double(text)
     if attr.type == BOOL:
         return to_bool(text)
-    fitted = fit_text(null_token(text), attr.length)
+    fitted = F.when(~text.isin(*NULL_TOKENS), fit_text(text, attr.length))
     if attr.type != TIMESTAMP:
         return fitted
     if not attr.reformats:
