@@ -62,6 +62,17 @@ def limit_age(timed: DataFrame, cutoff: Column, time: str = EVENT_TIME) -> DataF
     return timed.filter(F.col(time).isNull() | (F.col(time) >= cutoff))
 
 
+def first_places(lines: DataFrame, key: LineKey) -> DataFrame:
+    """First line of every source: source, _block, _pos.
+
+    Two steps with plain numbers, which hash-aggregate; a minimum of structs would sort all lines.
+    """
+    by_slice = lines.groupBy(*key.slice).agg(F.min(key.pos).alias("_pos"))
+    return by_slice.groupBy(key.source).agg(
+        F.min(key.block).alias("_block"), F.min_by("_pos", key.block).alias("_pos")
+    )
+
+
 def resume_from(
     timed: DataFrame,
     cursors: DataFrame,
@@ -74,19 +85,20 @@ def resume_from(
 
     After that line everything passes, earlier times too. Sources without a cursor pass whole.
     ``equal_times`` also resumes at a line with the cursor's own time. ``cursors`` has columns
-    (source, last_event_ts). The first line is a map-side combined minimum with one row per
-    cursor, so the broadcast size is checked on the cursor table itself.
+    (source, last_event_ts). The first lines have at most one row per cursor, so the size of both
+    broadcasts is checked on the cursor table itself.
     """
     marks = cursors.select(F.col(cursors.columns[0]).alias(key.source), F.col("last_event_ts").alias("_cursor"))
     late = F.col(time) >= F.col("_cursor") if equal_times else F.col(time) > F.col("_cursor")
     if cutoff is not None:
         late = late & (F.col(time) >= cutoff)
     known = timed.select(*key.columns, time).join(bounded_broadcast(marks, marks), key.source)
-    first = known.filter(late).groupBy(key.source).agg(F.min(key.place()).alias("_first"))
+    first = first_places(known.filter(late), key)
     plan = marks.select(key.source).distinct().join(first, key.source, "left").withColumn("_held", F.lit(True))
     joined = timed.join(bounded_broadcast(plan, marks), key.source, "left")
-    passes = F.col("_held").isNull() | (key.place() >= F.col("_first"))
-    return joined.filter(F.coalesce(passes, F.lit(False))).drop("_first", "_held")
+    block = F.col(key.block)
+    reached = (block > F.col("_block")) | ((block == F.col("_block")) & (F.col(key.pos) >= F.col("_pos")))
+    return joined.filter(F.col("_held").isNull() | F.coalesce(reached, F.lit(False))).drop("_block", "_pos", "_held")
 
 
 # -- prefix scans -----------------------------------------------------------------
@@ -143,8 +155,9 @@ def carry_app_ver(
     found = regex_get(F.col(line), to_java(VERSION_MARKER))
     marked = lines.withColumn("_ver", found)
     inner = marked.withColumn("_in", F.last("_ver", ignorenulls=True).over(_inside(key)))
-    last = marked.groupBy(*key.slice).agg(F.max_by("_ver", F.when(F.col("_ver").isNotNull(), F.col(key.pos))).alias("_l"))
-    carried = last.select(*key.slice, F.last("_l", ignorenulls=True).over(_before(key)).alias("_base"))
+    marker = F.when(F.col("_ver").isNotNull(), F.struct(key.pos, "_ver"))
+    last = marked.groupBy(*key.slice).agg(F.array_max(F.collect_list(marker))["_ver"].alias("_last"))
+    carried = last.select(*key.slice, F.last("_last", ignorenulls=True).over(_before(key)).alias("_base"))
     default = F.lit(configured) if isinstance(configured, str) else configured
     version = F.coalesce(F.col("_in"), F.col("_base"), default)
     return inner.join(carried, key.slice).withColumn(name, version).drop("_ver", "_in", "_base")

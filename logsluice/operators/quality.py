@@ -15,14 +15,14 @@ def file_cursors(
 ) -> DataFrame:
     """Last seen (not latest) event time of every source: source, last_event_ts, app_ver.
 
-    Lines without a time do not count. One row per source leaves each task.
+    Lines without a time do not count. One row per slice leaves each task.
     """
     seen = timed.filter(F.col(time).isNotNull())
     version = F.lit(app_ver) if isinstance(app_ver, str) else app_ver
+    # Last line of each slice, then of each source: plain numbers hash-aggregate, structs would sort.
+    by_slice = seen.groupBy(*key.slice).agg(F.max_by(time, key.pos).alias("_ts"))
     return (
-        seen.groupBy(key.source)
-        .agg(F.max_by(time, key.place()).alias("last_event_ts"))
-        .withColumn("app_ver", version)
+        by_slice.groupBy(key.source).agg(F.max_by("_ts", key.block).alias("last_event_ts")).withColumn("app_ver", version)
     )
 
 

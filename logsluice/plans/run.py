@@ -48,12 +48,16 @@ def plan_lines(
     cutoff: Column | None = None,
     cursors: DataFrame | None = None,
     follow_version: bool = False,
+    files: int | None = None,
 ) -> SourcePlan:
-    """Lines of a source -> records, in the order of gates: header, parse, resume, age, rejects."""
+    """Lines of a source -> records, in the order of gates: header, parse, resume, age, rejects.
+
+    ``files`` is the number of files behind the lines, where known.
+    """
     if spec.front_split_regex:
         lines = split_records(lines, spec.front_split_regex, key).drop("part")
     if spec.skip_header_line:
-        lines = skip_header(lines, key)
+        lines = skip_header(lines, key, files)
     version: str | Column = spec.app_ver
     if follow_version:
         lines = carry_app_ver(lines, spec.app_ver, key, name=MARKED)
@@ -77,7 +81,9 @@ def plan_lines(
 
 def plan_source(spark: SparkSession, spec: SourceSpec, fmt: RecordFormat, **options) -> SourcePlan:
     """The same for the files a source names."""
-    return plan_lines(read_lines(spark, spec.path, spec.extension), spec, fmt, **options)
+    lines = read_lines(spark, spec.path, spec.extension)
+    files = len(lines.inputFiles()) if spec.skip_header_line else None
+    return plan_lines(lines, spec, fmt, files=files, **options)
 
 
 def check_specs(sources: Sequence[SourceSpec], sinks: Mapping[str, SinkSpec]) -> None:

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from logsluice.functions.layouts import ISO_8601, parse_ts
+from logsluice.operators.flow import first_places
 from logsluice.spec import LineKey
 
+# First lines of more files than this are not broadcast.
+MAX_BROADCAST_FILES = 100_000
+
 CURSOR_SCHEMA = "file string, last_event_ts timestamp, app_ver string"
 
 
@@ -60,18 +64,18 @@ def number_in_batch(batch: DataFrame) -> DataFrame:
     return batch.withColumn("mid", F.monotonically_increasing_id())
 
 
-def skip_header(lines: DataFrame, key: LineKey = LineKey()) -> DataFrame:
+def skip_header(lines: DataFrame, key: LineKey = LineKey(), sources: int | None = None) -> DataFrame:
     """Drop the first line of every file.
 
-    The first block of a file holds its first line, so one small aggregate by file
-    finds it; the join is on (file, block) and drops at most one line per file.
+    A map-side combined minimum finds the first lines, one row per file. With the number of
+    ``sources`` known to be small they are broadcast; otherwise the join is by (file, block,
+    position), where no key is frequent.
     """
-    first = lines.groupBy(key.source).agg(F.min(key.place()).alias("_first"))
-    first = first.select(
-        key.source,
-        F.col("_first")[key.block].alias(key.block),
-        F.col("_first")[key.pos].alias(key.pos),
+    first = first_places(lines, key).select(
+        key.source, F.col("_block").alias(key.block), F.col("_pos").alias(key.pos)
     )
+    if sources is not None and sources <= MAX_BROADCAST_FILES:
+        first = F.broadcast(first)
     return lines.join(first, key.columns, "left_anti")
 
 

@@ -81,10 +81,6 @@ class LineKey:
     def columns(self) -> list[str]:
         return [self.source, self.block, self.pos]
 
-    def place(self) -> Column:
-        """Struct that orders the lines of a source."""
-        return F.struct(F.col(self.block), F.col(self.pos))
-
 
 @dataclass(frozen=True)
 class Identity:

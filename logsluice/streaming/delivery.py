@@ -7,6 +7,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from logsluice.session import checkpoint_dir
+
 BatchWriter = Callable[[DataFrame, int], None]
 
 
@@ -29,9 +31,14 @@ def fan_out(writers: Mapping[str, BatchWriter]) -> BatchWriter:
 
 
 def deliver(
-    stream: DataFrame, writers: Mapping[str, BatchWriter], checkpoint: str, every: str | None = None
+    stream: DataFrame, writers: Mapping[str, BatchWriter], name: str, checkpoint: str = "", every: str | None = None
 ) -> StreamingQuery:
-    """Start delivering a stream. ``every`` is the flush interval; None takes what is there and stops."""
-    writer = stream.writeStream.foreachBatch(fan_out(writers)).option("checkpointLocation", checkpoint)
+    """Start delivering a stream. ``every`` is the flush interval; None takes what is there and stops.
+
+    Progress is kept in ``checkpoint``, by default a folder of this name in the cluster's shared
+    checkpoint folder.
+    """
+    folder = checkpoint or f"{checkpoint_dir(stream.sparkSession)}/{name}"
+    writer = stream.writeStream.queryName(name).foreachBatch(fan_out(writers)).option("checkpointLocation", folder)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return writer.start()

@@ -97,7 +97,7 @@ def test_fan_out_computes_once_and_replays_safely(spark, tmp_path):
         seen.append((batch_id, batch.count()))
 
     stream = spark.readStream.schema("n bigint").parquet(src)
-    query = deliver(stream, {"files": files, "count": count}, str(tmp_path / "cp"))
+    query = deliver(stream, {"files": files, "count": count}, "fan", str(tmp_path / "cp"))
     query.awaitTermination(60)
     assert seen == [(0, 10)]
     fan_out({"files": files})(spark.read.parquet(src), 0)  # the same batch again
