@@ -88,7 +88,7 @@ def assign_batches(
     """Number the delivery batches 0, 1, ... of each shard, in order.
 
     Batches are cut one after the other, so a shard must be a bounded slice, such as the (file,
-    block) of the line key; the end of a shard closes its last batch, as the reference's timer
+    block) of the line key; the end of a shard closes its last batch, as a flush timer
     does every few seconds. Rows go through Arrow unchanged and only a small carry is kept
     between them, so a shard need not fit in memory.
     """

@@ -200,7 +200,7 @@ def fold_continuations(
 
     Result: key columns of the first line, ``log_line``, ``lines``, ``bytes``. In line order the
     row stands before the next parsed line. A chunk is closed once it has ``limit`` bytes, and
-    every ``flush_bytes`` of a run (in place of the reference's flush by the clock).
+    every ``flush_bytes`` of a run (in place of a flush by the clock).
 
     Parsed lines take part with their key only, so the shuffle by slice carries the text of
     unparseable lines and nothing else of size. A run is named by the bytes of unparseable

@@ -72,7 +72,7 @@ def test_batches_collect_in_order_and_oversize(spark):
     assert got[0].batch_bytes == sum(len(t) + 1 for t in got[0].records)
 
 
-def test_csv_text_equals_reference_quoting(spark):
+def test_csv_text_quotes_only_where_needed(spark):
     texts = ["plain", "a,b", 'q"q', " lead", "two\nlines", "", "\\.", "\\N", "tail ", "\ttab", "cr\r", None, "\xa0nb"]
     fmt = (Attribute("a"), Attribute("b"))
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "i int, a string, b string")
