@@ -45,7 +45,8 @@ def drop_empty_pairs(text: Column) -> Column:
 
 def seconds_to_ms(seconds: Column) -> Column:
     """Milliseconds with two decimals as text; NULL unless the input is a number."""
-    return F.format_string("%.2f", to_double(seconds) * 1000)
+    millis = to_double(seconds) * 1000
+    return F.when(millis.isNotNull(), F.format_string("%.2f", millis))
 
 
 def fit_text(text: Column, length: int = 0) -> Column:
@@ -84,7 +85,10 @@ def to_bool(text: Column) -> Column:
 
 
 def plain_number(number: Column) -> Column:
-    """Shortest decimal text of a float or double, never with an exponent."""
+    """Decimal text of a float or double that reads back the same, never with an exponent.
+
+    It is the shortest one where the JVM prints the shortest digits (Java 19 and later).
+    """
     text = number.cast("string")
     mantissa = F.substring_index(text, "E", 1)
     power = F.substring_index(text, "E", -1).try_cast("int")

