@@ -72,10 +72,10 @@ def prefix_length(n: int) -> int:
     return n - -(-DOWN * n // UP) + 1
 
 
-def index_rows(docs: DataFrame, heavy: np.ndarray, n: int) -> DataFrame:
+def index_rows(docs: DataFrame, heavy: np.ndarray, ranks: np.ndarray, n: int) -> DataFrame:
     """(token, doc_id, n, rest): prefix entries; rest counts the tokens after it in the set.
 
-    heavy: frequent tokens, sorted (50,000 at most). Sets that a task has met before are left to the exact groups.
+    heavy: frequent tokens, sorted (100,000 at most), with ranks by count; they come last. Sets that a task has met before are left to the exact groups.
     """
     names = ["token", "doc_id", "n", "rest"]
 
@@ -90,9 +90,11 @@ def index_rows(docs: DataFrame, heavy: np.ndarray, n: int) -> DataFrame:
                 if not k or doc is None or sign in met:
                     continue
                 met.add(sign)
-                at = np.searchsorted(heavy, tokens)
-                is_heavy = heavy[np.minimum(at, len(heavy) - 1)] == tokens if len(heavy) else np.zeros(k, bool)
-                ordered = np.concatenate([tokens[~is_heavy], tokens[is_heavy]])[: prefix_length(k)]
+                rank = np.zeros(k, np.int64)
+                if len(heavy):
+                    at = np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)
+                    rank = np.where(heavy[at] == tokens, ranks[at], 0)
+                ordered = tokens[np.argsort(rank, kind="stable")[: prefix_length(k)]]
                 out[0].append(ordered.view(np.int64))
                 out[1].append(np.full(len(ordered), doc, np.int64))
                 out[2].append(np.full(len(ordered), k, np.int32))
@@ -279,10 +281,11 @@ def jaccard_components(docs: DataFrame, n: int = 5) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = written(set_rows(docs, n), "sets")
     sets = rows.where("token is null")
-    heavy = rows.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(50_000)
-    heavy_tokens = np.unique(heavy.toArrow().column("token").to_numpy()).view(np.uint64)
-    heavy_tokens.sort()
-    lists = written(index_lists(index_rows(docs, heavy_tokens, n)), "lists")
+    top = rows.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(100_000).toArrow()
+    heavy, counts = top.column("token").to_numpy().view(np.uint64), top.column("count").to_numpy()
+    order = np.argsort(heavy)
+    heavy, ranks = heavy[order], counts[order]
+    lists = written(index_lists(index_rows(docs, heavy, ranks, n)), "lists")
 
     full = sets.where("n_shingles > 0 and doc_id is not null")
     least = full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("a"), F.count("*").alias("rows")).where("rows > 1")
