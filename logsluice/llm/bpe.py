@@ -10,16 +10,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsluice.llm.blocks import Numbers, documents_of, in_blocks, word_rows
-from logsluice.llm.common import column
+from logsluice.llm.blocks import Numbers, assembled, by_bucket, documents_of, in_blocks, numbered, packed_bytes, unpacked_bytes
 from logsluice.llm.pretokens import Chunks, compiled
 
 
@@ -49,21 +46,21 @@ def numbering(pattern: str):
     return make
 
 
-def encoded_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(block, number, ids) for rows with a word: rows of a word meet, and it is encoded once."""
+def encoded_words(blocks: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Ids of the words of each block; a word is encoded once, where its rows meet."""
+    own: list[tiktoken.Encoding] = []
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoding(path, pattern)
-        last, ids = None, b""
-        for batch in batches:
-            out = []
-            for word in column(batch, "word"):
-                if word != last:
-                    last, ids = word, np.array(own.encode_ordinary(word.decode()), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("number"), pa.array(out, pa.binary())], names=["block", "number", "ids"])
+    def solve(_: int, rows: list) -> tuple[list[bytes], None]:
+        if not own:
+            own.append(encoding(path, pattern))
+        known: dict[bytes, bytes] = {}
+        for words, _ in rows:
+            for word in words:
+                if word not in known:
+                    known[word] = np.array(own[0].encode_ordinary(word.decode()), "<u4").tobytes()
+        return [packed_bytes([known[w] for w in words]) for words, _ in rows], None
 
-    return words.select("word", "block", "number").repartition("word").sortWithinPartitions("word").mapInArrow(task, "block long, number int, ids binary")
+    return by_bucket(blocks, solve)
 
 
 def decoded(rows: DataFrame, key: str, ids: str, tokens: DataFrame) -> DataFrame:
@@ -81,23 +78,18 @@ def decoded(rows: DataFrame, key: str, ids: str, tokens: DataFrame) -> DataFrame
     return parts.select(key, whole.alias("bytes"))
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str) -> tuple[DataFrame, DataFrame]:
-    """(blocks of documents, ids per block and word) that `assembled` puts together."""
-    blocks = in_blocks(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), numbering(pattern))
-    return blocks, encoded_words(word_rows(blocks), path, pattern).repartition("block")
-
-
-def assembled(blocks: DataFrame, words: DataFrame, function, schema: str) -> DataFrame:
-    """function(documents, ids of each word number) -> columns, for each block."""
+def encode_documents(docs: DataFrame, path: str, pattern: str, put, schema: str) -> DataFrame:
+    """put(documents, ids of each word number) -> columns, for each block of documents."""
+    # One exchange by block; both of its readers take all its columns, so Spark reuses it.
+    blocks = in_blocks(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), numbering(pattern)).repartition("block")
 
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
-        number = right.column("number").to_numpy()
-        ids = [b""] * (int(number.max()) + 1 if len(number) else 0)
-        for k, x in zip(number.tolist(), column(right, "ids"), strict=True):
-            ids[k] = x
-        return function(documents_of(left), ids)
+        ids: dict[int, bytes] = {}
+        for numbers, _, payload in numbered(left, right):
+            ids.update(zip(numbers.tolist(), unpacked_bytes(payload), strict=True))
+        return put(documents_of(left), [ids[k] for k in range(len(ids))])
 
-    return blocks.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(task, schema)
+    return assembled(blocks, encoded_words(blocks, path, pattern), task, schema)
 
 
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -110,7 +102,7 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             out.append(np.frombuffer(b"".join([ids[k] for k in numbers.tolist()]), "<u4").astype(np.int32))
         return pa.table({"doc_id": pa.array(names, pa.int64()), "ids": pa.array(out, pa.list_(pa.int32()))})
 
-    return assembled(*encode_documents(docs, path, pattern), put, "doc_id long, ids array<int>")
+    return encode_documents(docs, path, pattern, put, "doc_id long, ids array<int>")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -136,4 +128,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             out[3].append(hashlib.sha256(b"".join([parts[k] for k in at])).hexdigest())
         return pa.table({"doc_id": pa.array(out[0], pa.int64()), "n_tokens": pa.array(out[1], pa.int64()), "ids_sha256": pa.array(out[2], pa.string()), "decoded_sha256": pa.array(out[3], pa.string())})
 
-    return assembled(*encode_documents(docs, path, pattern), put, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encode_documents(docs, path, pattern, put, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
