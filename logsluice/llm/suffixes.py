@@ -127,6 +127,7 @@ def group_matches(lefts: list[bytes], rights: list[bytes], length: int) -> Itera
     rank[order] = np.arange(n)
     left_order = np.array(deep_shallow(lefts))
     left_lcp = prefixes(left_order.tolist(), lefts)
+    most_d, most_r = np.zeros(n, np.int64), np.zeros(n, np.int64)
     stack = [(0, n)]
     while stack:
         a, b = stack.pop()
@@ -145,8 +146,12 @@ def group_matches(lefts: list[bytes], rights: list[bytes], length: int) -> Itera
             pair = np.minimum.reduceat(lcp, at[:-1])
             pair[-1] = lcp[at[-2] : at[-1]].min()
         best = np.maximum(np.append(pair, 0), np.insert(pair, 0, 0))
-        for k, r in zip(members[best + d >= length].tolist(), best[best + d >= length].tolist(), strict=True):
-            yield k, d, r
+        hit = best + d >= length
+        most_d[members[hit]] = np.maximum(most_d[members[hit]], d)
+        most_r[members[hit]] = np.maximum(most_r[members[hit]], best[hit])
+    # All matches of an element hold its gram's first byte, so together they are one span.
+    for k in np.flatnonzero(most_r).tolist():
+        yield k, int(most_d[k]), int(most_r[k])
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -279,30 +284,30 @@ def repeated_spans(around: DataFrame, length: int) -> DataFrame:
     fills its contexts costs one row of its group however often it occurs; `copies` says it is
     repeated. The groups that are sorted hold different contexts only.
     """
-    kinds = around.groupBy("hash", "left", "right").agg(F.count("*").alias("copies"))
-    cut = kinds.repartition("hash").sortWithinPartitions("hash").select("hash", "left", "right", "copies")
+    named = around.withColumn("kind", F.xxhash64("left", "right"))
+    kinds = named.groupBy("hash", "kind", "left", "right").agg(F.count("*").alias("copies"))
+    cut = kinds.repartition("hash").sortWithinPartitions("hash").select("hash", "kind", "left", "right", "copies")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solved(key: int, lefts: list, rights: list, copies: list) -> Iterator[tuple[int, bytes, bytes, int, int]]:
+        def solved(key: int, names: list, lefts: list, rights: list, copies: list) -> Iterator[tuple[int, int, int, int]]:
             for k, n in enumerate(copies):
                 if n > 1 and len(lefts[k]) + len(rights[k]) >= length:
-                    yield key, lefts[k], rights[k], len(lefts[k]), len(rights[k])
+                    yield key, names[k], len(lefts[k]), len(rights[k])
             if len(lefts) > 1:
                 for k, d, r in group_matches(lefts, rights, length):
-                    if copies[k] < 2:
-                        yield key, lefts[k], rights[k], d, r
+                    yield key, names[k], d, r
 
         def out(rows: list) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["hash", "left", "right", "d", "r"])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["hash", "kind", "d", "r"])
 
-        own, group, rows = None, ([], [], []), []
+        own, group, rows = None, ([], [], [], []), []
         for batch in batches:
-            for key, *row in zip(*(column(batch, c) for c in ("hash", "left", "right", "copies")), strict=True):
+            for key, *row in zip(*(column(batch, c) for c in ("hash", "kind", "left", "right", "copies")), strict=True):
                 if key != own:
                     if own is not None:
                         rows += solved(own, *group)
-                    own, group = key, ([], [], [])
+                    own, group = key, ([], [], [], [])
                     if len(rows) > 5_000:
                         yield out(rows)
                         rows = []
@@ -313,10 +318,9 @@ def repeated_spans(around: DataFrame, length: int) -> DataFrame:
         if rows:
             yield out(rows)
 
-    found = cut.mapInArrow(task, "hash long, left binary, right binary, d int, r int")
-    found = found.select(F.xxhash64("hash", "left", "right").alias("kind"), "hash", "d", "r")
-    at = around.select("hash", F.xxhash64("hash", "left", "right").alias("kind"), "t1", "t2", "at")
-    return at.join(found, ["hash", "kind"]).select("t1", "t2", (F.col("at") - F.col("d")).alias("start"), (F.col("at") + F.col("r")).alias("stop"))
+    found = cut.mapInArrow(task, "hash long, kind long, d int, r int")
+    rows = named.select("hash", "kind", "t1", "t2", "at").join(found, ["hash", "kind"])
+    return rows.select("t1", "t2", (F.col("at") - F.col("d")).alias("start"), (F.col("at") + F.col("r")).alias("stop"))
 
 
 def without(texts: DataFrame, spans: DataFrame) -> DataFrame:
