@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logsluice.llm import bpe, fingerprints, jaccard, packing, quality, suffixes, warc
+import corpus_pipeline
+from logsluice.llm import bpe, fingerprints, jaccard, lines, lm, packing, quality, secrets, suffixes, warc
 from logsluice.llm.common import table
 
 
@@ -19,6 +20,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return rows.select("doc_id", *quality.COUNTS, "base_failed", "kept", "rule")
@@ -36,6 +41,14 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removed(table(spark, sf_dir, "documents"))
 
 
+def op8_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
@@ -43,11 +56,15 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_secret_scans": op3_secret_scans,
     "op4_quality_rules": op4_quality_rules,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_order_minhash": op6_order_minhash,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_gru_lm": op8_gru_lm,
+    "op9_line_dedup": op9_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "pipeline": corpus_pipeline.run,
 }
 
 #: DuckDB SQL where it can express a query.

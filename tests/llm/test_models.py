@@ -1,0 +1,139 @@
+"""Language model, line dedup, secret scans and the pipeline on small corpora."""
+
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+
+import corpus_pipeline
+from logsluice.llm import lines, lm, secrets
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_lm_counts_and_scores(spark):
+    rng = random.Random(2)
+    french, english = [f"fr{i}ez" for i in range(40)], [f"en{i}ly" for i in range(40)]
+    rows = [(i, " ".join(rng.choices(french if i % 2 else english, k=60)) + (f" rare{i}" if i % 3 == 0 else "")) for i in range(150)]
+    rows += [(1000, None), (1001, ""), (None, "EN1LY ÉÉ"), (1002, rows[0][1]), (1002, rows[0][1])]
+    docs = spark.createDataFrame([(i, t, 3) for i, t in rows], "doc_id long, text string, block int").repartition(3)
+    got = sorted(map(tuple, lm.scored(docs, steps=150).collect()), key=str)
+    counts = Counter()
+    tokens = lambda t: [*(t or "").encode().lower().split(), b"<end>"]
+    for i, t in rows:
+        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
+            counts.update(tokens(t))
+    n, v = sum(counts.values()), len(counts)
+    want = []
+    for i, t in rows:
+        w = tokens(t)
+        held = i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+        want.append((i, held, len(w), sum(counts[x] > 0 for x in w), n, sum(np.log10((counts[x] + 1) / (n + v + 1)) for x in w)))
+    want.sort(key=str)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert np.allclose([g[5] for g in got], [w[5] for w in want])
+    held = [g for g in got if g[1] and g[2] > 20]
+    assert held and sum(g[6] for g in held) > sum(g[5] for g in held)
+    assert lm.scored(docs.limit(0)).collect() == []
+
+
+def test_gru_gradients_and_windows():
+    model = lm.Gru(5, 4)
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    rng = np.random.default_rng(1)
+    x, y, mask, h = rng.integers(0, 6, (6, 3)), rng.integers(0, 5, (6, 3)), np.ones((6, 3)), np.zeros((3, 4))
+    g, _, _ = model.train_window(x, y, mask, h)
+    for name, p in model.p.items():
+        at = np.unravel_index(np.argmax(np.abs(g[name])), p.shape)
+        p[at] += 1e-5
+        up = model.train_window(x, y, mask, h)[2]
+        p[at] -= 2e-5
+        down = model.train_window(x, y, mask, h)[2]
+        p[at] += 1e-5
+        assert abs((up - down) / 2e-5 - g[name][at]) < 1e-3 * max(1, abs(g[name][at]))
+    model = lm.Gru(5, 4)
+    seq = [rng.integers(0, 5, n) for n in (200, 1, 64, 65)]
+    want = []
+    for s in seq:
+        h, last, total = np.zeros((1, 4), np.float32), 5, 0.0
+        for k in s:
+            h = model.step(np.array([last]), h)[0]
+            total += float(model.log_probs(h)[0, k])
+            last = k
+        want.append(total / np.log(10))
+    assert np.allclose(model.score(seq), want, atol=1e-3)
+
+
+def brute_lines(rows):
+    """First place of each component of lines with similar shingles."""
+    places = [(d is None, d or 0, i, x) for d, t in rows for i, x in enumerate((t or "").split("\n")) if x.strip(" \t\n\r\x0b\x0c")]
+    places.sort()
+    sets = {x: {x[i : i + 8] for i in range(max(1, len(x) - 7))} for *_, x in places}
+    kept, out = [], {}
+    for none, d, i, x in places:
+        like = next((k for k in kept if 100 * len(sets[k] & sets[x]) >= 75 * len(sets[k] | sets[x])), None)
+        if like is None:
+            kept.append(x)
+        else:
+            out.setdefault(None if none else d, set()).add(i)
+    return out
+
+
+def test_line_dedup(spark):
+    rng = random.Random(6)
+    line = lambda: " ".join(f"{rng.choice('bcdfgh')}{rng.randrange(9999)}" for _ in range(20))
+    pool = [line() for _ in range(25)]
+    rows = []
+    for i in range(40):
+        some = [rng.choice(pool), line(), "", " ", rng.choice(pool)[:-1] + "Z", line()]
+        rng.shuffle(some)
+        rows.append((i, "\n".join(some)))
+    rows += [(90, None), (91, ""), (None, pool[0]), (92, "short"), (93, "short"), (94, "é"), (95, "x" * 30_000), (96, "x" * 30_000)]
+    docs = spark.createDataFrame([(i, t, "clash", 5) for i, t in rows], "doc_id long, text string, line string, n int").repartition(4)
+    gone = {r.doc_id: set(r.numbers) for r in lines.doubled_lines(docs).collect()}
+    assert gone == brute_lines(rows)
+    out = {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()}
+    assert len(out) == len(rows) and lines.dedup_lines(docs).columns == docs.columns
+    for i, t in rows:
+        assert out[i] == (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ())))
+    assert lines.dedup_lines(docs.limit(0)).collect() == []
+
+
+def secret_docs(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("etaoinshr", k=rng.randrange(3, 9)))
+    key = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    rows = []
+    for i in range(240):
+        words = [word() for _ in range(40)]
+        extra = [f'token = "{key(40)}"', f"commit {key(40)}", f"see /docs/page-{rng.randrange(9999)}/index/of/things", ""][i % 4]
+        rows.append((i, " ".join(words[:20] + [extra] + words[20:]), f"src{i % 3}/test" if i % 5 == 0 else "src", i % 4 == 0))
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, secret boolean")
+
+
+def test_secrets_held_out_accuracy(spark):
+    docs = secret_docs(spark)
+    words = secrets.dictionary(docs)
+    found = secrets.labelled(secrets.findings(docs))
+    forest = secrets.fit(found.where("doc_id % 3 != 0"), words)
+    judged = secrets.judged(secrets.findings(docs), forest, words).collect()
+    held = [r for r in judged if r.doc_id % 3 == 0]
+    assert len(held) > 50 and sum(r.is_secret == (r.doc_id % 4 == 0) for r in held) / len(held) > 0.95
+    clean = {r.doc_id: r for r in secrets.redact(docs.withColumn("path", docs.doc_id)).collect()}
+    assert all(("[secret]" in r.text) == r.secret and r.path == i for i, r in clean.items())
+    odd = spark.createDataFrame([(1, None), (None, ""), (2, "x1" * 9000)], "doc_id long, text string")
+    assert secrets.redact(odd).count() == 3 and secrets.scan(odd.limit(0)).collect() == []
+
+
+def test_pipeline_runs_on_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        new = stage(spark, kept, SF)
+        assert new.columns == docs.columns
+        kept = spark.createDataFrame(new.toArrow())
+    pieces = corpus_pipeline.STAGES[-1][1](spark, kept, SF).collect()
+    assert {r.doc_id for r in pieces} == {r.doc_id for r in kept.select("doc_id").collect()}
+    assert 0 < kept.count() < docs.count() and not kept.where("text like '%token = \"%'").count()
+    assert sorted(map(str, corpus_pipeline.run(spark, SF).select("doc_id", "piece", "ids_crc32").collect())) == sorted(str(r) for r in spark.createDataFrame(pieces).select("doc_id", "piece", "ids_crc32").collect())
