@@ -289,11 +289,16 @@ def compile_layout(text: str) -> Layout:
     return Layout(text)
 
 
+#: What a timestamp of microseconds can hold.
+MOST_MILLIS = (1 << 63) // 1000 - 1
+
+
 def parse_ts(text: Column, layout: str) -> Column:
     """Instant written in ``text``; NULL when it does not fit the layout."""
     if layout == EPOCH_MILLIS:
-        millis = F.when(text.rlike(r"^[+-]?\d{1,13}\z"), text.try_cast("bigint"))
-        return F.timestamp_millis(millis)
+        millis = text.try_cast("bigint")
+        fits = text.rlike(r"^[+-]?\d+\z") & millis.between(-MOST_MILLIS, MOST_MILLIS)
+        return F.timestamp_millis(F.when(fits, millis))
     return compile_layout(layout).to_time(text)
 
 

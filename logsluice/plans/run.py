@@ -116,7 +116,7 @@ def write_sink(
     """Deliver the records of a sink: CSV files, objects with manifest, record batches or event batches."""
     fmt, options = sink.record_format, sink.options
     if sink.type == "csv":
-        write_csv(records, sink.path, fmt)
+        write_csv(records, sink.path if batch_id is None else f"{sink.path}/batch-{batch_id:012d}", fmt)
     elif sink.type == "s3":
         folder = write_partitioned(
             records,

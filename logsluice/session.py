@@ -31,9 +31,11 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster; a scratch one only where none is set."""
+    """Shared checkpoint folder named by the cluster; a scratch one only in local mode, as in tests."""
     known = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if known is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir: progress must outlive this driver")
         known = tempfile.mkdtemp(prefix="logsluice-checkpoint-")
         spark.sparkContext.setCheckpointDir(known)
     return known

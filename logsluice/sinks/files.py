@@ -50,7 +50,9 @@ def write_partitioned(
     folder = upload_folder(path, prefix, table, uploaded)
     if batch_id is not None:
         folder = f"{folder}/batch-{batch_id:012d}"
-    writer = records.select(encode_csv(fmt).alias("value")).write.mode("overwrite").option("lineSep", "\n")
+    # Without a batch id, runs of the same minute share the folder and must not replace each other.
+    mode = "append" if batch_id is None else "overwrite"
+    writer = records.select(encode_csv(fmt).alias("value")).write.mode(mode).option("lineSep", "\n")
     if gzip:
         writer = writer.option("compression", "gzip")
     if max_records_per_file:

@@ -54,6 +54,8 @@ def test_reformat(column, source, destination, given, expected):
         ("2006-01-02 15:04:05 MST", "2018-04-17 08:07:06 PDT", "2018-04-17 08:07:06"),
         ("epochmillisecs", "1463528404955", "2016-05-17 23:40:04.955"),
         ("epochmillisecs", "14x", None),
+        ("epochmillisecs", "99999999999999", "5138-11-16 09:46:39.999"),
+        ("epochmillisecs", "100000000000000", "5138-11-16 09:46:40"),
         ("epochmillisecs", "99999999999999999", None),
     ],
 )
