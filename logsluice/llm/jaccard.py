@@ -6,8 +6,9 @@ number of tokens that follow; a block whose best entry cannot reach the overlap
 
 Answers are derived, not computed again: each set is first compared with the one set that shares
 most of its lists. A set that is linked takes over that set's answers (its component); index lists
-are then read again and only pairs that no computed answer settles are compared. So a group of n
-near copies costs n comparisons, and no link between components is lost.
+are then read again and only pairs that no computed answer settles are compared. Where those would
+be many, rounds go before that compare each set with a few of other components in its lists, so a
+large group of near copies grows together from its links. No link between components is lost.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsluice.llm.common import WordHashes, bit_filter, column, components, maybe_in, mixed, shingle_hashes, texts_of, written
@@ -25,6 +26,8 @@ from logsluice.llm.common import WordHashes, bit_filter, column, components, may
 UP, DOWN = 100, 75
 HEAVY_HERE, FLUSH = 4, 4_000_000
 BLOCK = 128
+#: Spans of the rounds, which go on while the open pairs are more than OPEN per list entry.
+ROUNDS, OPEN = (2, 4, 8), 8
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -183,6 +186,56 @@ def pairs_out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
+def with_parts(lists: DataFrame, known: DataFrame) -> DataFrame:
+    """lists with part: the component of each set as known so far."""
+    named = lists.join(known.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    return named.withColumn("part", F.coalesce("component", "doc_id")).drop("component")
+
+
+def unsettled(lists: DataFrame, known: DataFrame) -> DataFrame:
+    """Lists of more than one part, with the size of each set's part and the list's number of
+    pairs between parts, shared among its rows."""
+    named = with_parts(lists, known)
+    per_part = named.groupBy("list", "part").agg(F.count("*").alias("c"))
+    per_list = per_part.groupBy("list").agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("same")).where("size * size > same")
+    weights = known.groupBy(F.col("component").alias("part")).agg(F.count("*").alias("weight"))
+    out = named.join(per_list.select("list", F.expr("(size * size - same) / 2.0 / size").alias("pairs")), "list").join(weights, "part", "left")
+    return out.select("list", "doc_id", "n", "rest", "times", "part", F.coalesce("weight", F.lit(1)).alias("weight"), "pairs")
+
+
+def round_pairs(lists: DataFrame, span: int) -> DataFrame:
+    """(a, b): each set b with up to 2 * span sets a of other, larger parts that stand near it in its
+    lists, in an order that each round deals anew. Those that share most lists go first.
+
+    lists: rows of unsettled(). At most span pairs per entry leave a list.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, doc, n, rest, times, part, weight), _ in groups(batches):
+            start = np.searchsorted(key, key)
+            found = []
+            for d in range(1, span + 1):
+                y = np.arange(d, len(key))
+                x = y - d
+                keep = (start[y] <= x) & (part[x] != part[y]) & may_link(n[x], n[y], rest[x], rest[y])
+                x, y = x[keep], y[keep]
+                # b is of the smaller part, so that sets outside of a large part are tried most.
+                swap = (weight[x] < weight[y]) | ((weight[x] == weight[y]) & (doc[x] > doc[y]))
+                found.append(np.stack([np.where(swap, doc[y], doc[x]), np.where(swap, doc[x], doc[y]), np.minimum(times[x], times[y])]))
+            a, b, shared = np.concatenate(found, axis=1)
+            if len(a):
+                order = np.lexsort((a, b))
+                a, b, shared = a[order], b[order], shared[order]
+                first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+                yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(np.add.reduceat(shared, first))], names=["a", "b", "times"])
+
+    dealt = lists.repartition("list").sortWithinPartitions("list", F.xxhash64("doc_id", F.lit(span)))
+    pairs = dealt.select("list", "doc_id", "n", "rest", "times", "part", "weight").mapInArrow(task, "a long, b long, times long")
+    best = Window.partitionBy("b").orderBy(F.desc("times"), "a")
+    pairs = pairs.groupBy("a", "b").agg(F.sum("times").alias("times")).withColumn("place", F.row_number().over(best))
+    return pairs.where(F.col("place") <= 2 * span).select("a", "b")
+
+
 def open_pairs(lists: DataFrame, known: DataFrame, most: int = 50_000) -> DataFrame:
     """Pairs of a list whose sets are in different components, blocks of entries skipped.
 
@@ -227,8 +280,7 @@ def open_pairs(lists: DataFrame, known: DataFrame, most: int = 50_000) -> DataFr
                 yield pairs_out(found)
                 found = []
 
-    named = lists.join(known.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    named = named.select("list", "doc_id", "n", "rest", F.coalesce("component", "doc_id").alias("part"))
+    named = with_parts(lists, known).select("list", "doc_id", "n", "rest", "part")
     # Lists inside one component are settled: they go before anything is gathered by list. A long
     # list is split: its sets are dealt into parts, and each pair of parts is a list.
     mixed_lists = named.groupBy("list").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("size")).where("low != high")
@@ -272,6 +324,12 @@ def named_by(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(task, "doc_id long, text string")
 
 
+def joined(pairs: DataFrame, known: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """known with the components that linked pairs join."""
+    links = linked(pairs, named_by(pairs, docs), n).union(known.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b")))
+    return written(components(written(links, "links")), "known")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text).
 
@@ -294,10 +352,15 @@ def jaccard_components(docs: DataFrame, n: int = 5) -> DataFrame:
     first = written(nearest_pairs(lists), "pairs")
     links = written(linked(first, named_by(first, docs), n).union(copies), "links")
     known = written(components(links), "known")
+    for span in ROUNDS:
+        open_lists = written(unsettled(lists, known), "open")
+        # Rounds only save work: few open pairs are compared at once, whatever the rounds would find.
+        if open_lists.select((F.sum("pairs") > OPEN * F.count("*")).alias("many")).first().many is not True:
+            break
+        known = joined(written(round_pairs(open_lists, span), "pairs"), known, docs, n)
     more = written(open_pairs(lists, known), "pairs")
     if not more.isEmpty():
-        links = written(linked(more, named_by(more, docs), n).union(known.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))), "links")
-        known = written(components(links), "known")
+        known = joined(more, known, docs, n)
     out = sets.select("doc_id", "n_shingles").join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

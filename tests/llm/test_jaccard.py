@@ -52,6 +52,20 @@ def test_components_match_brute_force(spark):
         assert sorted(map(tuple, jaccard.jaccard_components(docs).collect())) == brute(rows)
 
 
+def test_rounds_keep_components_exact(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "OPEN", 0)
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for d in range(60):  # copies of one text, of which many pairs are just under the threshold
+        copy = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2])):
+            copy[rng.randrange(60)] = f"x{rng.randrange(900)}"
+        rows.append((d, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(map(tuple, jaccard.jaccard_components(docs).collect())) == brute(rows)
+
+
 def test_long_lists_are_split_without_loss(spark):
     rows = spark.createDataFrame([(1, d, 40, 39, d % 7) for d in range(60)], "list long, doc_id long, n int, rest int, part long")
     known = rows.select("doc_id", "part").withColumnRenamed("doc_id", "node").withColumnRenamed("part", "component")
