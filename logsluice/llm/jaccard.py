@@ -27,7 +27,7 @@ UP, DOWN = 100, 75
 HEAVY_HERE, FLUSH = 4, 4_000_000
 BLOCK = 128
 #: Spans of the rounds, which go on while the open pairs are more than OPEN per list entry.
-ROUNDS, OPEN = (2, 4, 8), 8
+ROUNDS, OPEN = (6,), 8
 
 
 def words_of(text: bytes) -> list[bytes]:
