@@ -5,6 +5,8 @@ to bins, the least of each bin) and band keys. Lines that meet in a band are pai
 band's first line and with the line before, which is linear in a bucket's size. Pairs are verified
 by the exact Jaccard similarity of the lines' shingles, links are joined by distributed union-find,
 and of each component one line stays: the first by (doc_id, line number).
+
+Joins are merge joins at every size: no side of them has a bound that would allow a broadcast.
 """
 
 from __future__ import annotations
@@ -161,8 +163,8 @@ def named_lines(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """(a, b): 128-bit keys of the lines whose exact similarity links them."""
-    both = pairs.join(lines.select(F.col("line").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(lines.select(F.col("line").alias("a"), F.col("text").alias("text_a")), "a").select("text_a", "text_b")
+    both = pairs.join(lines.select(F.col("line").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
+    both = both.join(lines.select(F.col("line").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").select("text_a", "text_b")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,8 +206,8 @@ def doubled_lines(docs: DataFrame) -> DataFrame:
     first = at.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(known, "line", "left")
     first = written(first.select("line", "first", "n", F.coalesce("component", "line").alias("component")).where("n > 1 or component is not null"), "first")
     keeper = first.groupBy("component").agg(F.min("first").alias("keeper"), F.sum("n").alias("total")).where("total > 1")
-    doubled = first.join(keeper, "component").select("line", "keeper")
-    gone = at.join(doubled, "line").where(~(place.eqNullSafe(F.col("keeper")))).select("doc_id", "number")
+    doubled = first.join(keeper.hint("merge"), "component").select("line", "keeper")
+    gone = at.join(doubled.hint("merge"), "line").where(~(place.eqNullSafe(F.col("keeper")))).select("doc_id", "number")
     return gone.groupBy("doc_id").agg(F.collect_set("number").alias("numbers"))
 
 
@@ -214,7 +216,7 @@ def without_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
     with an empty text."""
     names = docs.columns
     rows = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("key"))
-    rows = rows.join(gone.select(F.col("doc_id").alias("gone_id"), "numbers"), F.col("key").eqNullSafe(F.col("gone_id")), "left")
+    rows = rows.join(gone.select(F.col("doc_id").alias("gone_id"), "numbers").hint("merge"), F.col("key").eqNullSafe(F.col("gone_id")), "left")
     kept = F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains("numbers", i))
     text = F.when(F.col("numbers").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
     return rows.select(*((text.alias(n) if n == "text" else F.col("row").getField(n).alias(n)) for n in names))
