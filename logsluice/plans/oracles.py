@@ -149,9 +149,9 @@ SELECT event_id, '{{"alpha":' || event_id || ',"message":"m ' || event_id || '",
   || ',"zeta":' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END || '}}' AS log_line
 FROM events WHERE {JSON_OK}"""
 
-JSON_TEXT = f"""'{{"timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') || '","severity":"' || event_type
-  || '","userId":' || user_id || ',"remoteIp":"10.0.0.' || user_id || '","deviceId":'
-  || CASE WHEN event_id % 4 = 0 THEN 'null' ELSE '"d-' || event_id || '"' END || ',"size":' || value
+JSON_TEXT = f"""'{{"timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') || '","kind":"' || event_type
+  || '","who":' || user_id || ',"addr":"10.0.0.' || user_id || '","device":'
+  || CASE WHEN event_id % 4 = 0 THEN 'null' ELSE '"d-' || event_id || '"' END || ',"bytes":' || value
   || ',"country":"' || CASE WHEN event_id % 3 = 0 THEN 'none' ELSE 'mx' END || '","zeta":'
   || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END || ',"message":"m ' || event_id || '","alpha":'
   || event_id || ',"props":' || props || '}}'"""
@@ -160,8 +160,8 @@ JSON_LINE = f"""CASE WHEN event_id % 89 = 0 THEN left({JSON_TEXT}, 40)
 
 ORACLES["json_raw"] = f"""
 SELECT event_id, CASE WHEN {JSON_OK} THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') END AS event_datetime,
-  CASE WHEN {JSON_OK} THEN event_type END AS severity, CAST(NULL AS VARCHAR) AS "userId",
-  CASE WHEN {JSON_OK} AND event_id % 4 <> 0 THEN 'd-' || event_id END AS "deviceId",
+  CASE WHEN {JSON_OK} THEN event_type END AS kind, CAST(NULL AS VARCHAR) AS who,
+  CASE WHEN {JSON_OK} AND event_id % 4 <> 0 THEN 'd-' || event_id END AS device,
   CASE WHEN {JSON_OK} THEN CASE WHEN event_id % 3 = 0 THEN 'none' ELSE 'mx' END END AS country,
   {JSON_LINE} AS log_line, {JSON_OK} AS parse_ok
 FROM events"""
