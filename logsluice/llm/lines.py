@@ -3,15 +3,16 @@
 Each distinct line of a task gets a signature of its character shingles (one hash a shingle, dealt
 to bins, the least of each bin) and band keys. Lines that meet in a band are paired with the
 band's first line and with the line before, which is linear in a bucket's size. Pairs are verified
-by the exact Jaccard similarity of the lines' shingles, links are joined by distributed union-find,
-and of each component one line stays: the first by (doc_id, line number).
+by the exact Jaccard similarity of the lines' shingles, links are joined by distributed union-find.
+Then each line gets more bands, whose rows have a hash each, and every pair of a bucket that is not
+in one component yet is verified. Of each component one line stays: the first by (doc_id, line number).
 
 Joins are merge joins at every size: no side of them has a bound that would allow a broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logsluice.llm.common import FACTOR, bit_filter, column, components, maybe_in, mixed, texts_of, written
+from logsluice.llm.jaccard import index_lists, open_pairs
 
 SHINGLE, BANDS, ROWS = 8, 10, 4
+#: Bands of the second look. A link of similarity 0.75 meets in none with (1 - 0.75^4)^48 = 1.2e-8.
+MORE_BANDS = 48
 #: Lines link at UP * intersection >= DOWN * union.
 UP, DOWN = 100, 75
 
@@ -48,7 +52,7 @@ def characters(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, owner): all character shingles of the lines; shorter lines are one shingle."""
-    points, start = characters([x.ljust(SHINGLE, b"\0") if len(x) < SHINGLE * 4 and len(x.decode()) < SHINGLE else x for x in lines])
+    points, start = characters([x.decode().ljust(SHINGLE, "\0").encode() if len(x) < SHINGLE * 4 and len(x.decode()) < SHINGLE else x for x in lines])
     padded = np.concatenate([points.astype(np.uint64) + np.uint64(1), np.zeros(SHINGLE, np.uint64)])
     h = np.zeros(len(points), np.uint64)
     for k in range(SHINGLE):
@@ -83,7 +87,30 @@ def bands(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mixed(keys + np.arange(BANDS, dtype=np.uint64)), np.bincount(owner, minlength=n)
 
 
-def band_rows(docs: DataFrame) -> DataFrame:
+def more_bands(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(band keys, one row a line; number of distinct shingles of each line); each row of a band is
+    the least of a hash of its own, so bands are independent for short lines too."""
+    hashes, owner = shingles(lines)
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])])
+    hashes, owner = hashes[new], owner[new]
+    start = np.searchsorted(owner, np.arange(len(lines)))
+    h = (hashes >> np.uint64(32)).astype(np.uint32)
+    seeds = mixed(np.arange(1, 2 * MORE_BANDS * ROWS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+    keys = np.zeros((len(lines), MORE_BANDS), np.uint64)
+    for k in range(MORE_BANDS * ROWS):
+        x = (h ^ seeds[2 * k]) * seeds[2 * k + 1]
+        x ^= x >> np.uint32(15)
+        x *= seeds[2 * k]
+        x ^= x >> np.uint32(13)
+        x *= seeds[2 * k + 1]
+        band = k // ROWS
+        keys[:, band] = keys[:, band] * FACTOR + mixed(np.minimum.reduceat(x, start).astype(np.uint64) + np.uint64(k))
+    return mixed(keys + np.arange(MORE_BANDS, dtype=np.uint64)), np.diff(np.append(start, len(h)))
+
+
+def band_rows(docs: DataFrame, bands: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]] = bands, most: int = 2 << 20) -> DataFrame:
     """(band, line, n): band keys of each distinct line of a task; line is a 64-bit hash that only
     finds candidates."""
 
@@ -92,8 +119,8 @@ def band_rows(docs: DataFrame) -> DataFrame:
 
         def out(lines: dict[int, bytes]) -> pa.RecordBatch:
             keys, n = bands(list(lines.values()))
-            names = np.repeat(np.fromiter(lines, np.int64, len(lines)), BANDS)
-            return pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(names), pa.array(np.repeat(n, BANDS).astype(np.int32))], names=["band", "line", "n"])
+            names = np.repeat(np.fromiter(lines, np.int64, len(lines)), keys.shape[1])
+            return pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(names), pa.array(np.repeat(n, keys.shape[1]).astype(np.int32))], names=["band", "line", "n"])
 
         held: dict[int, bytes] = {}
         size = 0
@@ -105,7 +132,7 @@ def band_rows(docs: DataFrame) -> DataFrame:
                         met.add(key)
                         held[key] = line
                         size += len(line)
-                        if size > 2 << 20:
+                        if size > most:
                             yield out(held)
                             held, size = {}, 0
         if held:
@@ -162,7 +189,7 @@ def named_lines(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(a, b): 128-bit keys of the lines whose exact similarity links them."""
+    """(a, b, line_a, line_b): 128-bit and 64-bit keys of the lines whose exact similarity links them."""
     both = pairs.join(lines.select(F.col("line").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
     both = both.join(lines.select(F.col("line").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").select("text_a", "text_b")
 
@@ -178,10 +205,20 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
                     own, other = (np.unique(hashes[cuts[j] : cuts[j + 1]]) for j in (i, i + len(x)))
                     common = len(np.intersect1d(own, other, assume_unique=True))
                     if UP * common >= DOWN * (len(own) + len(other) - common):
-                        found.append((key_of(x[i]), key_of(y[i])))
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+                        found.append((key_of(x[i]), key_of(y[i]), short_key(x[i]), short_key(y[i])))
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(kinds)], names=["a", "b", "line_a", "line_b"])
+
+    return both.mapInArrow(task, "a binary, b binary, line_a long, line_b long")
+
 
-    return both.mapInArrow(task, "a binary, b binary")
+def more_links(docs: DataFrame, links: DataFrame) -> DataFrame:
+    """Links between components of links, from all pairs of lines that meet in a band of the second look."""
+    rows = band_rows(docs, more_bands, 256 << 10).select(F.col("band").alias("token"), F.col("line").alias("doc_id"), "n", F.col("n").alias("rest"))
+    lists = written(index_lists(rows), "lists")
+    known = written(components(links.select(F.col("line_a").alias("a"), F.col("line_b").alias("b"))), "known")
+    pairs = written(open_pairs(lists, known), "pairs")
+    return verified(pairs, named_lines(docs, pairs))
 
 
 def places(docs: DataFrame) -> DataFrame:
@@ -200,6 +237,7 @@ def doubled_lines(docs: DataFrame) -> DataFrame:
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     pairs = written(candidate_pairs(band_rows(narrow)), "pairs")
     links = written(verified(pairs, named_lines(narrow, pairs)), "links")
+    links = links.union(written(more_links(narrow, links), "links"))
     known = components(links, "binary").select(F.col("node").alias("line"), "component")
     at = places(narrow)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "number")

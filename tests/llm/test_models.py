@@ -100,6 +100,41 @@ def test_line_dedup(spark):
     assert lines.dedup_lines(docs.limit(0)).collect() == []
 
 
+def test_line_dedup_of_template_lines(spark):
+    """Lines of one template, each with one near copy that is neither first nor next in its buckets."""
+    rng = random.Random(16)
+    text = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    shared = text(77)
+    rows = []
+    for i in range(700):
+        own = text(23)
+        rows += [(2 * i, shared + own), (2 * i + 1, shared + own[:-11] + text(11))]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    near = lines.doubled_lines(docs).collect()
+    assert {r.doc_id: set(r.numbers) for r in near} == brute_components(rows)
+    short = spark.createDataFrame([(1, "é"), (2, "ü"), (3, "é"), (4, "a" * 30), (5, "a" * 99)], "doc_id long, text string")
+    assert {r.doc_id for r in lines.doubled_lines(short).collect()} == {3, 5}
+
+
+def brute_components(rows):
+    """Lines that are not the first of their component, over all pairs. Each row is one line."""
+    sets = {d: {x[i : i + 8] for i in range(max(1, len(x) - 7))} for d, x in rows}
+    up = {d: d for d in sets}
+
+    def root(d):
+        while up[d] != d:
+            d = up[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                low, high = sorted((root(a), root(b)))
+                up[high] = low
+    return {d: {0} for d in sets if root(d) != d}
+
+
 def secret_docs(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choices("etaoinshr", k=rng.randrange(3, 9)))
