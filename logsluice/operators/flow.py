@@ -8,11 +8,13 @@ per slice, and only those rows are brought together by source.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from logsluice.functions.regexes import to_java
 from logsluice.functions.scalars import regex_get
@@ -25,11 +27,6 @@ MAX_BUFFERED_BYTES = 65_535
 VERSION_MARKER = r"^----\sapp_ver:\s(?P<app_ver>.*)$"
 DEFAULT_AGE_DAYS = 10
 
-# A run of unparseable lines is flushed at this many bytes, so that no group is unbounded.
-RUN_FLUSH_BYTES = 4 << 20
-# A record is put together from its lines in one task up to this size; beyond, it goes on as a next part.
-RECORD_PART_BYTES = 64 << 20
-
 # More rows than this are not broadcast.
 MAX_BROADCAST_ROWS = 500_000
 
@@ -166,27 +163,32 @@ def carry_app_ver(
 # -- continuation lines -----------------------------------------------------------
 
 
-def greedy_chunks(pieces: Column, limit: int) -> Column:
-    """Cut an ordered array of structs (size, ...) where the running size reaches ``limit``.
+def chunk_starts(pieces: DataFrame, key: LineKey, limit: int) -> DataFrame:
+    """Key columns of each line and ``_chunk``, its chunk of the run: a chunk takes lines while its size is below ``limit``.
 
-    A chunk takes pieces while its size is below the limit. Gives an array of arrays. Only the
-    chunk starts are collected on the way, so the work is linear in the number of pieces.
+    pieces: key columns, ``_run``, ``_seg``, ``size``; no text. A run is read in order by one task
+    that holds two numbers, so chunks do not depend on slices or on the length of the run.
     """
-    start = F.struct(F.lit(0).cast("bigint").alias("size"), F.array(F.lit(1)).alias("starts"), F.lit(0).alias("n"))
-
-    def step(state: Column, piece: Column) -> Column:
-        full = state["size"] >= limit
-        return F.struct(
-            (F.when(full, F.lit(0)).otherwise(state["size"]) + piece["size"]).cast("bigint").alias("size"),
-            F.when(full, F.array_append(state["starts"], state["n"] + 1)).otherwise(state["starts"]).alias("starts"),
-            (state["n"] + 1).alias("n"),
-        )
 
-    starts = F.aggregate(pieces, start, step, lambda s: s["starts"])
-    bounds = F.array_append(starts, F.size(pieces) + 1)
-    return F.transform(
-        starts, lambda s, i: F.slice(pieces, s, F.element_at(bounds, i + F.lit(2)) - s)
-    )
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, chunk = None, 0, 0
+        for batch in batches:
+            source, run, seg, size = (batch.column(c).to_pylist() for c in (key.source, "_run", "_seg", "size"))
+            out = []
+            for own, n in zip(zip(source, run, seg), size):
+                if own != last:
+                    chunk = chunk + 1 if last and own[:2] == last[:2] else 0
+                    last, held = own, 0
+                elif held >= limit:
+                    chunk, held = chunk + 1, 0
+                held += n
+                out.append(chunk)
+            kept = [batch.column(c) for c in key.columns]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.int64())], names=[*key.columns, "_chunk"])
+
+    schema = StructType([*(pieces.schema[c] for c in key.columns), StructField("_chunk", LongType())])
+    ordered = pieces.repartition(key.source, "_run").sortWithinPartitions(key.source, "_run", key.block, key.pos)
+    return ordered.mapInArrow(task, schema)
 
 
 def fold_continuations(
@@ -194,13 +196,13 @@ def fold_continuations(
     key: LineKey = LineKey(),
     line: str = "line",
     limit: int = MAX_BUFFERED_BYTES,
-    flush_bytes: int = RUN_FLUSH_BYTES,
+    flush_bytes: int | None = None,
 ) -> DataFrame:
     """Consecutive unparseable lines of a source joined to one ``log_line``, each ended by a literal ``\\n``.
 
     Result: key columns of the first line, ``log_line``, ``lines``, ``bytes``. In line order the
-    row stands before the next parsed line. A chunk is closed once it has ``limit`` bytes, and
-    every ``flush_bytes`` of a run (in place of a flush by the clock).
+    row stands before the next parsed line. A chunk is closed once it has ``limit`` bytes, and, if
+    given, every ``flush_bytes`` of a run (in place of a flush by the clock).
 
     Parsed lines take part with their key only, so the shuffle by slice carries the text of
     unparseable lines and nothing else of size. A run is named by the bytes of unparseable
@@ -221,20 +223,22 @@ def fold_continuations(
     unparsed = inner.filter(F.col("_text").isNotNull()).join(base, key.slice)
     run = F.coalesce(F.col("_base") + F.col("_mark"), F.col("_base_mark"), F.lit(0))
     at = F.col("_base") + F.col("_sum") - size
-    piece = F.struct(*key.columns[1:], size.alias("size"), F.col("_text").alias("text"))
-    groups = (
-        unparsed.groupBy(key.source, run.alias("_run"), F.floor((at - run) / flush_bytes).alias("_seg"))
-        .agg(F.collect_list(piece).alias("_pieces"))
-        .select(key.source, F.explode(greedy_chunks(F.array_sort("_pieces"), limit)).alias("_chunk"))
+    seg = F.lit(0) if flush_bytes is None else F.floor((at - run) / flush_bytes)
+    unparsed = unparsed.select(
+        *key.columns, run.alias("_run"), seg.cast("bigint").alias("_seg"), size.alias("size"), "_text"
     )
-    first = F.col("_chunk")[0]
+    chunks = chunk_starts(unparsed.drop("_text"), key, limit)
+    piece = F.struct(*key.columns[1:], "size", F.col("_text").alias("text"))
+    groups = unparsed.join(chunks, list(key.columns)).groupBy(key.source, "_run", "_chunk")
+    groups = groups.agg(F.array_sort(F.collect_list(piece)).alias("_pieces"))
+    first = F.col("_pieces")[0]
     return groups.select(
         key.source,
         first[key.block].alias(key.block),
         first[key.pos].alias(key.pos),
-        F.array_join(F.transform("_chunk", lambda p: p["text"]), "").alias("log_line"),
-        F.size("_chunk").cast("bigint").alias("lines"),
-        F.aggregate("_chunk", F.lit(0).cast("bigint"), lambda n, p: n + p["size"]).alias("bytes"),
+        F.array_join(F.transform("_pieces", lambda p: p["text"]), "").alias("log_line"),
+        F.size("_pieces").cast("bigint").alias("lines"),
+        F.aggregate("_pieces", F.lit(0).cast("bigint"), lambda n, p: n + p["size"]).alias("bytes"),
     )
 
 
@@ -246,13 +250,13 @@ def split_records(
     start: str,
     key: LineKey = LineKey(),
     line: str = "line",
-    part_bytes: int = RECORD_PART_BYTES,
+    part_bytes: int | None = None,
 ) -> DataFrame:
     """Records that begin where a line matches ``start``; the lines of a record are joined without line ends.
 
     Result: key columns of the first line, ``part``, the record text in ``line``. Lines before the
-    first start are a record too. A record that goes on through whole slices is handed on in
-    numbered parts, each put together in one task; every other record has part 0.
+    first start are a record too. Records are whole (part 0); only with ``part_bytes`` a record that
+    goes on through whole slices is handed on in numbered parts, each put together in one task.
 
     Lines are shuffled once, by slice. Records inside a slice are finished there; only the first
     and the last fragment of each slice meet their other halves in a second, small shuffle.
@@ -272,13 +276,14 @@ def split_records(
         F.max("_in").alias("_starts"), F.sum(F.octet_length("_text")).alias("_bytes")
     )
     idle = F.when(F.col("_starts") == 0, F.col("_bytes")).otherwise(0)
+    parts = F.lit(0) if part_bytes is None else F.floor((F.col("_idle") - F.col("_since")) / part_bytes)
     base = (
         summary.withColumn("_base", F.coalesce(F.sum("_starts").over(_before(key)), F.lit(0)))
         .withColumn("_idle", F.coalesce(F.sum(idle).over(_before(key)), F.lit(0)))
         .withColumn(
             "_since", F.coalesce(F.max(F.when(F.col("_starts") > 0, F.col("_idle"))).over(_before(key)), F.lit(0))
         )
-        .select(*key.slice, "_starts", "_base", F.floor((F.col("_idle") - F.col("_since")) / part_bytes).alias("_part"))
+        .select(*key.slice, "_starts", "_base", parts.alias("_part"))
     )
     placed = fragments.join(base, key.slice)
     inside = (F.col("_in") > 0) & (F.col("_in") < F.col("_starts"))

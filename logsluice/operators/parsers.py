@@ -367,9 +367,12 @@ def parse_variadic_kv(
     date_prefix_length: int = DATE_PREFIX,
     clean_keys: bool = False,
     as_map: bool = False,
+    raw_bytes: int | None = MAX_RAW_BYTES,
+    raw_cut: str = "",
 ) -> DataFrame:
-    """All pairs as JSON in ``event``, the raw line (first 16 MiB) in ``log_line``.
+    """All pairs as JSON in ``event``, the raw line in ``log_line``: its first ``raw_bytes``, or all if None.
 
+    ``raw_cut`` names a boolean column that marks the lines with a cut ``log_line``, to count them.
     ``as_map`` adds the pairs as a map column ``event_pairs``.
     """
     text = F.col(line)
@@ -380,8 +383,10 @@ def parse_variadic_kv(
     values |= {
         "event": sorted_json(F.col("_pairs")),
         "meta": F.lit(""),
-        "log_line": F.when(ok, fit_bytes(text, MAX_RAW_BYTES)),
+        "log_line": F.when(ok, text if raw_bytes is None else fit_bytes(text, raw_bytes)),
     }
+    if raw_cut:
+        values[raw_cut] = F.lit(False) if raw_bytes is None else F.coalesce(ok & (F.octet_length(text) > raw_bytes), F.lit(False))
     if as_map:
         values["event_pairs"] = F.col("_pairs")
     return attach(cut, {**values, OK: F.col("_pairs").isNotNull()}, drop=["_pairs"])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logsluice.functions.regexes import to_java
-from logsluice.operators.flow import MAX_BUFFERED_BYTES, RECORD_PART_BYTES
+from logsluice.operators.flow import MAX_BUFFERED_BYTES
 from logsluice.operators.parsers import OK
 
 # Idle times after which an open buffer is let go.
@@ -100,7 +100,7 @@ def fold_continuations_stream(
 
 
 def split_records_stream(
-    lines: DataFrame, start: str, idle_ms: int = RECORD_IDLE_MS, part_bytes: int = RECORD_PART_BYTES
+    lines: DataFrame, start: str, idle_ms: int = RECORD_IDLE_MS, part_bytes: int | None = None
 ) -> DataFrame:
     """Records of a stream that begin where a line matches ``start``, as in ``split_records``.
 
@@ -124,7 +124,7 @@ def split_records_stream(
             if starts and buffer.full:
                 done.append(record(key[0], buffer))
                 buffer.start(int(pos))
-            elif buffer.full and buffer.size >= part_bytes:
+            elif buffer.full and part_bytes is not None and buffer.size >= part_bytes:
                 done.append(record(key[0], buffer))
                 buffer.start(int(pos), buffer.part + 1)
             elif not buffer.full:

@@ -105,6 +105,12 @@ def test_fold_does_not_depend_on_slices(frame):
     assert texts[0] == texts[1]
 
 
+def test_fold_of_a_long_run_is_not_cut_at_4_mib(frame):
+    rows = [("f", i // 500, i % 500, "x" * 998, False) for i in range(9_000)]
+    got = fold_continuations(frame(rows), KEY)
+    assert sorted(map(tuple, got.collect())) == fold_by_hand(rows, 65_535)
+
+
 def split_by_hand(rows):
     out = []
     for file, lines in by_file(rows).items():
@@ -133,6 +139,14 @@ def test_split_without_any_start_goes_on_in_parts(frame):
     assert len(split_records(frame(rows), "^never", KEY).collect()) == 1
 
 
+def test_split_joins_a_record_over_64_mib(spark, frame):
+    rows = [("f", i, 0, i % 20 == 0) for i in range(20)]
+    lines = spark.createDataFrame(rows, "file string, block long, pos long, begins boolean").repartition(4)
+    text = F.concat(F.when(F.col("begins"), "S").otherwise("x"), F.repeat(F.lit("y"), (4 << 20) - 1))
+    out = split_records(lines.withColumn("line", text), "^S", KEY)
+    assert [tuple(r) for r in out.select("block", "part", F.length("line")).collect()] == [(0, 0, 80 << 20)]
+
+
 def test_fold_shuffles_lines_once(frame, spark, tmp_path):
     # Both readers of the sliced lines share one shuffle.
     frame(make_lines(1)).write.parquet(str(tmp_path / "t"))

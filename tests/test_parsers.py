@@ -183,6 +183,15 @@ def test_variadic(lines):
     assert (raw.event, raw[OK]) == ("{not json", True)
 
 
+def test_variadic_raw_line_limit(lines):
+    long = '2020-01-01T00:00:00.000Z a="' + "q" * 17_000_000 + '"'
+    both = lines(long, '2020-01-01T00:00:00.000Z a="b"')
+    whole = parse_variadic_kv(both, WHO, raw_bytes=None, raw_cut="cut")
+    assert whole.select(F.length("log_line"), "cut").orderBy("i").collect() == [(len(long), False), (30, False)]
+    cut = parse_variadic_kv(both, WHO, raw_cut="cut")
+    assert cut.select(F.length("log_line"), "cut").orderBy("i").collect() == [(16_777_216, True), (30, False)]
+
+
 def test_user_parser_and_dispatch(lines):
     def shout(frame, spec, fmt, identity):
         def up(batches):
