@@ -9,6 +9,7 @@ equal length; ranks come from counts per (length, salt) and a window inside each
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -45,20 +46,39 @@ def json_encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("json", pat_str=pattern, mergeable_ranks={bytes(letters[c] for c in t): i for t, i in ids.items()}, special_tokens={})
 
 
-def pieces_of(docs: DataFrame, path: str, pattern: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
+def added_ids(path: str) -> dict[str, int]:
+    """Added tokens of a tokenizer JSON file, which stand for themselves wherever a text has them."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(x[k] for x in added for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that depend on what is beside them are not known")
+    return {x["content"]: x["id"] for x in added}
+
+
+def pieces_of(docs: DataFrame, path: str, pattern: str, capacity: int = 1024, end_id: int = 2, added: bool = False) -> DataFrame:
     """One row per piece of each whole text with the end id; null is empty, so has one id.
 
-    Longer documents are cut into pieces of `capacity`, of which the first may be shorter.
+    Longer documents are cut into pieces of `capacity`, of which the first may be shorter. With
+    `added`, added tokens in a text get their ids, as the tokenizers library does unless
+    encode_special_tokens is set; without, they are plain text.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = json_encoding(path, pattern)
         chunks = Chunks(lambda part: np.array(encoding.encode_ordinary(part), "<u4").tobytes())
         end = np.array([end_id], "<u4").tobytes()
+        own = {t: np.array([i], "<u4").tobytes() for t, i in added_ids(path).items()} if added else {}
+        marks = re.compile("(" + "|".join(map(re.escape, sorted(own, key=len, reverse=True))) + ")") if own else None
+
+        def encoded(text: str) -> bytes:
+            if marks is None:
+                return chunks.encode(text)
+            return b"".join(own[x] if k % 2 else chunks.encode(x) for k, x in enumerate(marks.split(text)))
+
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
             for doc, text in zip(column(batch, "doc_id"), column(batch, "text"), strict=True):
-                ids = chunks.encode(text or "") + end
+                ids = encoded(text or "") + end
                 n = len(ids) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
@@ -203,6 +223,6 @@ def packed(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     return ranked.mapInArrow(task, PIECES + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, pattern: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, pattern: str, capacity: int = 1024, end_id: int = 2, added: bool = False) -> DataFrame:
     """Best-fit packing of whole documents into sequences of at most `capacity` tokens."""
-    return packed(written(pieces_of(docs, path, pattern, capacity, end_id), "pieces"), capacity)
+    return packed(written(pieces_of(docs, path, pattern, capacity, end_id, added), "pieces"), capacity)

@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from logsluice.llm import bpe, packing, quality
+from logsluice.llm import bpe, packing, quality, queries
 
 TEXTS = [
     None, "", " ", "\n\n", "One", "a b a b a b a b", "x  y\tz\n \nq  r", "It's the end,\nthey're done. \n", "\nhead line\nhead line\nhead",
@@ -107,6 +107,19 @@ def test_packing_is_exact_and_tight(spark, docs):
     assert packing.packed(packing.pieces_of(docs.limit(0), path, public_tokenizers.PATTERN)).collect() == []
 
 
+def test_added_tokens_in_texts_get_their_ids(spark, tmp_path):
+    texts = [*TEXTS, "<|endoftext|>", "a<|endoftext|>b", "x  <|endoftext|>  y\n", " <|endoftext|><|endoftext|>\n\n z", "<|endoftext", "ü<|endoftext|> 🙂"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = defaultdict(list)
+    for r in queries.op10_best_fit_packing(spark, str(tmp_path)).collect():
+        got[r.doc_id].append((r.start, r.length, r.ids_crc32))
+    for i, t in enumerate(texts):
+        ids = [*own.encode(t or "", add_special_tokens=False).ids, 2]
+        assert sum(n for _, n, _ in got[i]) == len(ids)
+        assert all(crc == zlib.crc32(np.array(ids[a : a + n], "<u4").tobytes()) for a, n, crc in got[i])
+
+
 def test_swaps_empty_bins():
     bins = Counter({(6, 2): 1, (5, 2): 1, (4,): 1, (3, 2): 1})
     better = packing.swap_search(bins, 10)
