@@ -1,6 +1,7 @@
 """Secret scans: candidate strings by pattern, false positives removed by a random forest.
 
-A candidate is a run of key characters with a digit. The forest (numpy) judges its length, its
+A candidate is a run of key characters with a digit or a capital inside, or any value beside a key
+name. The forest (numpy) judges its length, its
 character transitions, how much of it dictionary words cover, its path, and the words beside it.
 It is fitted on a bounded sample of labelled findings; every document is scanned.
 """
@@ -19,13 +20,28 @@ from pyspark.sql import functions as F
 
 from logsluice.llm.common import column
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.@-])(?=[A-Za-z+/_=.-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9@])")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_@-])(?=[A-Za-z+/_-]*(?:[0-9]|[a-z][A-Z]))[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9@])")
+NAME = r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|(?<=[?&])key)"
+#: A value beside a key name, also a short one or one without a digit.
+VALUE = re.compile(rf"""(?i){NAME}["']?\s*(?::=|[:=]>?)\s*["'`]?([^\s"'`,;&<>(){{}}\[\]]{{6,}})""")
 #: Names that a key is assigned to.
 NAMES = re.compile(r"(?i)(token|secret|passw(or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)[\"']?$")
 FEATURES = ("length", "transitions", "digits", "upper", "hexadecimal", "spread", "coverage", "named", "assigned", "quoted", "before_word", "after_word", "path_parts", "path_test", "slashes")
 FINDING = "doc_id long, start int, length int, candidate string, before string, after string, path string"
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the candidates in order; those that overlap are one."""
+    spans = sorted([m.span() for m in CANDIDATE.finditer(text)] + [m.span(1) for m in VALUE.finditer(text)])
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 def findings(docs: DataFrame, path: str = "source") -> DataFrame:
     """(doc_id, start, length, candidate, before, after, path) of each candidate; start counts code points."""
     if path not in docs.columns:
@@ -35,9 +51,8 @@ def findings(docs: DataFrame, path: str = "source") -> DataFrame:
         for batch in batches:
             out: tuple[list, ...] = tuple([] for _ in range(7))
             for doc, text, where in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for m in CANDIDATE.finditer(text or ""):
-                    a, b = m.span()
-                    for values, x in zip(out, (doc, a, b - a, m[0], text[max(0, a - 40) : a], text[b : b + 40], where or ""), strict=True):
+                for a, b in candidates(text or ""):
+                    for values, x in zip(out, (doc, a, b - a, text[a:b], text[max(0, a - 40) : a], text[b : b + 40], where or ""), strict=True):
                         values.append(x)
             kinds = (pa.int64(), pa.int32(), pa.int32(), *[pa.string()] * 4)
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=["doc_id", "start", "length", "candidate", "before", "after", "path"])
@@ -148,16 +163,26 @@ def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = 25, depth: int = 8, le
 
 
 def labelled(found: DataFrame) -> DataFrame:
-    """Findings with a label by how they are written, for corpora without reviewed findings: 1 where
-    a key name is assigned the quoted candidate, 0 elsewhere. Reviewed labels can take its place."""
-    named = F.col("before").rlike(r"""(?i)(token|secret|passw(or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)["']?\s*[:=]>?\s*["'`]$""")
-    return found.withColumn("label", (named & F.col("after").rlike("""^["'`]""")).cast("int"))
+    """Findings with a label by independent evidence, for corpora without reviewed findings: 1 for
+    values assigned to a key name, keys with an issuer's prefix, web tokens and bearers; 0 for hashes
+    named as such, numbers, UUIDs, paths and plain words; else null. Reviewed labels can take its place."""
+    before, text = F.col("before"), F.col("candidate")
+    named = before.rlike(rf"""(?i){NAME}["']?\s*(:=|[:=]>?)\s*["'`]?$""")
+    assigned = named & (before.rlike("""["'`=]$""")) & (text.rlike("[0-9]") | F.col("after").rlike("""^["'`]"""))
+    issued = text.rlike(r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{20,}|^(sk|pk|rk)[-_][A-Za-z0-9_-]{16,}|^xox[abprs]-|^AIza[A-Za-z0-9_-]{30,}|^eyJ[A-Za-z0-9_-]{12,}")
+    bearer = before.rlike(r"(?i)\bbearer\s+$")
+    hashed = before.rlike(r"(?i)(commit|sha-?[0-9]*|md5|checksum|digest|revision|etag|integrity)[\s:=\"']*$")
+    form = text.rlike(r"^[0-9_+/-]+$|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^/?(?:[a-z0-9_-]++/){2,}+[a-z0-9_-]*+$|^\p{Ll}++$")
+    return found.withColumn("label", F.when(assigned | issued | bearer, 1).when(hashed | ((F.length(text) <= 512) & form), 0))
 
 
 def fit(findings_with_label: DataFrame, words: frozenset[str], most_labelled: int = 20_000) -> Forest:
-    """Forest of at most `most_labelled` labelled findings, those with the smallest hashes."""
-    some = findings_with_label.dropna(subset=["label"]).orderBy(F.xxhash64("doc_id", "start", "candidate"), "doc_id", "start").limit(most_labelled)
-    rows = some.select("candidate", "before", "after", "path", "label").collect()
+    """Forest of at most `most_labelled` labelled findings: of each label those with the smallest
+    hashes, up to half of it, so that a rare label is never left out."""
+    rows = []
+    for label in (0, 1):
+        some = findings_with_label.where(F.col("label") == label).orderBy(F.xxhash64("doc_id", "start", "candidate"), "doc_id", "start")
+        rows += some.select("candidate", "before", "after", "path", "label").limit(most_labelled // 2).collect()
     x = np.array([features_of(r.candidate, r.before, r.after, r.path, words) for r in rows], float).reshape(-1, len(FEATURES))
     return fit_forest(x, np.array([r.label for r in rows], float))
 
@@ -197,12 +222,12 @@ def redact(docs: DataFrame, mark: str = "[secret]", threshold: float = 0.5) -> D
         for batch in batches:
             clean = []
             for text, path in zip(column(batch, "text"), column(batch, "path"), strict=True):
-                hits = list(CANDIDATE.finditer(text or ""))
+                hits = candidates(text or "")
                 if hits:
-                    x = [features_of(m[0], text[max(0, m.start() - 40) : m.start()], text[m.end() : m.end() + 40], path or "", words) for m in hits]
-                    for m, bad in zip(reversed(hits), reversed(forest.score(np.array(x, float)) >= threshold), strict=True):
+                    x = [features_of(text[a:b], text[max(0, a - 40) : a], text[b : b + 40], path or "", words) for a, b in hits]
+                    for (a, b), bad in zip(reversed(hits), reversed(forest.score(np.array(x, float)) >= threshold), strict=True):
                         if bad:
-                            text = text[: m.start()] + mark + text[m.end() :]
+                            text = text[:a] + mark + text[b:]
                 clean.append(text)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(clean, pa.string())], names=["row", "text"])
 
