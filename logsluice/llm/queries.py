@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from logsluice.llm import bpe, fingerprints, jaccard, lines, lm, packing, quality, secrets, suffixes, warc
+from logsluice.llm import bpe, fingerprints, jaccard, lines, lm, packing, pii, quality, secrets, suffixes, warc
 from logsluice.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, added=True)
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found_personal(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_byte_bpe": op2_byte_bpe,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_gru_lm": op8_gru_lm,
     "op9_line_dedup": op9_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_personal_data": op11_personal_data,
     "pipeline": corpus_pipeline.run,
 }
 
