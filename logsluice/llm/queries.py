@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from logsluice.llm import bpe, fingerprints, jaccard, lines, lm, packing, pii, quality, secrets, suffixes, warc
+from logsluice.llm import bpe, fingerprints, jaccard, lines, lm, packing, pii, quality, secrets, suffixes, warc, whitening
 from logsluice.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found_personal(table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_byte_bpe": op2_byte_bpe,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_personal_data": op11_personal_data,
+    "op12_whitening": op12_whitening,
     "pipeline": corpus_pipeline.run,
 }
 
