@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from logsluice.llm import bpe, fingerprints, jaccard, lines, lm, packing, pii, quality, secrets, suffixes, warc, whitening
+from logsluice.llm import bpe, collocations, fingerprints, jaccard, lines, lm, packing, pii, quality, secrets, suffixes, warc, whitening
 from logsluice.llm.common import table
 
 
@@ -61,6 +61,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_byte_bpe": op2_byte_bpe,
@@ -74,8 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_personal_data": op11_personal_data,
     "op12_whitening": op12_whitening,
+    "op13_collocations": op13_collocations,
     "pipeline": corpus_pipeline.run,
 }
 
 #: DuckDB SQL where it can express a query.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_collocations": collocations.SQL}
