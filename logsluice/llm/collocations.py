@@ -10,7 +10,7 @@ union's phrases over the whole corpus, which is exact: what hashes let through t
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +25,7 @@ from logsluice.llm.common import FACTOR, bit_filter, column, maybe_in, mixed, te
 MIN, WORDS, TOP = 10, 3, 2000
 SHARDS = 4
 #: Text bytes that are scanned at once; n-grams and phrases that a task holds; text bytes of a bucket.
-WINDOW, HELD, PHRASES, BUCKET = 2 << 20, 6 << 20, 300_000, 32 << 20
+WINDOW, HELD, PHRASES, BUCKET = 1 << 20, 4 << 20, 200_000, 32 << 20
 #: The filter of the second pass has 16 bits a phrase of the union, up to 16 MB; beyond that it
 #: lets more phrases through to the exact count.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
@@ -33,6 +33,7 @@ NO_LANG = "und"
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
+_LOWER[ord("\t")] = ord(" ")  # a tab is no part of a word
 WORD, BLANK, BORDER = 0, 1, 2
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(b" \t")] = BLANK
@@ -121,14 +122,18 @@ class Scan:
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.letters.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)])
         return mixed((sums[self.end] - sums[self.begin]) * inverse[self.begin] + self.salt)
 
-    def phrases(self, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes, number of the first word) of the n-word phrases inside pieces that end in a fresh word."""
-        m = max(0, len(hashes) - n + 1)
-        at = np.flatnonzero((self.piece[:m] == self.piece[n - 1 : n - 1 + m]) & self.fresh[n - 1 : n - 1 + m])
-        out = np.full(len(at), n, np.uint64) * FACTOR
-        for i in range(n):
-            out = mixed(out * FACTOR + hashes[at + i])
-        return out, at
+    def places(self, n: int) -> np.ndarray:
+        """Numbers of the first words of the n-word phrases inside pieces that end in a fresh word."""
+        m = max(0, len(self.begin) - n + 1)
+        return np.flatnonzero((self.piece[:m] == self.piece[n - 1 : n - 1 + m]) & self.fresh[n - 1 : n - 1 + m])
+
+
+def phrase_hashes(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n-word phrases that begin at words ``at``."""
+    out = np.full(len(at), n, np.uint64)
+    for i in range(n):
+        out = out * FACTOR + words[at + i]
+    return mixed(out)
 
 
 def scans(batches: Iterator[pa.RecordBatch], groups: dict[str, int], salts: list[int]) -> Iterator[Scan]:
@@ -156,15 +161,22 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-def summed(hashes: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes with the sums of their counts, at most ``most``."""
-    order = np.argsort(hashes, kind="stable")
-    hashes = hashes[order]
-    new = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.empty(0, np.int64)
-    if not len(new):
-        return hashes, np.empty(0, np.uint8)
-    sums = np.add.reduceat(counts[order].astype(np.int64), new)
-    return hashes[new], np.minimum(sums, most).astype(np.uint8)
+def summed(hashes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes with their counts, at most ``most``. Sorts its input in place."""
+    hashes.sort()
+    new = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+    return hashes[new], np.minimum(np.diff(np.append(new, len(hashes))), most).astype(np.uint8)
+
+
+def added_up(rows: list[np.ndarray], most: int) -> np.ndarray:
+    """Sorted rows of 48 bits of hash and 8 bits of count, the counts of a hash added up, at most ``most``."""
+    every = np.concatenate(rows)
+    rows.clear()
+    every.sort()
+    hashes = every >> np.uint64(8)
+    new = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+    counts = np.minimum(np.add.reduceat((every & np.uint64(255)).astype(np.uint8), new, dtype=np.uint32), most)
+    return (hashes[new] << np.uint64(8)) | counts.astype(np.uint64)
 
 
 def keys(low: np.ndarray, bucket: np.ndarray | int) -> np.ndarray:
@@ -189,7 +201,7 @@ def local_counts(docs: DataFrame, buckets: int, support: int) -> DataFrame:
             for shard in range(SHARDS):
                 every = np.concatenate(held[shard]) if held[shard] else np.empty(0, np.uint64)
                 if len(every):
-                    hashes, counts = summed(every, np.ones(len(every), np.uint8), support)
+                    hashes, counts = summed(every, support)
                     own = bucket_of(hashes, buckets)
                     cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]]))
                     low = (hashes & _LOW).view(np.uint8).reshape(-1, 8)[:, :6]
@@ -201,8 +213,8 @@ def local_counts(docs: DataFrame, buckets: int, support: int) -> DataFrame:
         for scan in scans(batches, {}, []):
             words = scan.word_hashes(0)
             for n in range(1, WORDS + 1):
-                hashes, at = scan.phrases(words, n)
-                shards = scan.shard[at]
+                at = scan.places(n)
+                hashes, shards = phrase_hashes(words, at, n), scan.shard[at]
                 for shard in range(SHARDS):
                     held[shard].append(hashes[shards == shard])
                 size += len(hashes)
@@ -219,22 +231,15 @@ def mined(local: DataFrame, support: int) -> DataFrame:
     bucket at a time and adds rows up as they come."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = None, {}
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        own: int | None = None
+        held: dict[int, list[np.ndarray]] = {}
         size = 0
 
-        def add_up() -> None:
-            for shard, rows in held.items():
-                rows = [*rows, known[shard]] if shard in known else rows
-                known[shard] = summed(np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), support)
-            held.clear()
-
         def out() -> pa.RecordBatch:
-            add_up()
-            found = [hashes[counts >= support] for hashes, counts in known.values()]
-            low = np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
-            known.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys(low, own).view(np.int64))], names=["key"])
+            rows = [added_up(own_rows, support) for own_rows in held.values()]
+            held.clear()
+            found = [r[(r & np.uint64(255)) >= support] >> np.uint64(8) for r in rows]
+            return pa.RecordBatch.from_arrays([pa.array(keys(np.unique(np.concatenate(found)), own).view(np.int64))], names=["key"])
 
         for batch in batches:
             for bucket, shard, hashes, counts in zip(*(batch.column(i) for i in range(4)), strict=True):
@@ -242,12 +247,15 @@ def mined(local: DataFrame, support: int) -> DataFrame:
                     if own is not None:
                         yield out()
                     own, size = bucket.as_py(), 0
-                low = np.zeros((len(hashes.as_py()) // 6, 8), np.uint8)
-                low[:, :6] = np.frombuffer(hashes.as_py(), np.uint8).reshape(-1, 6)
-                held.setdefault(shard.as_py(), []).append((low.view(np.uint64)[:, 0], np.frombuffer(counts.as_py(), np.uint8)))
-                size += len(low)
+                n = len(counts.as_py())
+                row = np.zeros((n, 8), np.uint8)
+                row[:, 0] = np.frombuffer(counts.as_py(), np.uint8)
+                row[:, 1:7] = np.frombuffer(hashes.as_py(), np.uint8).reshape(-1, 6)
+                held.setdefault(shard.as_py(), []).append(row.view(np.uint64)[:, 0])
+                size += n
                 if size >= HELD:
-                    add_up()
+                    for rows in held.values():
+                        rows[:] = [added_up(rows, support)]
                     size = 0
         if own is not None:
             yield out()
@@ -264,35 +272,41 @@ def phrase_counts(docs: DataFrame, seen: np.ndarray, buckets: int) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict[str, int] = {}
         salts: list[int] = []
-        counts: Counter[tuple[int, bytes | None]] = Counter()
+        counts: dict[int, dict[bytes | None, int]] = defaultdict(lambda: defaultdict(int))
 
         def out() -> pa.RecordBatch:
             names = list(groups)
-            own = list(counts.items())
+            own = [(names[group], phrase, n) for group, found in counts.items() for phrase, n in found.items()]
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([names[k[0]] for k, _ in own], pa.string()), pa.array([k[1] for k, _ in own], pa.binary()), pa.array([n for _, n in own], pa.int64())], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in own], f.type) for k, f in enumerate(schema)], schema=schema)
 
         for scan in scans(batches, groups, salts):
             for group, n in enumerate(np.bincount(scan.group[scan.fresh], minlength=len(groups)).tolist()):
                 if n:
-                    counts[group, None] += n
+                    counts[group][None] += n
             one, two = scan.word_hashes(0), scan.word_hashes(1)
             text = scan.letters.tobytes()
             for n in range(1, WORDS + 1):
-                hashes, at = scan.phrases(one, n)
+                at = scan.places(n)
+                hashes = phrase_hashes(one, at, n)
                 some = maybe_in(shared.value, keys(hashes & _LOW, bucket_of(hashes, buckets)).view(np.int64))
-                hashes, at, other = hashes[some], at[some], scan.phrases(two, n)[0][some]
+                hashes, at = hashes[some], at[some]
+                other = phrase_hashes(two, at, n)
                 if not len(at):
                     continue
                 order = np.lexsort((other, hashes))
                 hashes, other, at = hashes[order], other[order], at[order]
                 # Equal by both hashes: the same phrase.
                 cuts = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (other[1:] != other[:-1])]))
-                for i, count in zip(at[cuts].tolist(), np.diff(np.append(cuts, len(at))).tolist()):
-                    phrase = b" ".join(text[a:b] for a, b in zip(scan.begin[i : i + n].tolist(), scan.end[i : i + n].tolist()))
-                    counts[int(scan.group[i]), phrase] += count
-                if len(counts) >= PHRASES:
-                    yield out()
+                at = at[cuts]
+                begin, end = scan.begin[at], scan.end[at + n - 1]
+                # Words with one blank between them are cut out as they stand.
+                tight = scan.end[at] == end if n == 1 else np.logical_and.reduce([scan.begin[at + k] - scan.end[at + k - 1] == 1 for k in range(1, n)])
+                several = np.diff(np.append(cuts, len(hashes)))
+                for group, a, b, whole, count in zip(scan.group[at].tolist(), begin.tolist(), end.tolist(), tight.tolist(), several.tolist()):
+                    counts[group][text[a:b] if whole else b" ".join(text[a:b].split())] += count
+            if sum(map(len, counts.values())) >= PHRASES:
+                yield out()
         yield out()
 
     return docs.mapInArrow(task, "lang string, phrase binary, count long")

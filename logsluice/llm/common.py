@@ -120,7 +120,8 @@ def bit_filter(ids: DataFrame, key: str, bits: int = 1 << 23) -> np.ndarray:
 
 def _bits(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     x = mixed(values.astype(np.int64).view(np.uint64))
-    return x % np.uint64(bits), (x >> np.uint64(32)) % np.uint64(bits)
+    low = np.uint64(bits - 1)  # bits is a power of two
+    return x & low, (x >> np.uint64(32)) & low
 
 
 def maybe_in(seen: np.ndarray, values: np.ndarray) -> np.ndarray:

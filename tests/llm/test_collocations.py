@@ -92,7 +92,7 @@ def test_segments_hold_each_phrase_once(window):
         for part in segments(np.frombuffer(text.encode(), np.uint8), 0, 0, window):
             scan = Scan([part], np.array([5], np.uint64))
             for n in got:
-                for i in scan.phrases(scan.word_hashes(0), n)[1].tolist():
+                for i in scan.places(n).tolist():
                     got[n][tuple(scan.letters[a:b].tobytes().decode() for a, b in zip(scan.begin[i : i + n], scan.end[i : i + n]))] += 1
         assert got == expected
 
