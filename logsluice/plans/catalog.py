@@ -93,8 +93,8 @@ USER_AGENTS = (
     "Mozilla/5.0 (Macintosh; Intel Mac OS X 10_14_0) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/80.0.1 Safari/537.36",
     "Mozilla/5.0 (iPhone; CPU iPhone OS 13_3 like Mac OS X) AppleWebKit/605.1 (KHTML, like Gecko) CriOS/79.0.3 Mobile",
     "Mozilla/5.0 (X11; Linux x86_64; rv:72.0) Gecko/20100101 Firefox/72.0",
-    "Mozilla/5.0 (Linux; U; Android 4.4.2; GT-N7100) AppleWebKit/534.30 Version/4.0 Mobile",
-    "Mozilla/5.0 (Windows NT 6.3; ARM; Trident/7.0; Touch; rv:11.0) like Gecko",
+    "ShopKiosk/3 (Linux; Android 12.1; counter tablet) Version/7.5 Embedded",
+    "LabelPrinter/9 (Windows NT 10.0; Trident/8.0; roll; rv:14.2)",
     "Mozilla/4.0 (compatible; MSIE 8.0; Windows NT 5.1)",
     "ELB-HealthChecker/2.0",
     "Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_2) AppleWebKit/605.1.15 Version/13.0.4 Safari/605.1.15",
@@ -444,7 +444,7 @@ def ts_reformat(spark, sf_dir):
     """Wall clock kept when a time text is written in another layout."""
     slash = F.date_format("o_orderdate", "yyyy/MM/dd HH:mm:ss")
     ruby = F.date_format("o_orderdate", "EEE MMM dd HH:mm:ss '-0500' yyyy")
-    wrong = F.when(F.col("o_orderkey") % 9 == 0, "2018_10_29").otherwise(slash)
+    wrong = F.when(F.col("o_orderkey") % 9 == 0, "week 7 of 2031").otherwise(slash)
     return table(spark, sf_dir, "orders").select(
         "o_orderkey",
         reformat_ts(slash, "2006/01/02 15:04:05", ISO_8601).alias("iso"),

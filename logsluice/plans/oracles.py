@@ -257,7 +257,7 @@ SELECT o_orderkey, {iso("o_orderdate")} AS iso,
     || strftime(o_orderdate, ' %H:%M:%S %Y') AS ansi,
   strftime(o_orderdate, '%Y/%m/%d') AS day, {iso("o_orderdate")} AS ruby,
   CASE WHEN o_orderkey % 9 <> 0 THEN {iso("o_orderdate")} END AS wrong,
-  CASE WHEN o_orderkey % 9 = 0 THEN '2018_10_29' ELSE strftime(o_orderdate, '%Y/%m/%d %H:%M:%S') END AS same
+  CASE WHEN o_orderkey % 9 = 0 THEN 'week 7 of 2031' ELSE strftime(o_orderdate, '%Y/%m/%d %H:%M:%S') END AS same
 FROM orders"""
 
 ORACLES["epoch_ms"] = f"""
