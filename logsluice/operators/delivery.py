@@ -38,7 +38,7 @@ def drop_oversize(
     return encoded.filter(small), encoded.filter(~small).withColumn("reason", F.lit("record too large"))
 
 
-class _Greedy:
+class Greedy:
     """Cuts a stream of (shard, size) rows, ordered by shard, into batches.
 
     A batch closes when it has ``max_records`` rows, or with the row that brings its size over
@@ -97,7 +97,7 @@ def assign_batches(
     schema = T.StructType([*records.schema.fields, T.StructField(name, T.LongType(), False)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        greedy = _Greedy(max_records, over_bytes)
+        greedy = Greedy(max_records, over_bytes)
         for rows in batches:
             if rows.num_rows == 0:
                 continue

@@ -500,6 +500,9 @@ SELECT 'logs/doc_log/2024/02/01/12/30/' || md5(string_agg(text || chr(10), '' OR
   'doc_log' AS table_name, 'v7' AS ddl_version, count(*) AS record_count
 FROM walk JOIN docs USING (shard, rn) GROUP BY shard, batch"""
 
+# The objects that the data source writes are those of the manifest.
+ORACLES["delivered_objects"] = ORACLES["manifest"]
+
 # -- merging
 
 ORACLES["merged_hosts"] = f"""

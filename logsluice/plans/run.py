@@ -20,7 +20,8 @@ from logsluice.operators.flow import carry_app_ver, fold_continuations, limit_ag
 from logsluice.operators.parsers import OK, parse_lines, with_defaults
 from logsluice.operators.records import EVENT_TIME, encode_csv, process, to_record, union_all
 from logsluice.session import configure
-from logsluice.sinks.files import write_csv, write_manifest, write_partitioned, written_manifest
+from logsluice.sinks.files import write_csv
+from logsluice.sinks.objects import BUFFER_BYTES, write_objects
 from logsluice.sources.text import read_lines, skip_header
 from logsluice.spec import Identity, LineKey, RecordFormat, SinkSpec, SourceSpec, SpecError, validate_format
 
@@ -118,20 +119,21 @@ def write_sink(
     if sink.type == "csv":
         write_csv(records, sink.path if batch_id is None else f"{sink.path}/batch-{batch_id:012d}", fmt)
     elif sink.type == "s3":
-        folder = write_partitioned(
+        write_objects(
             records,
             sink.path,
             sink.name,
             fmt,
+            key,
             prefix=str(options.get("prefix", "")),
-            uploaded=uploaded,
+            ddl_version=str(options.get("ddl_version", "")),
+            buffer_bytes=int(options.get("buffer_size", BUFFER_BYTES)),
+            max_records=int(options.get("max_records_per_file", 0)),
             gzip=str(options.get("compression", "")).lower() == "gzip",
-            max_records_per_file=int(options.get("max_records_per_file", 0)),
+            uploaded=uploaded,
             batch_id=batch_id,
+            ledger=str(options.get("manifest", "")),
         )
-        if "manifest" in options:
-            listed = written_manifest(spark, folder, sink.name, fmt, str(options.get("ddl_version", "")))
-            write_manifest(listed, str(options["manifest"]))
     elif sink.type == "firehose":
         encoded = records.select(*key.columns, encode_csv(fmt).alias("csv_line"))
         small, large = drop_oversize(encoded)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logsluice.functions.layouts import iso_ts
 from logsluice.operators.records import encode_csv
+from logsluice.sinks.ledger import first_upload
 from logsluice.spec import DEFAULT_FORMAT, RecordFormat
 
 MANIFEST_SCHEMA = "fullpath string, table_name string, ddl_version string, record_count bigint"
@@ -44,9 +45,11 @@ def write_partitioned(
 ) -> str:
     """Write the objects of one upload below its time folder and give the folder.
 
-    With ``batch_id`` the objects go to a folder of that micro-batch, which a repeated attempt
-    replaces: every batch arrives once.
+    With ``batch_id`` the objects go to a folder of that micro-batch below the time of its first
+    attempt, which a repeated attempt replaces: every batch arrives once, whenever it is repeated.
     """
+    if batch_id is not None:
+        uploaded = first_upload(path, batch_id, uploaded)
     folder = upload_folder(path, prefix, table, uploaded)
     if batch_id is not None:
         folder = f"{folder}/batch-{batch_id:012d}"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logsluice.operators.delivery import (
     TRANSACTION_SALT,
-    _Greedy,
+    Greedy,
     assign_batches,
     collect_batches,
     dedup_batches,
@@ -55,7 +55,7 @@ def test_greedy_batches(spark, max_records, over, seed):
 def test_greedy_needs_no_spark():
     import numpy as np
 
-    cut = _Greedy(None, 10)
+    cut = Greedy(None, 10)
     assert cut.number(np.array([1, 1, 1, 2]), np.array([6, 6, 1, 50])).tolist() == [0, 0, 1, 0]
     assert cut.number(np.array([2, 2]), np.array([1, 1])).tolist() == [1, 1]
 

@@ -13,6 +13,7 @@ from logsluice.plans.catalog import ACCESS_LAYOUT, ACCESS_REGEX
 from logsluice.plans.run import plan_source, run_sources
 from logsluice.session import checkpoint_dir
 from logsluice.sinks.files import upload_folder, write_csv
+from logsluice.sinks.objects import read_manifest
 from logsluice.spec import DEFAULT_FORMAT, Attribute, SpecError
 
 INGEST = dt.datetime(2024, 1, 1)
@@ -97,16 +98,20 @@ def test_resume_age_and_version_run(spark, tmp_path):
 
 def test_object_run_with_manifest(spark, logs):
     options = {"prefix": "pre", "compression": "gzip", "max_records_per_file": 10, "manifest": str(logs / "manifest"),
-               "ddl_version": "v2"}
+               "ddl_version": "v2", "buffer_size": 2000}
     sink = SinkSpec("tab", "s3", DEFAULT_FORMAT, str(logs / "store"), options)
     when = dt.datetime(2024, 5, 6, 7, 8)
     run_sources(spark, specs(logs, "tab"), [sink], uploaded=when, ingest=INGEST)
     folder = upload_folder(str(logs / "store"), "pre", "tab", when)
     assert folder.endswith("/store/pre/tab/2024/05/06/07/08")
-    assert len(read_csv(folder)) == 23
-    listed = spark.read.parquet(str(logs / "manifest")).collect()
+    bodies = {p: gzip.decompress(open(p, "rb").read()) for p in glob.glob(f"{folder}/*.gz")}
+    assert sum(len(list(csv.reader(b.decode().splitlines()))) for b in bodies.values()) == 23
+    listed = read_manifest(spark, "", str(logs / "manifest")).collect()
     assert sum(r.record_count for r in listed) == 23 and {r.ddl_version for r in listed} == {"v2"}
+    assert {str(logs / "store" / r.fullpath) for r in listed} == set(bodies)
     assert all("/2024/05/06/07/08/" in r.fullpath and r.record_count <= 10 for r in listed)
+    # Each object but the last of a file is closed by the record that brings it to 2000 bytes or 10 records.
+    assert all(len(b[: b[:-1].rfind(b"\n") + 1]) < 2000 for b in bodies.values())
 
 
 def test_batch_and_event_runs(spark, logs):
