@@ -81,9 +81,14 @@ def fold_continuations_stream(
             yield _folded(key[0], buffer)
             state.remove()
             return
-        rows = pd.concat(list(frames)).sort_values("byte_pos")
+        rows = pd.concat(list(frames)).sort_values("byte_pos", kind="stable")
         done = []
         for pos, next_pos, line in zip(rows["byte_pos"], rows["next_pos"], rows["line"]):
+            if line is None:  # the end of a drained file
+                if buffer.full:
+                    done.append(_folded(key[0], buffer))
+                    buffer.start(-1)
+                continue
             if buffer.full and (pos != buffer.next or buffer.size >= limit):
                 done.append(_folded(key[0], buffer))
                 buffer.start(int(pos))
@@ -118,9 +123,14 @@ def split_records_stream(
             yield pd.DataFrame([record(key[0], buffer)], columns=columns)
             state.remove()
             return
-        part = pd.concat(list(frames)).sort_values("byte_pos")
+        part = pd.concat(list(frames)).sort_values("byte_pos", kind="stable")
         done = []
         for pos, next_pos, line, starts in zip(part["byte_pos"], part["next_pos"], part["line"], part["starts"]):
+            if line is None:  # the end of a drained file
+                if buffer.full:
+                    done.append(record(key[0], buffer))
+                    buffer.start(-1)
+                continue
             if starts and buffer.full:
                 done.append(record(key[0], buffer))
                 buffer.start(int(pos))

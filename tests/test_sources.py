@@ -173,6 +173,117 @@ def test_restart_neither_repeats_nor_skips(tmp_path):
     assert len(again.known) == 1
 
 
+def test_truncation_past_the_old_position(tmp_path):
+    path = put(tmp_path / "a.log", b"1\n2\n3\n")
+    source = reader(path)
+    a = source.initialOffset()
+    b = source.latestOffset()
+    take(source, a, b)
+    put(path, b"n1xx\nn2\nn3\n")  # truncated and grown beyond byte 6 between two looks
+    c = source.latestOffset()
+    assert [r["line"] for r in take(source, b, c)] == ["n1xx", "n2", "n3"]
+    put(path, b"n1xx\nn2\nnew tail\n")  # the same begin, another line before the position
+    assert [r["line"] for r in take(source, c, source.latestOffset())] == ["n1xx", "n2", "new tail"]
+
+
+def test_reused_inode_is_another_file(tmp_path):
+    first = put(tmp_path / "a.log", b"old 1\nold 2\n")
+    source = reader(tmp_path, extension="log")
+    a = source.initialOffset()
+    b = source.latestOffset()
+    take(source, a, b)
+    os.rename(first, tmp_path / "b.log")  # the inode of a.log under another name and with other content
+    put(tmp_path / "b.log", b"fresh line that is longer\n")
+    c = source.latestOffset()
+    assert [(r["file"], r["line"]) for r in take(source, b, c)] == [(str(tmp_path / "b.log"), "fresh line that is longer")]
+
+
+def test_reused_inode_after_a_restart(tmp_path):
+    path = put(tmp_path / "a.log", b"old 1\nold 2\n")
+    first = reader(path)
+    a = first.initialOffset()
+    b = first.latestOffset()
+    take(first, a, b)
+    put(path, b"new content, longer than before\nx\n")
+    again = reader(path)
+    c = again.latestOffset()
+    assert [r["line"] for r in take(again, b, c)] == ["new content, longer than before", "x"]
+    put(path, b"y\n", "ab")
+    assert [r["line"] for r in take(again, c, again.latestOffset())] == ["y"]
+
+
+def test_file_removed_between_offset_and_read(tmp_path):
+    put(tmp_path / "a.log", b"a1\n")
+    put(tmp_path / "b.log", b"b1\n")
+    source = reader(tmp_path, extension="log")
+    a = source.initialOffset()
+    b = source.latestOffset()
+    os.remove(tmp_path / "a.log")
+    assert [r["line"] for r in take(source, a, b)] == ["b1"]
+    with pytest.raises(FileNotFoundError):
+        take(reader(tmp_path, extension="log", failOnLoss=True), a, b)
+    put(tmp_path / "b.log", b"b2\n", "ab")
+    c = source.latestOffset()
+    assert [r["line"] for r in take(source, b, c)] == ["b2"]
+    assert source.latestOffset() == c  # the removed file stays in the ledger and makes no new batches
+
+
+def test_removed_file_goes_on_when_it_comes_back(tmp_path):
+    (tmp_path / "in").mkdir()
+    path = put(tmp_path / "in" / "a.log", b"1\n")
+    source = reader(tmp_path / "in")
+    a = source.initialOffset()
+    b = source.latestOffset()
+    take(source, a, b)
+    os.rename(path, tmp_path / "away")
+    c = source.latestOffset()
+    assert take(source, b, c) == [] and [e["gone"] for e in c.values()] == [True]
+    put(tmp_path / "away", b"2\n", "ab")
+    os.rename(tmp_path / "away", path)
+    assert [r["line"] for r in take(source, c, source.latestOffset())] == ["2"]
+
+
+def test_shrunk_while_it_is_read(tmp_path):
+    path = put(tmp_path / "a.log", b"one\ntwo\nthree\n")
+    source = reader(path)
+    a = source.initialOffset()
+    b = source.latestOffset()
+    with open(path, "r+b") as f:
+        f.truncate(4)
+    assert take(source, a, b) in ([], [r for r in take(source, a, b) if r["line"] == "one"])
+
+
+def test_busy_first_file_leaves_room_for_the_others(tmp_path):
+    put(tmp_path / "a.log", b"a" * 9 + b"\n")
+    put(tmp_path / "b.log", b"b1\nb2\n")
+    put(tmp_path / "c.log", b"c1\n" * 4)
+    put(tmp_path / "a.log", b"a" * 9 + b"\n" + b"a23456789\n" * 1000)
+    source = reader(tmp_path, extension="log", maxBytesPerTrigger=60)
+    at, got = source.initialOffset(), []
+    for _ in range(3):
+        to = source.latestOffset()
+        rows = take(source, at, to)
+        got.append([r["line"][0] for r in rows])
+        assert sum(r["next_pos"] - r["byte_pos"] for r in rows) <= 60
+        at = to
+        put(tmp_path / "a.log", b"a23456789\n" * 100, "ab")
+    assert got[0].count("b") == 2 and got[0].count("c") == 4 and "a" in got[0]
+    assert got[1] == ["a"] * 6
+    assert LogTailReader._shares({"x": 1000, "y": 5, "z": 0, "w": 1000}, 105) == {"x": 50, "y": 5, "z": 0, "w": 50}
+
+
+def test_drain_closes_each_file_once_a_run(tmp_path):
+    put(tmp_path / "a.log", b"1\n2\n")
+    first = reader(tmp_path, drain=True, maxBytesPerTrigger=1)
+    a = first.initialOffset()
+    b = first.latestOffset()
+    assert [r["line"] for r in take(first, a, b)] == ["1", "2", None]
+    assert first.latestOffset() == b
+    again = reader(tmp_path, drain=True)
+    c = again.latestOffset()
+    assert [(r["line"], r["byte_pos"]) for r in take(again, b, c)] == [(None, 4)]
+
+
 def test_tail_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     path = put(tmp_path / "in" / "a.log", b"head\n1\n2\npar")

@@ -124,3 +124,36 @@ def test_dedup_stream(spark, tmp_path):
     )
     query.awaitTermination(60)
     assert spark.table("dedup_out").count() == 3
+
+
+def one_shot(spark, tmp_path, build, schema, name="out"):
+    """Run what is there and stop; all rows delivered so far."""
+    out = str(tmp_path / name)
+    query = (
+        build(stream_lines(spark, str(tmp_path / "in"), "log", range_bytes=300, drain=True))
+        .writeStream.outputMode("append").format("parquet").option("path", out)
+        .option("checkpointLocation", str(tmp_path / f"cp-{name}")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination(90)
+    assert not query.isActive
+    return spark.read.schema(schema).parquet(out).collect()
+
+
+def test_one_shot_runs_give_out_the_last_buffer(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    text = log_text(3, 120) + "trace at the end\n"
+    (tmp_path / "in" / "a.log").write_text(text)
+    parsed = parse_regex(as_batch(spark, text), REGEX, fmt=(), residual=False)
+    want = sorted((r.byte_pos, r.log_line) for r in fold_continuations(parsed, BYTE_KEY, limit=40).collect())
+    fold = lambda lines: fold_continuations_stream(parse_regex(lines, REGEX, fmt=(), residual=False), 40)
+    schema = "file string, byte_pos bigint, log_line string, lines bigint, bytes bigint"
+    assert sorted((r.byte_pos, r.log_line) for r in one_shot(spark, tmp_path, fold, schema, "fold")) == want
+    records = sorted((r.byte_pos, r.line) for r in split_records(as_batch(spark, text), "^OK", BYTE_KEY).collect())
+    split = lambda lines: split_records_stream(lines, "^OK")
+    schema = "file string, byte_pos bigint, part bigint, line string"
+    assert sorted((r.byte_pos, r.line) for r in one_shot(spark, tmp_path, split, schema, "split")) == records
+    # A second run gives the new lines only, in a buffer of their own.
+    with open(tmp_path / "in" / "a.log", "a") as f:
+        f.write("more trace\n")
+    again = one_shot(spark, tmp_path, fold, "file string, byte_pos bigint, log_line string, lines bigint, bytes bigint", "fold")
+    assert len(again) == len(want) + 1 and max((r.byte_pos, r.log_line) for r in again)[1] == "more trace\\n"
