@@ -70,6 +70,14 @@ def first_places(lines: DataFrame, key: LineKey) -> DataFrame:
     )
 
 
+def last_places(lines: DataFrame, key: LineKey) -> DataFrame:
+    """Last line of every source: source, _block, _pos."""
+    by_slice = lines.groupBy(*key.slice).agg(F.max(key.pos).alias("_pos"))
+    return by_slice.groupBy(key.source).agg(
+        F.max(key.block).alias("_block"), F.max_by("_pos", key.block).alias("_pos")
+    )
+
+
 def resume_from(
     timed: DataFrame,
     cursors: DataFrame,

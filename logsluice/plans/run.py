@@ -16,13 +16,24 @@ from logsluice.operators.delivery import (
     encoded_size,
     event_batches,
 )
-from logsluice.operators.flow import carry_app_ver, fold_continuations, limit_age, resume_from, split_records, split_rejects
+from logsluice.operators.flow import (
+    age_cutoff,
+    carry_app_ver,
+    fold_continuations,
+    last_places,
+    limit_age,
+    resume_from,
+    split_records,
+    split_rejects,
+)
 from logsluice.operators.parsers import OK, parse_lines, with_defaults
+from logsluice.operators.quality import file_cursors
 from logsluice.operators.records import EVENT_TIME, encode_csv, process, to_record, union_all
 from logsluice.session import configure
-from logsluice.sinks.files import write_csv
+from logsluice.sinks.files import load_cursors, save_cursors, write_csv
+from logsluice.sinks.ledger import batch_name
 from logsluice.sinks.objects import BUFFER_BYTES, write_objects
-from logsluice.sources.text import read_lines, skip_header
+from logsluice.sources.text import read_lines, skip_header, skip_header_stream
 from logsluice.spec import Identity, LineKey, RecordFormat, SinkSpec, SourceSpec, SpecError, validate_format
 
 RAW_LINE = "raw_line"
@@ -38,6 +49,7 @@ class SourcePlan:
     events: DataFrame  # key columns, line, attributes as text
     rejects: DataFrame  # key columns, line, reason
     timed: DataFrame  # every line with its attributes, parse_ok and event_ts
+    tail: DataFrame | None = None  # lines of buffers that are still open, as they came
 
 
 def plan_lines(
@@ -50,18 +62,26 @@ def plan_lines(
     cursors: DataFrame | None = None,
     follow_version: bool = False,
     files: int | None = None,
+    growing: bool = False,
+    hold_open: bool = False,
+    known_version: str = "",
 ) -> SourcePlan:
     """Lines of a source -> records, in the order of gates: header, parse, resume, age, rejects.
 
-    ``files`` is the number of files behind the lines, where known.
+    ``files`` is the number of files behind the lines, where known. Lines of ``growing`` files are a
+    part of them: the header is the line at byte 0 of ``key.pos``. With ``hold_open`` the buffer of a
+    file that ends in unparseable lines stays open, in ``tail``. ``known_version`` names a column
+    with the version before these lines.
     """
+    columns = lines.columns
     if spec.front_split_regex:
         lines = split_records(lines, spec.front_split_regex, key).drop("part")
     if spec.skip_header_line:
-        lines = skip_header(lines, key, files)
+        lines = skip_header_stream(lines, key.pos) if growing else skip_header(lines, key, files)
     version: str | Column = spec.app_ver
     if follow_version:
-        lines = carry_app_ver(lines, spec.app_ver, key, name=MARKED)
+        configured = F.coalesce(F.col(known_version), F.lit(spec.app_ver)) if known_version else spec.app_ver
+        lines = carry_app_ver(lines, configured, key, name=MARKED).drop(known_version)
         version = F.col(MARKED)
     identity = Identity(spec.app, version, spec.hostname, F.col(key.source), ingest)
     timed = process(parse_lines(lines, spec, fmt, identity), spec.time_format)
@@ -70,14 +90,38 @@ def plan_lines(
     if cutoff is not None:
         timed = limit_age(timed, cutoff)
     good, rejects = split_rejects(timed, key=key)
+    tail = None
     if spec.buffer_multi_lines:
-        folded = fold_continuations(timed, key).withColumnRenamed("log_line", "_text").drop("lines", "bytes")
+        folded = fold_continuations(timed, key)
+        if hold_open:
+            folded, tail = hold_open_buffers(timed, folded, columns, key)
+        folded = folded.withColumnRenamed("log_line", "_text").drop("lines", "bytes")
         filled = with_defaults(folded, fmt, Identity(spec.app, spec.app_ver, spec.hostname, F.col(key.source), ingest))
         filled = filled.withColumn("log_line", F.col("_text")).withColumnRenamed("_text", "line")
         good = good.unionByName(filled.withColumn(OK, F.lit(True)), allowMissingColumns=True)
         rejects = rejects.limit(0)
     records = to_record(good.withColumn(RAW_LINE, F.col("line")), fmt, keep=(*key.columns, RAW_LINE))
-    return SourcePlan(records, good.drop(OK, EVENT_TIME), rejects, timed)
+    return SourcePlan(records, good.drop(OK, EVENT_TIME), rejects, timed, tail)
+
+
+def hold_open_buffers(
+    timed: DataFrame, folded: DataFrame, columns: Sequence[str], key: LineKey
+) -> tuple[DataFrame, DataFrame]:
+    """(closed buffers, lines of the open ones). The last buffer of a file is open when no parsed line follows it.
+
+    Both tables that are broadcast have a row for each file of these lines, which the driver has listed.
+    """
+    parsed = last_places(timed.filter(F.coalesce(F.col(OK), F.lit(False))), key)
+    parsed = parsed.select(key.source, F.struct("_block", "_pos").alias("_parsed"))
+    last = last_places(folded, key).select(key.source, F.struct("_block", "_pos").alias("_open"))
+    opened = last.join(F.broadcast(parsed), key.source, "left").filter(F.col("_parsed").isNull() | (F.col("_open") > F.col("_parsed")))
+    opened = F.broadcast(opened.select(key.source, "_open"))
+    place = F.struct(F.col(key.block).alias("_block"), F.col(key.pos).alias("_pos"))
+    later = F.coalesce(place >= F.col("_open"), F.lit(False))
+    closed = folded.join(opened, key.source, "left").filter(~later).drop("_open")
+    tail = timed.filter(~F.coalesce(F.col(OK), F.lit(False))).join(opened, key.source, "left").filter(later)
+    have = [c for c in columns if c in tail.columns]
+    return closed, tail.select(*have)
 
 
 def plan_source(spark: SparkSession, spec: SourceSpec, fmt: RecordFormat, **options) -> SourcePlan:
@@ -112,12 +156,16 @@ def write_sink(
     events: Sequence[DataFrame] = (),
     key: LineKey = LineKey(),
     uploaded: datetime | None = None,
-    batch_id: int | None = None,
+    batch_id: int | str | None = None,
 ) -> None:
-    """Deliver the records of a sink: CSV files, objects with manifest, record batches or event batches."""
+    """Deliver the records of a sink: CSV files, objects with manifest, record batches or event batches.
+
+    What a ``batch_id`` has delivered is replaced, or left as it is, when it is delivered again.
+    """
     fmt, options = sink.record_format, sink.options
+    suffix = "" if batch_id is None else f"/{batch_name(batch_id)}"
     if sink.type == "csv":
-        write_csv(records, sink.path if batch_id is None else f"{sink.path}/batch-{batch_id:012d}", fmt)
+        write_csv(records, f"{sink.path}{suffix}", fmt)
     elif sink.type == "s3":
         write_objects(
             records,
@@ -139,17 +187,21 @@ def write_sink(
         small, large = drop_oversize(encoded)
         batched = assign_batches(small, encoded_size(F.col("csv_line")), key.slice, [key.pos])
         batches = collect_batches(batched, [*key.slice, "batch"], [key.pos])
-        suffix = "" if batch_id is None else f"/batch-{batch_id:012d}"
         batches.write.mode("overwrite").parquet(f"{sink.path}/batches{suffix}")
         large.write.mode("overwrite").parquet(f"{sink.path}/oversize{suffix}")
     else:
-        suffix = "" if batch_id is None else f"/batch-{batch_id:012d}"
         plain = {*key.columns, "line", RAW_LINE, MARKED}
         api_key = str(options.get("api_key", ""))
         posts = [event_batches(e, [c for c in e.columns if c not in plain], api_key, key) for e in events]
         union_all(posts).write.mode("overwrite").parquet(f"{sink.path}{suffix}")
 
 
+def merged_cursors(new: DataFrame, old: DataFrame) -> DataFrame:
+    """Cursors after a run: the new ones, and the old ones of files without lines in it."""
+    columns = ["file", "last_event_ts", "app_ver"]
+    return new.select(*columns).unionByName(old.select(*columns).join(new.select("file"), "file", "left_anti"))
+
+
 def run_sources(
     spark: SparkSession,
     sources: Sequence[SourceSpec],
@@ -157,12 +209,23 @@ def run_sources(
     key: LineKey = LineKey(),
     rejects_path: str = "",
     uploaded: datetime | None = None,
+    cursors_path: str = "",
+    age_days: int | None = None,
     **options,
 ) -> dict[str, DataFrame]:
-    """Read, parse and deliver everything once. Gives the record table of every sink."""
+    """Read, parse and deliver everything once. Gives the record table of every sink.
+
+    With ``cursors_path`` each file goes on after the last time that the cursors there tell, and
+    new ones are saved behind the delivery. ``age_days`` leaves out older events.
+    """
     configure(spark)
     by_name = {s.name: s for s in sinks}
     check_specs(sources, by_name)
+    known = load_cursors(spark, cursors_path) if cursors_path else None
+    if known is not None:
+        options["cursors"] = known
+    if age_days is not None:
+        options["cutoff"] = age_cutoff(age_days)
     plans = [(s, plan_source(spark, s, by_name[s.sink].record_format, key=key, **options)) for s in sources]
     routed = route(plans)
     for name, records in routed.items():
@@ -170,4 +233,7 @@ def run_sources(
         write_sink(spark, by_name[name], records, events, key, uploaded)
     if rejects_path:
         union_all([p.rejects for _, p in plans]).write.mode("overwrite").parquet(rejects_path)
+    if known is not None:
+        seen = [file_cursors(p.timed, key, app_ver=s.app_ver).withColumnRenamed(key.source, "file") for s, p in plans]
+        save_cursors(merged_cursors(union_all(seen), known), cursors_path)
     return routed

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsluice.functions.layouts import iso_ts
 from logsluice.operators.records import encode_csv
-from logsluice.sinks.ledger import first_upload
+from logsluice.sinks.ledger import first_upload, open_folder, present
+from logsluice.sources.text import CURSOR_SCHEMA, read_cursors
 from logsluice.spec import DEFAULT_FORMAT, RecordFormat
 
 MANIFEST_SCHEMA = "fullpath string, table_name string, ddl_version string, record_count bigint"
@@ -83,5 +84,35 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
 
 def write_cursors(cursors: DataFrame, path: str) -> None:
     """Cursor table as CSV ``file,last_event_ts,app_ver``, replacing the one before."""
-    shown = cursors.select(cursors.columns[0], iso_ts(F.col("last_event_ts")).alias("last_event_ts"), "app_ver")
+    # All digits of the time, so that a run does not meet the cursor's own line again.
+    when = F.concat(F.translate(F.col("last_event_ts").cast("string"), " ", "T"), F.lit("Z"))
+    shown = cursors.select(cursors.columns[0], when.alias("last_event_ts"), "app_ver")
     shown.write.mode("overwrite").option("escape", '"').csv(path)
+
+
+CURSORS = "cursors-"
+
+
+def _saved_cursors(path: str) -> list[str]:
+    """Names of the complete cursor tables below a folder, oldest first."""
+    system, root = open_folder(path.rstrip("/"))
+    if not present(system, root):
+        return []
+    names = sorted(i.base_name for i in system.get_file_info(fs.FileSelector(root)) if i.base_name.startswith(CURSORS))
+    return [n for n in names if present(system, f"{root}/{n}/_SUCCESS")]
+
+
+def load_cursors(spark: SparkSession, path: str) -> DataFrame:
+    """The last cursor table that was saved whole below ``path``; empty before the first."""
+    names = _saved_cursors(path)
+    return read_cursors(spark, f"{path.rstrip('/')}/{names[-1]}") if names else spark.createDataFrame([], CURSOR_SCHEMA)
+
+
+def save_cursors(cursors: DataFrame, path: str) -> None:
+    """Save a cursor table beside the one before, which the rows may still come from; older ones go."""
+    names = _saved_cursors(path)
+    number = int(names[-1][len(CURSORS) :]) + 1 if names else 0
+    write_cursors(cursors.coalesce(1), f"{path.rstrip('/')}/{CURSORS}{number:012d}")
+    system, root = open_folder(path.rstrip("/"))
+    for name in names[:-1]:
+        system.delete_dir(f"{root}/{name}")

@@ -67,8 +67,9 @@ class Ledger:
         return sorted(n.removesuffix(".json") for n in found if n.endswith(".json") and not n.startswith(".") and n.startswith(prefix))
 
 
-def batch_name(batch_id: int) -> str:
-    return f"batch-{batch_id:012d}"
+def batch_name(batch_id: int | str) -> str:
+    """Name of a delivery: that of a micro-batch by its number, or one of the caller's own."""
+    return batch_id if isinstance(batch_id, str) else f"batch-{batch_id:012d}"
 
 
 def first_upload(path: str, batch_id: int, now: datetime | None = None) -> datetime:

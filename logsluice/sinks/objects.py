@@ -94,6 +94,11 @@ class _OpenObject:
         return self.path, self.bytes.md5.hexdigest(), self.records, self.bytes.size
 
 
+def given_name(batch: str | None) -> str | None:
+    """Name of a delivery from the option ``batchId``."""
+    return batch_name(int(batch) if str(batch).isdigit() else batch) if batch is not None else None
+
+
 class _Delivery:
     """The part that batch and stream writers share."""
 
@@ -114,7 +119,7 @@ class _Delivery:
         # Writer and committer may be made apart, so a name that both know comes as an option. A
         # name that outlives a run lets the next attempt clear what a killed one left.
         known = options.get("batchId", options.get("batchid"))
-        self.staging = f"{self.path}/{STAGING}/{option('staging') or (batch_name(int(known)) if known is not None else uuid.uuid4().hex)}"
+        self.staging = f"{self.path}/{STAGING}/{option('staging') or (given_name(known) or uuid.uuid4().hex)}"
 
     # -- on executors
 
@@ -198,7 +203,7 @@ class ObjectWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.delivery = _Delivery(options)
         known = options.get("batchId", options.get("batchid"))
-        self.name = batch_name(int(known)) if known is not None else f"run-{uuid.uuid4().hex}"
+        self.name = given_name(known) or f"run-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
         return self.delivery.stage(iterator)
@@ -247,6 +252,15 @@ def _options(**named) -> dict[str, str]:
     return {k: str(v) for k, v in named.items() if v not in (None, "", 0)}
 
 
+def register(rows: DataFrame) -> None:
+    """Make the format known to the session of the rows and to the active one: inside a micro-batch
+    that is the stream's own copy of the session."""
+    rows.sparkSession.dataSource.register(ObjectSink)
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        active.dataSource.register(ObjectSink)
+
+
 def write_objects(
     records: DataFrame,
     path: str,
@@ -259,7 +273,7 @@ def write_objects(
     max_records: int = 0,
     gzip: bool = False,
     uploaded: datetime | None = None,
-    batch_id: int | None = None,
+    batch_id: int | str | None = None,
     ledger: str = "",
 ) -> None:
     """Records as CSV objects below ``path``, in line order inside each slice of ``key``.
@@ -284,15 +298,15 @@ def write_encoded(
     max_records: int = 0,
     gzip: bool = False,
     uploaded: datetime | None = None,
-    batch_id: int | None = None,
+    batch_id: int | str | None = None,
     ledger: str = "",
 ) -> None:
     """The same for rows that hold their ``csv_line`` already, shuffled once, by shard."""
     if batch_id is not None and Ledger(ledger or f"{path.rstrip('/')}/{LEDGER}").rows(batch_name(batch_id)) is not None:
         return
-    encoded.sparkSession.dataSource.register(ObjectSink)
     ordered = encoded.repartition(*shard_by).sortWithinPartitions(*shard_by, *order_by)
     rows = ordered.select(F.xxhash64(*shard_by).alias("shard"), "csv_line")
+    register(rows)
     options = _options(
         path=path, table=table, prefix=prefix, ddlVersion=ddl_version, bufferSize=buffer_bytes, maxRecords=max_records,
         compression="gzip" if gzip else "", uploaded=uploaded.isoformat() if uploaded else "", ledger=ledger,
