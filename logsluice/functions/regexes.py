@@ -144,23 +144,31 @@ def tokenize(pattern: str) -> list[Token]:
     return out
 
 
+# Parts of a cut line: text outside and inside of captures, and captures that lie in another one.
+PLAIN, CAPTURE, INNER = "plain", "capture", "inner"
+
+
 @dataclass(frozen=True)
 class LineRegex:
     """A compiled line regex.
 
-    ``java`` numbers the spec's groups 1..n. When every group stands at top level
-    ("flat"), ``pieces`` lists the regex as alternating plain and captured pieces, which
-    lets one replacement give both the captures and the text between them.
+    ``java`` numbers the spec's groups 1..n. ``cut`` matches the same lines and has a group for
+    every stretch of text, at whatever depth, in the order of the text; ``kinds`` names them, and
+    ``places`` gives the group of each of the spec's groups. One replacement with it gives both the
+    captures and the text between them.
     """
 
     source: str
     java: str
     names: tuple[str, ...]
-    pieces: tuple[tuple[bool, str], ...] | None
+    cut: str
+    kinds: tuple[str, ...]
+    places: tuple[int, ...]
+    branches: bool
 
     @property
     def anchored(self) -> bool:
-        return self.java.startswith("^") and self.pieces is not None
+        return self.java.startswith("^") and not self.branches
 
     def _whole(self, body: str) -> str:
         head = r"\A()" if self.anchored else r"\A((?s:.*?))"
@@ -173,13 +181,10 @@ class LineRegex:
         return self._split(line, self._whole(self.java), SEP + template, [i + 1 for i in range(1, n + 1)], skip=1)
 
     def parts(self, line: Column) -> Column:
-        """Whole line cut in 2n + 3 texts on a match: lead, plain, capture, plain, ..., tail."""
-        if self.pieces is None:
-            raise RegexError("groups are nested or optional alternatives; use nested_residual")
-        body = "".join(f"({text})" for _, text in self.pieces)
-        count = len(self.pieces) + 2
+        """Whole line cut in texts on a match: lead, one for each of ``kinds``, tail; else one element."""
+        count = len(self.kinds) + 2
         template = SEP.join(f"${i}" for i in range(1, count + 1))
-        return self._split(line, self._whole(body), template, list(range(1, count + 1)), skip=0)
+        return self._split(line, self._whole(self.cut), template, list(range(1, count + 1)), skip=0)
 
     @staticmethod
     def _split(line: Column, whole: str, template: str, groups: list[int], skip: int) -> Column:
@@ -189,46 +194,125 @@ class LineRegex:
         return F.when(F.contains(line, F.lit(SEP)), slow).otherwise(quick)
 
 
-def _flat_pieces(tokens: list[Token]) -> tuple[tuple[bool, str], ...] | None:
-    """Plain and captured pieces of a regex whose groups all stand at top level, else None."""
-    depth, capture_depth = 0, None
-    plain: list[str] = []
-    inner: list[str] = []
-    pieces: list[tuple[bool, str]] = []
-    for i, t in enumerate(tokens):
-        if t.kind == "alt" and depth == 0:
-            return None
+@dataclass
+class _Node:
+    """A piece of a regex with its quantifier; a group has branches."""
+
+    text: str
+    name: str | None = None
+    branches: list[list[_Node]] | None = None
+    quant: str = ""
+
+    @property
+    def captures(self) -> bool:
+        return self.name is not None or any(n.captures for b in self.branches or () for n in b)
+
+
+def _tree(tokens: list[Token]) -> list[list[_Node]]:
+    stack: list[list[list[_Node]]] = [[[]]]
+    groups: list[_Node] = []
+    for t in tokens:
         if t.kind == "open":
-            depth += 1
-            if t.name is not None:
-                if depth > 1 or capture_depth is not None:
-                    return None
-                capture_depth = depth
-                pieces.append((False, "".join(plain)))
-                plain = []
-                continue
-        if t.kind == "close":
-            closes_capture = capture_depth == depth
-            depth -= 1
-            if closes_capture:
-                capture_depth = None
-                quant = tokens[i + 1].text if i + 1 < len(tokens) and tokens[i + 1].kind == "quant" else ""
-                if quant in ("?", "??"):
-                    pieces.append((True, f"(?:{''.join(inner)}){quant}"))
-                elif quant:
-                    return None  # the capture is the last repetition only
+            node = _Node(t.text, t.name, [])
+            stack[-1][-1].append(node)
+            groups.append(node)
+            stack.append([[]])
+        elif t.kind == "close":
+            if not groups:
+                raise RegexError("a group is closed that was not opened")
+            groups.pop().branches = stack.pop()
+        elif t.kind == "alt":
+            stack[-1].append([])
+        elif t.kind == "quant" and stack[-1][-1]:
+            stack[-1][-1][-1].quant += t.text
+        else:
+            stack[-1][-1].append(_Node(t.text))
+    if groups:
+        raise RegexError("a group is not closed")
+    return stack[0]
+
+
+def _bare(branches: list[list[_Node]]) -> str:
+    """The same regex without captures."""
+
+    def one(node: _Node) -> str:
+        if node.branches is None:
+            return node.text + node.quant
+        return ("(?:" if node.name is not None else node.text) + _bare(node.branches) + ")" + node.quant
+
+    return "|".join("".join(map(one, branch)) for branch in branches)
+
+
+def _repeats(quant: str) -> tuple[int, int | None, str]:
+    """(least, most, laziness) of a quantifier."""
+    if not quant:
+        return 1, 1, ""
+    lazy = "?" if len(quant) > 1 and quant[-1] == "?" else ""
+    body = quant.removesuffix("?") if lazy else quant
+    if body[0] != "{":
+        return {"?": (0, 1), "*": (0, None), "+": (1, None)}[body] + (lazy,)
+    low, comma, high = body[1:-1].partition(",")
+    return int(low), (int(high) if high else None) if comma else int(low), lazy
+
+
+class _Cutter:
+    """Writes a regex anew with groups for all stretches of text."""
+
+    def __init__(self) -> None:
+        self.kinds: list[str] = []
+        self.places: list[int] = []
+
+    def group(self, kind: str) -> int:
+        self.kinds.append(kind)
+        return len(self.kinds)
+
+    def branches(self, branches: list[list[_Node]], inside: bool) -> str:
+        return "|".join(self.sequence(branch, inside) for branch in branches)
+
+    def sequence(self, nodes: list[_Node], inside: bool) -> str:
+        """``inside`` a capture no stretches are cut: the whole of it is one."""
+        out, plain = [], []
+
+        def flush() -> None:
+            if plain:
+                if inside:
+                    out.extend(plain)
                 else:
-                    pieces.append((True, "".join(inner)))
-                inner = []
-                continue
-        if t.kind == "quant" and i and tokens[i - 1].kind == "close" and not inner and not plain and pieces \
-                and capture_depth is None:
-            continue  # belongs to the capture just closed
-        if t.kind == "atom" and t.text.startswith("(?"):
-            return None  # a flag for the rest of the pattern would end at the piece's border
-        (inner if capture_depth is not None else plain).append(t.text)
-    pieces.append((False, "".join(plain)))
-    return tuple(pieces)
+                    self.group(PLAIN)
+                    out.append("(" + "".join(plain) + ")")
+                plain.clear()
+
+        for node in nodes:
+            if node.branches is None and node.text.startswith("(?"):
+                flush()  # a flag counts up to the end of its group, so it stands outside of stretches
+                out.append(node.text)
+            elif not node.captures:
+                plain.append(_bare([[node]]))
+            else:
+                flush()
+                out.append(self.capturing(node, inside))
+        flush()
+        return "".join(out)
+
+    def capturing(self, node: _Node, inside: bool) -> str:
+        """A group with captures. Those of a repeated one are of the last time; the times before are plain text."""
+        low, high, lazy = _repeats(node.quant)
+        before = ""
+        if high is None or high > 1:
+            bare = "(?:" if node.name is not None else node.text
+            more = "" if high is None else str(high - 1)
+            repeated = f"{bare}{_bare(node.branches)}){{{max(0, low - 1)},{more}}}{lazy}"
+            if inside:
+                before = repeated
+            else:
+                self.group(PLAIN)
+                before = f"({repeated})"
+        if node.name is not None:
+            self.places.append(self.group(INNER if inside else CAPTURE))
+            last = "(" + self.branches(node.branches, True) + ")"
+        else:
+            last = node.text + self.branches(node.branches, inside) + ")"
+        return f"(?:{before}{last})?{lazy}" if low == 0 else before + last
 
 
 @lru_cache(maxsize=256)
@@ -236,7 +320,9 @@ def compile_regex(pattern: str) -> LineRegex:
     tokens = tokenize(pattern)
     names = tuple(t.name or "" for t in tokens if t.kind == "open" and t.name is not None)
     java = "".join(t.text for t in tokens)
-    return LineRegex(pattern, java, names, _flat_pieces(tokens))
+    tree, cutter = _tree(tokens), _Cutter()
+    cut = cutter.branches(tree, False)
+    return LineRegex(pattern, java, names, cut, tuple(cutter.kinds), tuple(cutter.places), len(tree) > 1)
 
 
 def to_java(pattern: str) -> str:

@@ -137,33 +137,91 @@ def running_count(df: DataFrame, flag: Column, name: str, key: LineKey = LineKey
     return inner.join(base, key.slice).withColumn(name, F.col("_base") + F.col("_in")).drop("_base", "_in")
 
 
+# Digits of a slice number in the tree of counts, of 8 bits each.
+TREE_LEVELS = 8
+
+
+def counts_before(counts: DataFrame, number: str, count: str, name: str) -> DataFrame:
+    """counts (one row per ``number``, a whole number from 0) with the sum of the counts of smaller numbers.
+
+    The numbers are leaves of a tree by their digits. A node's count goes to its siblings to the
+    right, at most 255, and what lies before a number is the sum of that along its path. So no
+    task sees all rows, whatever the numbers are.
+    """
+    levels = F.array(*(F.struct(F.lit(k).alias("_level"), F.shiftright(number, 8 * k).alias("_node")) for k in range(TREE_LEVELS)))
+    paths = counts.select(number, count, F.explode(levels).alias("_at")).select(number, count, "_at.*")
+    nodes = paths.groupBy("_level", "_node").agg(F.sum(count).alias("_n"))
+    siblings = Window.partitionBy("_level", F.shiftright("_node", 8)).orderBy("_node").rowsBetween(Window.unboundedPreceding, -1)
+    nodes = nodes.select("_level", "_node", F.coalesce(F.sum("_n").over(siblings), F.lit(0)).alias("_left"))
+    before = paths.join(nodes, ["_level", "_node"]).groupBy(number).agg(F.sum("_left").alias(name))
+    return counts.join(before, number)
+
+
 def number_lines(df: DataFrame, slice_by: Sequence[str], order_by: Sequence[str], name: str = "line_id") -> DataFrame:
     """Number rows 1, 2, ... over all slices in order, and inside a slice by ``order_by``.
 
-    Rows are only gathered by slice; the slices' counts (one row each) give the start numbers.
+    ``slice_by`` begins with a whole number from 0, such as a block. Rows are only gathered by slice.
+    Start numbers come in three levels: inside a slice, over the slices of a block, over blocks.
     """
+    block = slice_by[0]
     inner = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*slice_by).orderBy(*order_by)))
-    base = df.groupBy(*slice_by).agg(F.count(F.lit(1)).alias("_n"))
-    over = Window.orderBy(*slice_by).rowsBetween(Window.unboundedPreceding, -1)
-    base = base.select(*slice_by, F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_base"))
+    slices = df.groupBy(*slice_by).agg(F.count(F.lit(1)).alias("_n"))
+    blocks = slices.groupBy(block).agg(F.sum("_n").alias("_n"))
+    blocks = counts_before(blocks.select(F.col(block).cast("long").alias("_block"), "_n"), "_block", "_n", "_blocks")
+    inside = Window.partitionBy(block).orderBy(*slice_by[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.withColumn("_base", F.coalesce(F.sum("_n").over(inside), F.lit(0))) if len(slice_by) > 1 else slices.withColumn("_base", F.lit(0))
+    base = slices.join(blocks.select(F.col("_block").alias(block), "_blocks"), block)
+    base = base.select(*slice_by, (F.col("_base") + F.col("_blocks")).alias("_base"))
     return inner.join(base, list(slice_by)).withColumn(name, F.col("_base") + F.col("_rn")).drop("_base", "_rn")
 
 
+def last_before(marks: Column, place: Column) -> Column:
+    """Number of elements of a sorted array of structs that are not after ``place``, by halving steps."""
+    doublings = F.ceil(F.log2(F.size(marks) + 1)).cast("int")
+    steps = F.transform(F.sequence(doublings, F.lit(0)), lambda k: F.pow(F.lit(2), k).cast("int"))
+
+    def step(found: Column, width: Column) -> Column:
+        at = found + width
+        return F.when((at <= F.size(marks)) & (F.get(marks, at - 1)["at"] <= place), at).otherwise(found)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
 def carry_app_ver(
-    lines: DataFrame, configured: Column | str = "", key: LineKey = LineKey(), line: str = "line", name: str = "app_ver"
+    lines: DataFrame,
+    configured: Column | str = "",
+    key: LineKey = LineKey(),
+    line: str = "line",
+    name: str = "app_ver",
+    max_markers: int | None = None,
 ) -> DataFrame:
     """Version announced by the last marker line at or before each line; before any, the configured one.
 
-    The marker is copied to the lines of its slice by a window; across slices the last marker
-    of each slice (one row) is carried by a window over slices.
+    Markers are rare: a sorted array of them for each source goes to the lines, which stay where
+    they are, and each line looks up the last one before it. With more than ``max_markers``
+    (counted) the lines are brought together by slice instead.
     """
+    default = F.lit(configured) if isinstance(configured, str) else configured
     found = regex_get(F.col(line), to_java(VERSION_MARKER))
-    marked = lines.withColumn("_ver", found)
+    markers = lines.filter(F.col(line).rlike(to_java(VERSION_MARKER)))
+    most = MAX_BROADCAST_ROWS if max_markers is None else max_markers
+    if markers.limit(most + 1).count() > most:
+        return _carry_by_slice(lines.withColumn("_ver", found), default, key, name)
+    place = F.struct(F.col(key.block).cast("long").alias("block"), F.col(key.pos).cast("long").alias("pos"))
+    marks = markers.select(F.col(key.source).alias("_source"), F.struct(place.alias("at"), found.alias("ver")).alias("_mark"))
+    marks = marks.groupBy("_source").agg(F.array_sort(F.collect_list("_mark")).alias("_marks"))
+    joined = lines.join(F.broadcast(marks), F.col(key.source).eqNullSafe(F.col("_source")), "left")
+    version = F.when(F.col("_marks").isNotNull(), F.get("_marks", last_before(F.col("_marks"), place) - 1)["ver"])
+    return joined.withColumn(name, F.coalesce(version, default)).drop("_source", "_marks")
+
+
+def _carry_by_slice(marked: DataFrame, default: Column, key: LineKey, name: str) -> DataFrame:
+    """The marker is copied to the lines of its slice by a window; across slices the last marker of
+    each slice (one row) is carried by a window over slices."""
     inner = marked.withColumn("_in", F.last("_ver", ignorenulls=True).over(_inside(key)))
     marker = F.when(F.col("_ver").isNotNull(), F.struct(key.pos, "_ver"))
     last = marked.groupBy(*key.slice).agg(F.array_max(F.collect_list(marker))["_ver"].alias("_last"))
     carried = last.select(*key.slice, F.last("_last", ignorenulls=True).over(_before(key)).alias("_base"))
-    default = F.lit(configured) if isinstance(configured, str) else configured
     version = F.coalesce(F.col("_in"), F.col("_base"), default)
     return inner.join(carried, key.slice).withColumn(name, version).drop("_ver", "_in", "_base")
 

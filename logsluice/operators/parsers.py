@@ -7,15 +7,13 @@ of the record format (plus the attributes found on the line) and a boolean
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsluice.functions.layouts import iso_ts
-from logsluice.functions.regexes import RegexError, compile_regex, to_java
+from logsluice.functions.regexes import CAPTURE, PLAIN, RegexError, compile_regex, to_java
 from logsluice.functions.scalars import (
     drop_empty_pairs,
     drop_space_runs,
@@ -73,40 +71,21 @@ def attach(df: DataFrame, values: Mapping[str, Column], drop: Sequence[str] = ()
 # -- regex ------------------------------------------------------------------------
 
 
-def regex_residual_of(parts: Column, groups: int) -> Column:
-    """Line text outside the captures, tidied, from the parts of a flat regex."""
-    # Parts: lead, plain, capture, plain, ..., capture, plain, tail.
-    blanked = F.transform(
-        parts,
-        lambda part, i: F.when(
-            (i % 2 == 0) & (i > 0) & (i < 2 * groups + 2), F.repeat(F.lit(" "), F.octet_length(part))
-        ).otherwise(part),
-    )
-    return trim_white(drop_empty_pairs(drop_space_runs(F.array_join(blanked, ""))))
-
-
-def _nested_residual(pattern: str) -> Callable[[Column], Column]:
-    """The same for regexes with nested or repeated groups, which need the positions of captures."""
-
-    @F.pandas_udf("string")
-    def blank(lines: pd.Series) -> pd.Series:
-        regex = re.compile(pattern)
+def regex_residual_of(parts: Column, kinds: Sequence[str]) -> Column:
+    """Line text outside the captures, tidied, from the parts of a cut line.
 
-        def one(line: str | None) -> str | None:
-            m = regex.search(line) if line is not None else None
-            if m is None:
-                return line
-            for g in range(1, regex.groups + 1):
-                a, b = m.span(g)
-                if a >= 0:
-                    # Blanks stand for bytes; runs of two or more vanish later, so the count
-                    # only matters for telling one byte from several.
-                    line = line[:a] + "\x20" * (b - a) + line[b:]
-            return line
-
-        return lines.map(one)
-
-    return lambda line: trim_white(drop_empty_pairs(drop_space_runs(blank(line))))
+    Captures inside of others are blanked with them.
+    """
+    blanked = [F.get(parts, F.lit(0))]
+    for i, kind in enumerate(kinds, 1):
+        part = F.get(parts, F.lit(i))
+        if kind == PLAIN:
+            blanked.append(part)
+        elif kind == CAPTURE:
+            # Blanks stand for bytes; runs of two or more vanish later.
+            blanked.append(F.repeat(F.lit(" "), F.octet_length(part)))
+    blanked.append(F.get(parts, F.lit(len(kinds) + 1)))
+    return trim_white(drop_empty_pairs(drop_space_runs(F.concat(*blanked))))
 
 
 def parse_regex(
@@ -126,18 +105,15 @@ def parse_regex(
     groups = len(regex.names)
     if groups == 0:
         return attach(lines, {**values, OK: F.lit(False)})
-    flat = residual and regex.pieces is not None
     text = F.col(line)
-    cut = compute_once(lines, "_cut", regex.parts(text) if flat else regex.captures(text))
+    cut = compute_once(lines, "_cut", regex.parts(text) if residual else regex.captures(text))
     parts = F.col("_cut")
     ok = F.size(parts) > 1
     for i, name in enumerate(regex.names):
-        at = 2 * (i + 1) if flat else i + 1
+        at = regex.places[i] if residual else i + 1
         values[name] = null_token(F.get(parts, F.lit(at)))  # NULL beyond the one part of a reject
-    if flat:
-        values["log_line"] = F.when(ok, regex_residual_of(parts, groups))
-    elif residual:
-        values["log_line"] = F.when(ok, _nested_residual(pattern)(text))
+    if residual:
+        values["log_line"] = F.when(ok, regex_residual_of(parts, regex.kinds))
     values.pop("", None)
     return attach(cut, {**values, OK: F.coalesce(ok, F.lit(False))}, drop=["_cut"])
 

@@ -793,13 +793,16 @@ def tail_of_source(spark, sf_dir):
 
 @query
 def sources(spark, sf_dir):
+    """Declared files, folders and globs; a folder doesn't own another that begins like it."""
     specs = [
-        SourceSpec("clicks", "click", "web", "regex"),
-        SourceSpec("trade", "p", "web", "json"),
-        SourceSpec("all-v", "v", "audit", "csv"),
-        SourceSpec("absent", "no-such", "audit", "csv"),
+        SourceSpec("clicks", "/logs/click", "web", "regex"),
+        SourceSpec("trade", "/logs/p*", "web", "json"),
+        SourceSpec("one-file", "file:///logs//view/1.log", "audit", "csv"),
+        SourceSpec("some", "/logs/{view,click}/[02].log", "audit", "csv"),
+        SourceSpec("absent", "/logs/cli", "audit", "csv"),
     ]
-    return list_sources(spark, specs, access_lines(spark, sf_dir), "event_type")
+    file = text("/logs/", F.col("event_type"), "/", F.col("user_id") % 3, ".log")
+    return list_sources(spark, specs, events(spark, sf_dir).select(file.alias("file")))
 
 
 @query

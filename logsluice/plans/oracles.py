@@ -516,11 +516,19 @@ SELECT event_type, event_id,
 FROM events WHERE event_type = 'purchase'"""
 
 ORACLES["sources"] = """
-WITH f AS (SELECT event_type AS file, count(*) AS lines FROM events GROUP BY event_type)
-SELECT s.name, s.path, s.stream, s.parse_mode, f.file, coalesce(f.lines, 0) AS lines
-FROM (VALUES ('clicks', 'click', 'web', 'regex'), ('trade', 'p', 'web', 'json'), ('all-v', 'v', 'audit', 'csv'),
-  ('absent', 'no-such', 'audit', 'csv')) AS s(name, path, stream, parse_mode)
-LEFT JOIN f ON starts_with(f.file, s.path)"""
+WITH f AS (
+  SELECT event_type AS folder, user_id % 3 AS part, '/logs/' || event_type || '/' || (user_id % 3) || '.log' AS file, count(*) AS lines
+  FROM events GROUP BY ALL),
+owned AS (
+  SELECT 'clicks' AS name, file, lines FROM f WHERE folder = 'click'
+  UNION ALL SELECT 'trade', file, lines FROM f WHERE folder LIKE 'p%'
+  UNION ALL SELECT 'one-file', file, lines FROM f WHERE folder = 'view' AND part = 1
+  UNION ALL SELECT 'some', file, lines FROM f WHERE folder IN ('view', 'click') AND part IN (0, 2))
+SELECT s.name, s.path, s.stream, s.parse_mode, o.file, coalesce(o.lines, 0) AS lines
+FROM (VALUES ('clicks', '/logs/click', 'web', 'regex'), ('trade', '/logs/p*', 'web', 'json'),
+  ('one-file', 'file:///logs//view/1.log', 'audit', 'csv'), ('some', '/logs/{view,click}/[02].log', 'audit', 'csv'),
+  ('absent', '/logs/cli', 'audit', 'csv')) AS s(name, path, stream, parse_mode)
+  LEFT JOIN owned o ON o.name = s.name"""
 
 ORACLES["routed_sources"] = f"""
 SELECT event_id, 'shop' AS app, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS event_datetime, 'web-1' AS hostname,

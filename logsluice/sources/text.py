@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -18,6 +19,14 @@ MAX_BROADCAST_FILES = 100_000
 CURSOR_SCHEMA = "file string, last_event_ts timestamp, app_ver string"
 
 
+def normal_path(path: str) -> str:
+    """A declared path in the form of ``plain_path``: no scheme of local files, no doubled or closing slash."""
+    path = re.sub(r"\Afile:/+", "/", path)
+    scheme, border, rest = path.rpartition("://")
+    rest = re.sub("/{2,}", "/", rest)
+    return scheme + border + (rest.rstrip("/") or rest)
+
+
 def _text_options(reader, extension: str):
     # Only "\n" ends a line: a "\r" stays on it and blank lines are kept.
     reader = reader.option("lineSep", "\n").option("recursiveFileLookup", "false")
@@ -26,15 +35,28 @@ def _text_options(reader, extension: str):
     return reader
 
 
-def read_lines(spark: SparkSession, paths: str | Sequence[str], extension: str = "") -> DataFrame:
+def plain_path(uri: Column) -> Column:
+    """Path of a file as it was declared, from a URI: characters as they are, and without the scheme
+    of local files."""
+    # A plus sign is itself in a path; to the decoder it is a blank.
+    decoded = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, r"\Afile:/+", "/")
+
+
+def read_lines(
+    spark: SparkSession, paths: str | Sequence[str], extension: str = "", only: Sequence[str] | None = None
+) -> DataFrame:
     """Lines of files or of the files directly in a directory: file, block_start, mid, line.
 
     Large files are cut into input splits; (file, block_start, mid) is the line order.
-    With ``extension`` only names with that ending are read.
+    With ``extension`` only names with that ending are read. ``only`` some files: the others are left
+    out when files are listed, before lines are numbered.
     """
     lines = _text_options(spark.read, extension).text(paths)
+    if only is not None:
+        lines = lines.filter(plain_path(F.col("_metadata.file_path")).isin(*map(normal_path, only)))
     return lines.select(
-        F.col("_metadata.file_path").alias("file"),
+        plain_path(F.col("_metadata.file_path")).alias("file"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("mid"),
         F.make_valid_utf8("value").alias("line"),
@@ -53,7 +75,7 @@ def stream_directory(
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
+        plain_path(F.col("_metadata.file_path")).alias("file"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.make_valid_utf8("value").alias("line"),
     )

@@ -11,6 +11,7 @@ from logsluice.operators.flow import (
     age_cutoff,
     bounded_broadcast,
     carry_app_ver,
+    counts_before,
     fold_continuations,
     limit_age,
     number_lines,
@@ -184,6 +185,36 @@ def test_carry_version(frame):
             assert got[r[:3]] == now
 
 
+def test_versions_leave_the_lines_where_they_are(frame):
+    rows = [(f, b, p, f"---- app_ver: {b}.{p}" if p == 3 else line, ok) for f, b, p, line, ok in make_lines(10)]
+    lines = frame(rows)
+    looked_up, by_slice = carry_app_ver(lines, "none", KEY), carry_app_ver(lines, "none", KEY, max_markers=1)
+    assert sorted(map(str, looked_up.collect())) == sorted(map(str, by_slice.select(*looked_up.columns).collect()))
+    plan = looked_up._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Window" not in plan
+    own = lines._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    # Only the markers of each source are exchanged.
+    assert plan.count("Exchange hashpartitioning(_source") == 1 and "hashpartitioning(file" not in plan
+    assert plan.count("Exchange ") - plan.count("BroadcastExchange ") <= 1 + 2 * own
+
+
+def test_counts_before_need_no_single_task(spark):
+    rnd = random.Random(12)
+    numbers = {rnd.choice([rnd.randrange(50), rnd.randrange(10**5), rnd.randrange(2**62)]): rnd.randint(0, 9) for _ in range(700)}
+    counts = spark.createDataFrame(list(numbers.items()), "b bigint, n bigint")
+    got = {r.b: r.before for r in counts_before(counts, "b", "n", "before").collect()}
+    total = 0
+    for b in sorted(numbers):
+        assert got[b] == total
+        total += numbers[b]
+
+
+def test_merged_numbers_use_no_single_partition(frame):
+    merged = merge_hosts({"a": frame(make_lines(11)), "b": frame(make_lines(12))})
+    plan = number_merged(merged, KEY)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+
+
 @pytest.fixture
 def timed(spark):
     def make(seed, n=400):
@@ -269,6 +300,6 @@ def test_merge_view_catalogue(frame, spark):
     ids = sorted(r.line_id for r in number_merged(merged, KEY).select("line_id").collect())
     assert ids == list(range(1, 1201))
     assert tail_view(merged, "hot").filter("file <> 'hot'").count() == 0
-    specs = [SourceSpec("h", "ho", "s", "csv"), SourceSpec("n", "zz", "s", "csv")]
+    specs = [SourceSpec("h", "hot", "s", "csv"), SourceSpec("n", "ho", "s", "csv")]
     listed = {r.name: (r.file, r.lines) for r in list_sources(spark, specs, a).collect()}
     assert listed["n"] == (None, 0) and listed["h"] == ("hot", a.filter("file = 'hot'").count())

@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+import re
 
 import pandas as pd
 import pytest
@@ -98,7 +100,7 @@ def test_regex_dialect(lines):
     parsed = parse_regex(lines("ab\rc", "x[y"), r"^(?P<a>a)?(?P<rest>.*)$", fmt=(), residual=False)
     assert [r.rest for r in parsed.orderBy("i").collect()] == ["b\rc", "x[y"]
     assert parse_regex(lines("q[]"), r"^q(?P<a>[[&&\]]+)$", fmt=()).first().a == "[]"
-    assert compile_regex(r"(?P<a>x(?P<b>y))").pieces is None
+    assert compile_regex(r"u(?P<a>x(?P<b>y))v").kinds == ("plain", "capture", "inner", "plain")
     for bad in (r"(?=x)(?P<a>y)", r"(?P<a>x)\1", r"(?U)(?P<a>x+)"):
         with pytest.raises(RegexError):
             compile_regex(bad)
@@ -110,6 +112,61 @@ def test_nested_groups_residual(lines):
     assert (row.time, row.hour, row.minute, row.log_line) == ("10:20", "10", "20", "atdone")
 
 
+
+def blanked(regex, line):
+    """What the captures of the first match leave of a line, before tidying."""
+    m = re.search(regex, line)
+    if m is None:
+        return None
+    out = list(line)
+    for g in range(1, m.re.groups + 1):
+        for i in range(*m.span(g)):
+            out[i] = " "
+    text = re.sub(" {2,}", "", "".join(out))
+    for empty in ("[]", "()", "- ", '""', "(ms)", "\\N"):
+        text = text.replace(empty, "")
+    return text.strip()
+
+
+NESTED = [
+    r"(?P<t>(?P<h>\d+):(?P<m>\d*))",
+    r"(?P<a>\d+)(?:-(?P<b>[a-c]+))? (?P<c>[a-c])",
+    r"(?:k(?P<x>\d)|j(?P<y>[a-c]))z?",
+    r"^(?:(?P<w>[a-c]+)[ :])+(?P<n>\d)",
+    r"(?P<r>\d)+[a-c]",
+    r"(?P<r>[a-c]){2,3}(?:x(?P<d>\d)?)*",
+    r"(?i)(?P<u>A(?P<v>b)?)c|(?P<z>\d+)x",
+    r"(?P<outer>(?:(?P<inner>\d)[a-c])+)(?: x)?$",
+    r"^(?P<o>-)?(?P<p>[a-c]*?)(?P<q>\d*)x",
+]
+
+
+@pytest.mark.parametrize("regex", NESTED)
+def test_residual_of_captures_at_any_depth(lines, regex):
+    rnd = random.Random(len(regex))
+    texts = ["".join(rnd.choice(["a", "b", "c", "1", "2", ":", " ", "-", "x", "k", "j", "z", "A"]) for _ in range(rnd.randint(0, 14))) for _ in range(4000)]
+    parsed = parse_regex(lines(*texts), regex, fmt=())
+    rows = {r.i: r for r in parsed.collect()}
+    hits = 0
+    for i, text in enumerate(texts):
+        m = re.search(regex, text)
+        assert rows[i][OK] == (m is not None)
+        if m is not None:
+            hits += 1
+            for name, value in m.groupdict().items():
+                # Tokens that stand for nothing are NULL.
+                assert rows[i][name] == (value if value and value != "-" else None), (text, name)
+            assert rows[i].log_line == blanked(regex, text), text
+    assert hits > 10
+    assert "Python" not in parsed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_residual_with_classes_of_the_dialect(lines):
+    parsed = parse_regex(lines("ab12 rest", "12 rest"), r"^((?P<a>[[:alpha:]]+)\d+)", fmt=())
+    assert [(r.a, r.log_line) for r in parsed.orderBy("i").collect()] == [("ab", "rest"), (None, None)]
+    parsed = parse_regex(lines("x=1 y=22", "x=1 y=22 "), r"(?P<k>\w=(?P<v>\d+))\z", fmt=())
+    assert [(r.k, r.v, r.log_line) for r in parsed.orderBy("i").collect()] == [("y=22", "22", "x=1"), (None, None, None)]
+
 def test_long_lines_match(lines):
     long = "x" * 200_000
     row = parse_regex(lines(f"a={long} b=1"), r"a=(?P<a>[^ ]*) b=(?P<b>\d)", fmt=()).first()

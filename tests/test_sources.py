@@ -1,12 +1,15 @@
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from logsluice.sinks.files import write_cursors
 from logsluice.sources.logtail import LogTailReader
-from logsluice.sources.text import number_in_batch, read_cursors, read_lines, skip_header, skip_header_stream, stream_directory
+from logsluice.operators.merge import glob_regex, list_sources
+from logsluice.sources.text import normal_path, number_in_batch, read_cursors, read_lines, skip_header, skip_header_stream, stream_directory
 from logsluice.sources.logtail import stream_lines
+from logsluice.spec import SourceSpec
 
 
 def put(path, data, mode="wb"):
@@ -22,6 +25,36 @@ def test_lines_of_a_file(spark, tmp_path):
     assert rows[0].file.endswith("a.log")
 
 
+def test_plain_paths_and_pruned_files(spark, tmp_path):
+    folder = tmp_path / "logs a+b%20"
+    folder.mkdir()
+    paths = [put(folder / f"x{i} é.log", f"l{i}\n".encode()) for i in range(4)]
+    lines = read_lines(spark, str(folder))
+    assert sorted((r.file, r.line) for r in lines.collect()) == [(p, f"l{i}") for i, p in enumerate(paths)]
+    some = read_lines(spark, str(folder), only=[paths[2], "file://" + paths[3]])
+    assert sorted(r.line for r in some.collect()) == ["l2", "l3"]
+    scan = some._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.inputRDD().getNumPartitions() > 0 and scan.metrics().apply("numFiles").value() == 2
+    specs = [SourceSpec("all", str(folder) + "/", "s", "csv"), SourceSpec("one", paths[1], "s", "csv"), SourceSpec("like", str(tmp_path / "logs"), "s", "csv")]
+    listed = sorted((r.name, r.file or "", r.lines) for r in list_sources(spark, specs, lines).collect())
+    assert listed == sorted([("all", p, 1) for p in paths] + [("one", paths[1], 1), ("like", "", 0)])
+    assert normal_path("s3://bucket//a//b/") == "s3://bucket/a/b" and normal_path("/") == "/"
+
+
+@pytest.mark.parametrize(
+    "glob, yes, no",
+    [
+        ("/a/*.log", "/a/x.log", "/a/b/x.log"),
+        ("/a/[!b-d]?", "/a/ez", "/a/bz"),
+        ("/{a,b c}/x+", "/b c/x+", "/c/xx"),
+        ("/a.b/*", "/a.b/", "/aXb/c"),
+    ],
+)
+def test_globs(glob, yes, no):
+    regex = glob_regex(glob).replace(r"\z", r"\Z")
+    assert re.match(regex, yes) and not re.match(regex, no)
+
+
 def test_order_over_many_splits(spark, tmp_path):
     path = put(tmp_path / "big.log", "".join(f"line {i} {'x' * (i % 50)}\n" for i in range(5000)).encode())
     spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
