@@ -1,11 +1,13 @@
 """Fuzzy line dedup over a whole corpus by MinHash.
 
 Each distinct line of a task gets a signature of its character shingles (one hash a shingle, dealt
-to bins, the least of each bin) and band keys. Lines that meet in a band are paired with the
-band's first line and with the line before, which is linear in a bucket's size. Pairs are verified
-by the exact Jaccard similarity of the lines' shingles, links are joined by distributed union-find.
-Then each line gets more bands, whose rows have a hash each, and every pair of a bucket that is not
-in one component yet is verified. Of each component one line stays: the first by (doc_id, line number).
+to bins, the least of each bin) and band keys. Only bands that several lines share are kept. A line
+is paired with the band's first line and with the line before, which is linear in a band's size.
+Pairs are verified by the exact Jaccard similarity of the lines' shingles, links are joined by
+distributed union-find. Then bands whose lines are in several components are read again, with the
+lines' signatures: a line is paired with the most alike one of each other component, and at last
+with all lines of others; in both, pairs whose signatures rule a link out don't leave the band's
+task. Of each component one line stays: the first by (doc_id, line number).
 
 Joins are merge joins at every size: no side of them has a bound that would allow a broadcast.
 """
@@ -21,11 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logsluice.llm.common import FACTOR, bit_filter, column, components, maybe_in, mixed, texts_of, written
-from logsluice.llm.jaccard import index_lists, open_pairs
+from logsluice.llm.jaccard import groups
 
+#: A link of similarity 0.75 meets in no band with (1 - 0.75^4)^10 = 0.022 if hashes are independent.
 SHINGLE, BANDS, ROWS = 8, 10, 4
-#: Bands of the second look. A link of similarity 0.75 meets in none with (1 - 0.75^4)^48 = 1.2e-8.
-MORE_BANDS = 48
+#: A band of more lines is read as pairs of parts of so many.
+PART = 100_000
+#: Bytes of a signature that is compared, and how many must agree: 0.75 less four standard
+#: deviations, and less for lines with fewer shingles than bytes.
+SIGNATURE, AGREE, AGREE_SHORT = 64, 34, 26
 #: Lines link at UP * intersection >= DOWN * union.
 UP, DOWN = 100, 75
 
@@ -53,20 +59,27 @@ def characters(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, owner): all character shingles of the lines; shorter lines are one shingle."""
     points, start = characters([x.decode().ljust(SHINGLE, "\0").encode() if len(x) < SHINGLE * 4 and len(x.decode()) < SHINGLE else x for x in lines])
-    padded = np.concatenate([points.astype(np.uint64) + np.uint64(1), np.zeros(SHINGLE, np.uint64)])
-    h = np.zeros(len(points), np.uint64)
-    for k in range(SHINGLE):
-        h = h * FACTOR + padded[k : k + len(points)]
+    h = np.concatenate([points.astype(np.uint64) + np.uint64(1), np.zeros(SHINGLE, np.uint64)])
+    factor, width = int(FACTOR), 1
+    while width < SHINGLE:  # polynomials of twice the length
+        h = h[:-width] * np.uint64(factor) + h[width:]
+        factor, width = factor * factor % (1 << 64), 2 * width
+    h = h[: len(points)]
     sizes = np.diff(start)
     owner = np.repeat(np.arange(len(lines)), sizes)
     inside = np.arange(len(points)) - start[owner] <= sizes[owner] - SHINGLE
     return mixed(h[inside]), owner[inside]
 
 
-def bands(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(band keys, one row a line; number of shingles of each line)."""
+def least_hashes(lines: list[bytes], bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the least hash of each bin, a row a line; number of distinct shingles of each line)."""
     hashes, owner = shingles(lines)
-    n, bins = len(lines), BANDS * ROWS
+    n = len(lines)
+    # Lines of a batch are under 2^22, so 42 bits of hash tell the shingles of a line apart.
+    names = (owner.astype(np.uint64) << np.uint64(42)) | (hashes >> np.uint64(22))
+    names.sort()
+    new = np.concatenate([[True], names[1:] != names[:-1]])[: len(names)]
+    sizes = np.bincount((names[new] >> np.uint64(42)).astype(np.int64), minlength=n)
     least = np.full(n * bins, ~np.uint64(0))
     np.minimum.at(least, owner * bins + (hashes % np.uint64(bins)).astype(np.int64), hashes // np.uint64(bins))
     least = least.reshape(n, bins)
@@ -81,36 +94,24 @@ def bands(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         take = empty & filled[:, to]
         least = np.where(take, source[:, to] + np.uint64(attempt), least)
         empty &= ~take
-    keys = np.zeros((n, BANDS), np.uint64)
+    return least, sizes
+
+
+def bands(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(band keys, one row a line; number of shingles of each line)."""
+    least, sizes = least_hashes(lines, BANDS * ROWS)
+    keys = np.zeros((len(lines), BANDS), np.uint64)
     for r in range(ROWS):
         keys = keys * FACTOR + mixed(least[:, r::ROWS] + np.uint64(r))
-    return mixed(keys + np.arange(BANDS, dtype=np.uint64)), np.bincount(owner, minlength=n)
+    return mixed(keys + np.arange(BANDS, dtype=np.uint64)), sizes
 
 
-def more_bands(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(band keys, one row a line; number of distinct shingles of each line); each row of a band is
-    the least of a hash of its own, so bands are independent for short lines too."""
-    hashes, owner = shingles(lines)
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
-    new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])])
-    hashes, owner = hashes[new], owner[new]
-    start = np.searchsorted(owner, np.arange(len(lines)))
-    h = (hashes >> np.uint64(32)).astype(np.uint32)
-    seeds = mixed(np.arange(1, 2 * MORE_BANDS * ROWS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
-    keys = np.zeros((len(lines), MORE_BANDS), np.uint64)
-    for k in range(MORE_BANDS * ROWS):
-        x = (h ^ seeds[2 * k]) * seeds[2 * k + 1]
-        x ^= x >> np.uint32(15)
-        x *= seeds[2 * k]
-        x ^= x >> np.uint32(13)
-        x *= seeds[2 * k + 1]
-        band = k // ROWS
-        keys[:, band] = keys[:, band] * FACTOR + mixed(np.minimum.reduceat(x, start).astype(np.uint64) + np.uint64(k))
-    return mixed(keys + np.arange(MORE_BANDS, dtype=np.uint64)), np.diff(np.append(start, len(h)))
-
-
-def band_rows(docs: DataFrame, bands: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]] = bands, most: int = 2 << 20) -> DataFrame:
+def signatures(lines: list[bytes]) -> np.ndarray:
+    """A byte of each bin's least hash, one row a line."""
+    return (mixed(least_hashes(lines, SIGNATURE)[0]) & np.uint64(255)).astype(np.uint8)
+
+
+def band_rows(docs: DataFrame, most: int = 2 << 20) -> DataFrame:
     """(band, line, n): band keys of each distinct line of a task; line is a 64-bit hash that only
     finds candidates."""
 
@@ -141,51 +142,62 @@ def band_rows(docs: DataFrame, bands: Callable[[list[bytes]], tuple[np.ndarray,
     return docs.select("text").mapInArrow(task, "band long, line long, n int")
 
 
-def candidate_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of lines that meet in a band and whose sizes allow a link."""
+def sizes_allow(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return UP * np.minimum(a, b).astype(np.int64) >= DOWN * np.maximum(a, b)
+
+
+def shared_bands(rows: DataFrame) -> DataFrame:
+    """(band, line, n) of the bands that several lines share, each line once; and, without band,
+    (line, other): the pairs of a line with the band's first line and with the line before it whose
+    sizes allow a link."""
+    schema = pa.schema([("band", pa.int64()), ("line", pa.int64()), ("n", pa.int32()), ("other", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # (band, first line, its size, line before, its size)
-        for batch in batches:
-            band, line, n = (c.to_numpy() for c in batch.columns)
-            if not len(band):
-                continue
+        for (band, line, n), _ in groups(batches):
+            # Rows are ordered, so a line that several tasks sent stands in a row. A band of over a
+            # million rows comes in parts; a part's first line is as good as any.
+            once = np.concatenate([[True], (band[1:] != band[:-1]) | (line[1:] != line[:-1])])
+            band, line, n = band[once], line[once], n[once]
             new = np.concatenate([[True], band[1:] != band[:-1]])
-            at = np.arange(len(band))
-            first = np.maximum.accumulate(np.where(new, at, 0))
-            ends = [(line[first], n[first]), (np.roll(line, 1), np.roll(n, 1))]
-            if last and band[0] == last[0]:
-                run = band == band[0]
-                ends[0] = np.where(run, last[1], ends[0][0]), np.where(run, last[2], ends[0][1])
-                ends[1][0][0], ends[1][1][0] = last[3], last[4]
-                new[0] = False
-            pairs = []
-            for other, size in ends:
-                keep = ~new & (other != line) & (UP * np.minimum(size, n).astype(np.int64) >= DOWN * np.maximum(size, n))
-                pairs.append(np.stack([np.minimum(other, line)[keep], np.maximum(other, line)[keep]]))
-            both = np.unique(np.concatenate(pairs, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
-            k = first[-1]
-            same = last and band[-1] == last[0]
-            last = (band[-1], last[1] if same else line[k], last[2] if same else n[k], line[-1], n[-1])
-
-    return rows.repartition("band").sortWithinPartitions("band", "n", "line").mapInArrow(task, "a long, b long").distinct()
+            start = np.flatnonzero(new)
+            many = np.repeat(np.diff(np.append(start, len(band))) > 1, np.diff(np.append(start, len(band))))
+            first = np.maximum.accumulate(np.where(new, np.arange(len(band)), 0))
+            at = np.flatnonzero(~new)
+            x, y = np.concatenate([first[at], at - 1]), np.concatenate([at, at])
+            fits = sizes_allow(n[x], n[y])
+            pairs = np.unique(np.sort(np.stack([line[x[fits]], line[y[fits]]]), axis=0), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(band[many]), pa.array(line[many]), pa.array(n[many]), pa.nulls(int(many.sum()), pa.int64())], schema=schema)
+            none = pairs.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64()), pa.array(pairs[0]), pa.nulls(none, pa.int32()), pa.array(pairs[1])], schema=schema)
 
+    return rows.repartition("band").sortWithinPartitions("band", "n", "line").mapInArrow(task, "band long, line long, n int, other long")
 
-def named_lines(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(line, text) of the distinct lines that pairs name."""
-    seen = docs.sparkSession.sparkContext.broadcast(bit_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id"))
+
+def some_lines(docs: DataFrame, lines: DataFrame, column: Callable[[list[bytes]], pa.Array]) -> DataFrame:
+    """(line, value) of the distinct lines named by ``lines``, and of few others; value: column(texts)."""
+    seen = docs.sparkSession.sparkContext.broadcast(bit_filter(lines, "line"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[bytes] = set()
         for batch in batches:
-            lines = [x for text in texts_of(batch) for _, x in worded(text)]
-            keys = np.fromiter(map(short_key, lines), np.int64, len(lines))
-            some = [k for k in np.flatnonzero(maybe_in(seen.value, keys)).tolist() if lines[k] not in met]
-            met.update(lines[k] for k in some)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array([lines[k] for k in some], pa.binary())], names=["line", "text"])
+            texts = [x for text in texts_of(batch) for _, x in worded(text)]
+            keys = np.fromiter(map(short_key, texts), np.int64, len(texts))
+            some = []
+            for k in np.flatnonzero(maybe_in(seen.value, keys)).tolist():
+                name = key_of(texts[k])
+                if name not in met:
+                    met.add(name)
+                    some.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some]), column([texts[k] for k in some])], names=["line", "value"])
 
-    return docs.select("text").mapInArrow(task, "line long, text binary").distinct()
+    found = docs.select("text").mapInArrow(task, "line long, value binary")
+    return found.join(lines.select("line").distinct().hint("merge"), "line", "left_semi").distinct()
+
+
+def named_lines(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(line, text) of the lines that pairs name."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("line"))
+    return some_lines(docs, named, lambda texts: pa.array(texts, pa.binary())).withColumnRenamed("value", "text")
 
 
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -212,13 +224,77 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return both.mapInArrow(task, "a binary, b binary, line_a long, line_b long")
 
 
-def more_links(docs: DataFrame, links: DataFrame) -> DataFrame:
-    """Links between components of links, from all pairs of lines that meet in a band of the second look."""
-    rows = band_rows(docs, more_bands, 256 << 10).select(F.col("band").alias("token"), F.col("line").alias("doc_id"), "n", F.col("n").alias("rest"))
-    lists = written(index_lists(rows), "lists")
-    known = written(components(links.select(F.col("line_a").alias("a"), F.col("line_b").alias("b"))), "known")
-    pairs = written(open_pairs(lists, known), "pairs")
-    return verified(pairs, named_lines(docs, pairs))
+def open_bands(shared: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
+    """(band, line, n, part, signature) of the bands whose lines are in several components.
+
+    The lines of a large band are dealt to parts, and each pair of parts is a band.
+    """
+    named = shared.join(known.select(F.col("node").alias("line"), "component").hint("merge"), "line", "left")
+    named = named.withColumn("part", F.coalesce("component", "line")).drop("component")
+    several = named.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("size")).where("low != high")
+    several = several.select("band", F.ceil(F.col("size") / PART).cast("int").alias("parts"))
+    rows = written(named.join(several.hint("merge"), "band"), "open")
+
+    def packed(texts: list[bytes]) -> pa.Array:
+        return pa.array([s.tobytes() for s in signatures(texts)] if texts else [], pa.binary())
+
+    signs = some_lines(docs, rows.select("line"), packed).groupBy("line").agg(F.min("value").alias("signature"))
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("line"), "parts")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    band = F.when(F.col("parts") == 1, F.col("band")).otherwise(F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")))
+    return dealt.join(signs.hint("merge"), "line").select(band.alias("band"), "line", "n", "part", "signature")
+
+
+def open_pairs(rows: DataFrame, best: bool) -> DataFrame:
+    """(a, b), a < b: lines of a band in different components whose sizes and signatures allow a link.
+
+    With ``best``, of each line only its most alike line of each other component. A band's lines
+    are compared a line at a time, so a task holds the band and not its pairs.
+    """
+
+    def probe(line, n, part, sign) -> Iterator[np.ndarray]:
+        need = np.where(n < SIGNATURE, AGREE_SHORT, AGREE)
+        for i in range(1, len(line)):
+            near = np.flatnonzero((part[:i] != part[i]) & sizes_allow(n[:i], n[i]))
+            if not len(near):
+                continue
+            agree = (sign[near] == sign[i]).sum(axis=1)
+            fits = agree >= np.minimum(need[near], need[i])
+            near, agree = near[fits], agree[fits]
+            if best and len(near) > 1:
+                order = np.lexsort((-agree, part[near]))
+                near = near[order]
+                near = near[np.concatenate([[True], part[near][1:] != part[near][:-1]])]
+            if len(near):
+                yield np.stack([np.minimum(line[near], line[i]), np.maximum(line[near], line[i])])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (band, line, n, part, sign), _ in groups(batches, 1 << 40):
+            sign = np.frombuffer(b"".join(sign.tolist()), np.uint8).reshape(-1, SIGNATURE)
+            start = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
+            found: list[np.ndarray] = []
+            for a, b in zip(start, np.append(start[1:], len(band))):
+                found += probe(line[a:b], n[a:b], part[a:b], sign[a:b])
+            if found:
+                both = np.unique(np.concatenate(found, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+    ordered = rows.repartition("band").sortWithinPartitions("band", "line")
+    return ordered.mapInArrow(task, "a long, b long").distinct()
+
+
+def all_links(docs: DataFrame) -> DataFrame:
+    """(a, b, line_a, line_b): links that join the lines of each component."""
+    bands_ = written(shared_bands(band_rows(docs)), "bands")
+    shared = bands_.where("band is not null").select("band", "line", "n")
+    pairs = written(bands_.where("band is null").select(F.col("line").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
+    links = written(verified(pairs, named_lines(docs, pairs)), "links")
+    for best in (True, False):
+        known = written(components(links.select(F.col("line_a").alias("a"), F.col("line_b").alias("b"))), "known")
+        more = open_pairs(open_bands(shared, known, docs), best).join(pairs.hint("merge"), ["a", "b"], "left_anti")
+        more = written(more, "pairs")
+        links = links.union(written(verified(more, named_lines(docs, more)), "links"))
+        pairs = pairs.union(more)
+    return links
 
 
 def places(docs: DataFrame) -> DataFrame:
@@ -235,9 +311,7 @@ def places(docs: DataFrame) -> DataFrame:
 def doubled_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, numbers): the lines of each document that another line stands for."""
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    pairs = written(candidate_pairs(band_rows(narrow)), "pairs")
-    links = written(verified(pairs, named_lines(narrow, pairs)), "links")
-    links = links.union(written(more_links(narrow, links), "links"))
+    links = all_links(narrow).select("a", "b")
     known = components(links, "binary").select(F.col("node").alias("line"), "component")
     at = places(narrow)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "number")

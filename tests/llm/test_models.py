@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 
 import corpus_pipeline
+from logsluice.llm.common import components
 from logsluice.llm import lines, lm, secrets
 
 SF = "/root/testdata/sf0.001"
@@ -135,6 +136,42 @@ def brute_components(rows):
     return {d: {0} for d in sets if root(d) != d}
 
 
+def brute_links(lines):
+    """Pairs of lines with similarity 0.75 or more, over an index of their shingles."""
+    sets = [{x[i : i + 8] for i in range(max(1, len(x) - 7))} for x in lines]
+    index = {}
+    for i, s in enumerate(sets):
+        for shingle in s:
+            index.setdefault(shingle, []).append(i)
+    found = set()
+    for i, s in enumerate(sets):
+        shared = Counter(j for shingle in s for j in index[shingle] if j > i)
+        found |= {(i, j) for j, c in shared.items() if 100 * c >= 75 * (len(s) + len(sets[j]) - c)}
+    return found
+
+
+def test_recall_on_a_given_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    distinct = sorted({x for r in docs.collect() for x in (r.text or "").split("\n") if x.strip()})
+    found = brute_links(distinct)
+    groups = {}
+    for r in components(lines.all_links(docs.select("doc_id", "text")).select("a", "b"), "binary").collect():
+        groups[bytes(r.node)] = bytes(r.component)
+    name = [lines.key_of(x.encode()) for x in distinct]
+    met = [(i, j) for i, j in found if groups.get(name[i], 0) == groups.get(name[j], 1)]
+    assert len(found) > 30 and len(met) >= 0.98 * len(found)
+
+
+def test_large_bands_are_read_in_parts(spark, monkeypatch):
+    rng = random.Random(13)
+    head = "".join(rng.choices("etaoinshr ", k=90))
+    rows = [(i, head + "".join(rng.choices("etaoinshr ", k=34))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r.doc_id for r in lines.doubled_lines(docs).collect()}
+    monkeypatch.setattr(lines, "PART", 7)
+    assert {r.doc_id for r in lines.doubled_lines(docs).collect()} == whole == set(brute_components(rows))
+
+
 def secret_docs(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choices("etaoinshr", k=rng.randrange(3, 9)))
