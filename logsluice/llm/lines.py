@@ -4,10 +4,10 @@ Each distinct line of a task gets a signature of its character shingles (one has
 to bins, the least of each bin) and band keys. Only bands that several lines share are kept. A line
 is paired with the band's first line and with the line before, which is linear in a band's size.
 Pairs are verified by the exact Jaccard similarity of the lines' shingles, links are joined by
-distributed union-find. Then bands whose lines are in several components are read again, with the
-lines' signatures: a line is paired with the most alike one of each other component, and at last
-with all lines of others; in both, pairs whose signatures rule a link out don't leave the band's
-task. Of each component one line stays: the first by (doc_id, line number).
+distributed union-find. Then bands whose lines are in several components are read once more, with
+the lines' texts: a task counts the shingles that each line shares with the lines before it, and
+only the links that join components leave it. Of each component one line stays: the first by
+(doc_id, line number).
 
 Joins are merge joins at every size: no side of them has a bound that would allow a broadcast.
 """
@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 from logsluice.llm.common import FACTOR, bit_filter, column, components, maybe_in, mixed, texts_of, written
 from logsluice.llm.jaccard import groups
 
-#: A link of similarity 0.75 meets in no band with (1 - 0.75^4)^10 = 0.022 if hashes are independent.
-SHINGLE, BANDS, ROWS = 8, 10, 4
+#: A link of similarity 0.75 meets in no band with (1 - 0.75^4)^16 = 0.0023 if hashes are independent.
+SHINGLE, BANDS, ROWS = 8, 16, 4
 #: A band of more lines is read as pairs of parts of so many.
-PART = 100_000
-#: Bytes of a signature that is compared, and how many must agree: 0.75 less four standard
-#: deviations, and less for lines with fewer shingles than bytes.
-SIGNATURE, AGREE, AGREE_SHORT = 64, 34, 26
+PART = 20_000
+#: Text bytes that are hashed at once (so that arrays stay in a core's cache), band rows that a task
+#: holds, text bytes of a bucket of bands.
+CHUNK, HELD, BUCKET = 256 << 10, 4 << 20, 32 << 20
 #: Lines link at UP * intersection >= DOWN * union.
 UP, DOWN = 100, 75
 
@@ -71,29 +71,40 @@ def shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mixed(h[inside]), owner[inside]
 
 
+def distinct_shingles(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Sorted distinct (owner, hash) as one number: 22 bits of owner and 42 of hash."""
+    names = (owner.astype(np.uint64) << np.uint64(42)) | (hashes >> np.uint64(22))
+    names.sort()
+    return names[np.concatenate([[True], names[1:] != names[:-1]])[: len(names)]]
+
+
 def least_hashes(lines: list[bytes], bins: int) -> tuple[np.ndarray, np.ndarray]:
     """(the least hash of each bin, a row a line; number of distinct shingles of each line)."""
     hashes, owner = shingles(lines)
     n = len(lines)
-    # Lines of a batch are under 2^22, so 42 bits of hash tell the shingles of a line apart.
-    names = (owner.astype(np.uint64) << np.uint64(42)) | (hashes >> np.uint64(22))
-    names.sort()
-    new = np.concatenate([[True], names[1:] != names[:-1]])[: len(names)]
-    sizes = np.bincount((names[new] >> np.uint64(42)).astype(np.int64), minlength=n)
+    sizes = np.bincount((distinct_shingles(hashes, owner) >> np.uint64(42)).astype(np.int64), minlength=n)
     least = np.full(n * bins, ~np.uint64(0))
-    np.minimum.at(least, owner * bins + (hashes % np.uint64(bins)).astype(np.int64), hashes // np.uint64(bins))
+    own = ((hashes >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
+    np.minimum.at(least, owner * bins + own.astype(np.int64), hashes & np.uint64(0xFFFFFFFF))
     least = least.reshape(n, bins)
     # An empty bin takes the value of a bin that a hash of its number and a try points to.
-    empty = least == ~np.uint64(0)
-    source = least.copy()
-    filled = ~empty
+    rows = np.flatnonzero((least == ~np.uint64(0)).any(axis=1))
+    source = least[rows]
+    filled = source != ~np.uint64(0)
+    now = source.copy()
+    open_ = ~filled
     for attempt in range(1, 400):
-        if not empty.any():
+        if not len(rows):
             break
         to = (mixed(np.arange(bins, dtype=np.uint64) + np.uint64(attempt << 20)) % np.uint64(bins)).astype(np.int64)
-        take = empty & filled[:, to]
-        least = np.where(take, source[:, to] + np.uint64(attempt), least)
-        empty &= ~take
+        take = open_ & filled[:, to]
+        now = np.where(take, source[:, to] + np.uint64(attempt << 32), now)
+        open_ &= ~take
+        going = open_.any(axis=1)
+        if not going.all():
+            least[rows[~going]] = now[~going]
+            rows, source, filled, now, open_ = rows[going], source[going], filled[going], now[going], open_[going]
+    least[rows] = now
     return least, sizes
 
 
@@ -106,25 +117,37 @@ def bands(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mixed(keys + np.arange(BANDS, dtype=np.uint64)), sizes
 
 
-def signatures(lines: list[bytes]) -> np.ndarray:
-    """A byte of each bin's least hash, one row a line."""
-    return (mixed(least_hashes(lines, SIGNATURE)[0]) & np.uint64(255)).astype(np.uint8)
+_BAND = np.dtype([("band", "<u8"), ("n", "<u4"), ("line", "<i8")])
 
 
-def band_rows(docs: DataFrame, most: int = 2 << 20) -> DataFrame:
-    """(band, line, n): band keys of each distinct line of a task; line is a 64-bit hash that only
-    finds candidates."""
+def band_rows(docs: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, rows): band, size and name of each distinct line of a task, as packed rows of a range of
+    bands; the name of a line is a 64-bit hash that only finds candidates."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
-
-        def out(lines: dict[int, bytes]) -> pa.RecordBatch:
-            keys, n = bands(list(lines.values()))
-            names = np.repeat(np.fromiter(lines, np.int64, len(lines)), keys.shape[1])
-            return pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(names), pa.array(np.repeat(n, keys.shape[1]).astype(np.int32))], names=["band", "line", "n"])
-
         held: dict[int, bytes] = {}
+        ready: list[np.ndarray] = []
         size = 0
+
+        def hashed() -> None:
+            keys, n = bands(list(held.values()))
+            rows = np.empty(keys.size, _BAND)
+            rows["band"], rows["n"] = keys.reshape(-1), np.repeat(n, BANDS)
+            rows["line"] = np.repeat(np.fromiter(held, np.int64, len(held)), BANDS)
+            ready.append(rows)
+            held.clear()
+
+        def out() -> pa.RecordBatch:
+            rows = np.concatenate(ready)
+            ready.clear()
+            own = ((rows["band"] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            order = np.argsort(own, kind="stable")
+            rows, own = rows[order], own[order]
+            start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            packed = [rows[a:b].tobytes() for a, b in zip(start.tolist(), np.append(start[1:], len(rows)).tolist())]
+            return pa.RecordBatch.from_arrays([pa.array(own[start].astype(np.int64)), pa.array(packed, pa.binary())], names=["bucket", "rows"])
+
         for batch in batches:
             for text in texts_of(batch):
                 for _, line in worded(text):
@@ -133,13 +156,17 @@ def band_rows(docs: DataFrame, most: int = 2 << 20) -> DataFrame:
                         met.add(key)
                         held[key] = line
                         size += len(line)
-                        if size > most:
-                            yield out(held)
-                            held, size = {}, 0
+                        if size > CHUNK:
+                            hashed()
+                            size = 0
+                if sum(map(len, ready)) > HELD:
+                    yield out()
         if held:
-            yield out(held)
+            hashed()
+        if ready:
+            yield out()
 
-    return docs.select("text").mapInArrow(task, "band long, line long, n int")
+    return docs.select("text").mapInArrow(task, "bucket long, rows binary")
 
 
 def sizes_allow(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -152,25 +179,37 @@ def shared_bands(rows: DataFrame) -> DataFrame:
     sizes allow a link."""
     schema = pa.schema([("band", pa.int64()), ("line", pa.int64()), ("n", pa.int32()), ("other", pa.int64())])
 
+    def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rows = rows[np.lexsort((rows["line"], rows["n"], rows["band"]))]
+        band, line, n = rows["band"], rows["line"], rows["n"].astype(np.int64)
+        # A line that several tasks sent stands in a row.
+        once = np.concatenate([[True], (band[1:] != band[:-1]) | (line[1:] != line[:-1])])
+        band, line, n = band[once], line[once], n[once]
+        new = np.concatenate([[True], band[1:] != band[:-1]])
+        size = np.diff(np.append(np.flatnonzero(new), len(band)))
+        many = np.repeat(size > 1, size)
+        first = np.maximum.accumulate(np.where(new, np.arange(len(band)), 0))
+        at = np.flatnonzero(~new)
+        x, y = np.concatenate([first[at], at - 1]), np.concatenate([at, at])
+        fits = sizes_allow(n[x], n[y])
+        pairs = np.unique(np.sort(np.stack([line[x[fits]], line[y[fits]]]), axis=0), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(band[many].view(np.int64)), pa.array(line[many]), pa.array(n[many].astype(np.int32)), pa.nulls(int(many.sum()), pa.int64())], schema=schema)
+        none = pairs.shape[1]
+        yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64()), pa.array(pairs[0]), pa.nulls(none, pa.int32()), pa.array(pairs[1])], schema=schema)
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (band, line, n), _ in groups(batches):
-            # Rows are ordered, so a line that several tasks sent stands in a row. A band of over a
-            # million rows comes in parts; a part's first line is as good as any.
-            once = np.concatenate([[True], (band[1:] != band[:-1]) | (line[1:] != line[:-1])])
-            band, line, n = band[once], line[once], n[once]
-            new = np.concatenate([[True], band[1:] != band[:-1]])
-            start = np.flatnonzero(new)
-            many = np.repeat(np.diff(np.append(start, len(band))) > 1, np.diff(np.append(start, len(band))))
-            first = np.maximum.accumulate(np.where(new, np.arange(len(band)), 0))
-            at = np.flatnonzero(~new)
-            x, y = np.concatenate([first[at], at - 1]), np.concatenate([at, at])
-            fits = sizes_allow(n[x], n[y])
-            pairs = np.unique(np.sort(np.stack([line[x[fits]], line[y[fits]]]), axis=0), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(band[many]), pa.array(line[many]), pa.array(n[many]), pa.nulls(int(many.sum()), pa.int64())], schema=schema)
-            none = pairs.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64()), pa.array(pairs[0]), pa.nulls(none, pa.int32()), pa.array(pairs[1])], schema=schema)
-
-    return rows.repartition("band").sortWithinPartitions("band", "n", "line").mapInArrow(task, "band long, line long, n int, other long")
+        own, held = None, []
+        for batch in batches:
+            for bucket, packed in zip(column(batch, "bucket"), column(batch, "rows"), strict=True):
+                if bucket != own and held:
+                    yield from found(np.concatenate(held))
+                    held = []
+                own = bucket
+                held.append(np.frombuffer(packed, _BAND))
+        if held:
+            yield from found(np.concatenate(held))
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(task, "band long, line long, n int, other long")
 
 
 def some_lines(docs: DataFrame, lines: DataFrame, column: Callable[[list[bytes]], pa.Array]) -> DataFrame:
@@ -200,32 +239,48 @@ def named_lines(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return some_lines(docs, named, lambda texts: pa.array(texts, pa.binary())).withColumnRenamed("value", "text")
 
 
+def alike(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Whether the lines x[i] and y[i] link, by their whole sets of shingles."""
+    one, two = distinct_shingles(*shingles(x)), distinct_shingles(*shingles(y))
+    both = np.concatenate([one, two])
+    both.sort()
+    count = lambda names: np.bincount((names >> np.uint64(42)).astype(np.int64), minlength=len(x))
+    common = count(both[1:][both[1:] == both[:-1]])
+    return UP * common >= DOWN * (count(one) + count(two) - common)
+
+
+_LINKS = "a binary, b binary, line_a long, line_b long"
+
+
+def links_out(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    """128-bit and 64-bit keys of linked lines."""
+    columns = [pa.array([key_of(a) for a, _ in pairs], pa.binary()), pa.array([key_of(b) for _, b in pairs], pa.binary())]
+    columns += [pa.array([short_key(a) for a, _ in pairs], pa.int64()), pa.array([short_key(b) for _, b in pairs], pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "line_a", "line_b"])
+
+
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(a, b, line_a, line_b): 128-bit and 64-bit keys of the lines whose exact similarity links them."""
+    """(a, b, line_a, line_b): keys of the lines whose exact similarity links them."""
     both = pairs.join(lines.select(F.col("line").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
     both = both.join(lines.select(F.col("line").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").select("text_a", "text_b")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = column(batch, "text_a"), column(batch, "text_b")
-            found = []
-            for s in range(0, len(a), 500):
-                x, y = a[s : s + 500], b[s : s + 500]
-                hashes, owner = shingles(x + y)
-                cuts = np.searchsorted(owner, np.arange(2 * len(x) + 1))
-                for i in range(len(x)):
-                    own, other = (np.unique(hashes[cuts[j] : cuts[j + 1]]) for j in (i, i + len(x)))
-                    common = len(np.intersect1d(own, other, assume_unique=True))
-                    if UP * common >= DOWN * (len(own) + len(other) - common):
-                        found.append((key_of(x[i]), key_of(y[i]), short_key(x[i]), short_key(y[i])))
-            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(kinds)], names=["a", "b", "line_a", "line_b"])
+            at, size, found = 0, 0, []
+            for i in range(len(a)):
+                size += len(a[i]) + len(b[i])
+                if size > CHUNK or i + 1 == len(a):
+                    keep = alike(a[at : i + 1], b[at : i + 1])
+                    found += [(a[at + k], b[at + k]) for k in np.flatnonzero(keep).tolist()]
+                    at, size = i + 1, 0
+            yield links_out(found)
 
-    return both.mapInArrow(task, "a binary, b binary, line_a long, line_b long")
+    return both.mapInArrow(task, _LINKS)
 
 
 def open_bands(shared: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
-    """(band, line, n, part, signature) of the bands whose lines are in several components.
+    """(band, part, text) of the bands whose lines are in several components.
 
     The lines of a large band are dealt to parts, and each pair of parts is a band.
     """
@@ -234,75 +289,75 @@ def open_bands(shared: DataFrame, known: DataFrame, docs: DataFrame) -> DataFram
     several = named.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("size")).where("low != high")
     several = several.select("band", F.ceil(F.col("size") / PART).cast("int").alias("parts"))
     rows = written(named.join(several.hint("merge"), "band"), "open")
-
-    def packed(texts: list[bytes]) -> pa.Array:
-        return pa.array([s.tobytes() for s in signatures(texts)] if texts else [], pa.binary())
-
-    signs = some_lines(docs, rows.select("line"), packed).groupBy("line").agg(F.min("value").alias("signature"))
     dealt = rows.withColumn("own", F.pmod(F.xxhash64("line"), "parts")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     band = F.when(F.col("parts") == 1, F.col("band")).otherwise(F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")))
-    return dealt.join(signs.hint("merge"), "line").select(band.alias("band"), "line", "n", "part", "signature")
+    texts = some_lines(docs, rows.select("line"), lambda texts: pa.array(texts, pa.binary()))
+    return dealt.join(texts.hint("merge"), "line").select(band.alias("band"), "part", F.col("value").alias("text"))
 
 
-def open_pairs(rows: DataFrame, best: bool) -> DataFrame:
-    """(a, b), a < b: lines of a band in different components whose sizes and signatures allow a link.
+def joining_links(rows: DataFrame) -> DataFrame:
+    """The links between lines of a band that join their components: fewer than the band has lines.
 
-    With ``best``, of each line only its most alike line of each other component. A band's lines
-    are compared a line at a time, so a task holds the band and not its pairs.
+    Each line counts the shingles that it shares with every line before it, from lists of the lines
+    that have a shingle. Lines that are joined by then are not looked at.
     """
 
-    def probe(line, n, part, sign) -> Iterator[np.ndarray]:
-        need = np.where(n < SIGNATURE, AGREE_SHORT, AGREE)
-        for i in range(1, len(line)):
-            near = np.flatnonzero((part[:i] != part[i]) & sizes_allow(n[:i], n[i]))
-            if not len(near):
+    def probe(texts: list[bytes], part: np.ndarray) -> list[tuple[bytes, bytes]]:
+        names = distinct_shingles(*shingles(texts))
+        owner = (names >> np.uint64(42)).astype(np.int64)
+        size = np.bincount(owner, minlength=len(texts))
+        _, token = np.unique(names & np.uint64((1 << 42) - 1), return_inverse=True)
+        order = np.argsort(token, kind="stable")
+        lists, start = owner[order], np.searchsorted(token[order], np.arange(token.max() + 2))
+        first = np.cumsum(size) - size
+        _, root = np.unique(part, return_inverse=True)
+        found = []
+        for i in range(1, len(texts)):
+            if not (root[:i] != root[i]).any():
                 continue
-            agree = (sign[near] == sign[i]).sum(axis=1)
-            fits = agree >= np.minimum(need[near], need[i])
-            near, agree = near[fits], agree[fits]
-            if best and len(near) > 1:
-                order = np.lexsort((-agree, part[near]))
-                near = near[order]
-                near = near[np.concatenate([[True], part[near][1:] != part[near][:-1]])]
-            if len(near):
-                yield np.stack([np.minimum(line[near], line[i]), np.maximum(line[near], line[i])])
+            own = token[first[i] : first[i] + size[i]]
+            shared = np.bincount(np.concatenate([lists[start[t] : start[t + 1]] for t in own.tolist()]), minlength=len(texts))[:i]
+            for j in np.flatnonzero((root[:i] != root[i]) & (UP * shared >= DOWN * (size[:i] + size[i] - shared))).tolist():
+                if root[j] != root[i]:
+                    root[root == root[j]] = root[i]
+                    found.append((texts[j], texts[i]))
+        return found
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (band, line, n, part, sign), _ in groups(batches, 1 << 40):
-            sign = np.frombuffer(b"".join(sign.tolist()), np.uint8).reshape(-1, SIGNATURE)
+        for (band, part, text), _ in groups(batches, 1 << 40):
             start = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
-            found: list[np.ndarray] = []
-            for a, b in zip(start, np.append(start[1:], len(band))):
-                found += probe(line[a:b], n[a:b], part[a:b], sign[a:b])
-            if found:
-                both = np.unique(np.concatenate(found, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+            found = []
+            for a, b in zip(start.tolist(), np.append(start[1:], len(band)).tolist()):
+                found += probe(text[a:b].tolist(), part[a:b])
+            yield links_out(found)
 
-    ordered = rows.repartition("band").sortWithinPartitions("band", "line")
-    return ordered.mapInArrow(task, "a long, b long").distinct()
+    return rows.repartition("band").sortWithinPartitions("band").mapInArrow(task, _LINKS)
 
 
 def all_links(docs: DataFrame) -> DataFrame:
     """(a, b, line_a, line_b): links that join the lines of each component."""
-    bands_ = written(shared_bands(band_rows(docs)), "bands")
-    shared = bands_.where("band is not null").select("band", "line", "n")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
+    bands_ = written(shared_bands(band_rows(docs, buckets)), "bands")
     pairs = written(bands_.where("band is null").select(F.col("line").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
     links = written(verified(pairs, named_lines(docs, pairs)), "links")
-    for best in (True, False):
-        known = written(components(links.select(F.col("line_a").alias("a"), F.col("line_b").alias("b"))), "known")
-        more = open_pairs(open_bands(shared, known, docs), best).join(pairs.hint("merge"), ["a", "b"], "left_anti")
-        more = written(more, "pairs")
-        links = links.union(written(verified(more, named_lines(docs, more)), "links"))
-        pairs = pairs.union(more)
-    return links
+    known = written(components(links.select(F.col("line_a").alias("a"), F.col("line_b").alias("b"))), "known")
+    shared = bands_.where("band is not null").select("band", "line", "n")
+    return links.union(written(joining_links(open_bands(shared, known, docs)), "links"))
 
 
-def places(docs: DataFrame) -> DataFrame:
-    """(doc_id, number, line): each line with a word by its 128-bit key."""
+def places(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(doc_id, number, line): each line with a word by its 128-bit key; those named by ``only``, and few others."""
+    seen = None
+    if only is not None:
+        seen = docs.sparkSession.sparkContext.broadcast(bit_filter(only.select(F.conv(F.hex(F.substring("line", 1, 7)), 16, 10).cast("long").alias("id")), "id"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(doc, i, key_of(x)) for doc, text in zip(column(batch, "doc_id"), texts_of(batch), strict=True) for i, x in worded(text)]
+            if seen is not None and rows:
+                keep = maybe_in(seen.value, np.array([int.from_bytes(r[2][:7], "big") for r in rows], np.int64))
+                rows = [rows[k] for k in np.flatnonzero(keep).tolist()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "number", "line"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(task, "doc_id long, number int, line binary")
@@ -318,8 +373,8 @@ def doubled_lines(docs: DataFrame) -> DataFrame:
     first = at.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(known, "line", "left")
     first = written(first.select("line", "first", "n", F.coalesce("component", "line").alias("component")).where("n > 1 or component is not null"), "first")
     keeper = first.groupBy("component").agg(F.min("first").alias("keeper"), F.sum("n").alias("total")).where("total > 1")
-    doubled = first.join(keeper.hint("merge"), "component").select("line", "keeper")
-    gone = at.join(doubled.hint("merge"), "line").where(~(place.eqNullSafe(F.col("keeper")))).select("doc_id", "number")
+    doubled = written(first.join(keeper.hint("merge"), "component").select("line", "keeper"), "doubled")
+    gone = places(narrow, doubled).join(doubled.hint("merge"), "line").where(~(place.eqNullSafe(F.col("keeper")))).select("doc_id", "number")
     return gone.groupBy("doc_id").agg(F.collect_set("number").alias("numbers"))
 
 
