@@ -283,11 +283,14 @@ def open_bands(shared: DataFrame, known: DataFrame, docs: DataFrame) -> DataFram
     """(band, part, text) of the bands whose lines are in several components.
 
     Of a band of up to three lines each is the first, or before or after each other one: all its
-    pairs have been compared. The lines of a large band are dealt to parts, and each pair of parts is a band.
+    pairs have been compared. Bands of the same lines are read once. The lines of a large band are
+    dealt to parts, and each pair of parts is a band.
     """
     named = shared.join(known.select(F.col("node").alias("line"), "component").hint("merge"), "line", "left")
     named = named.withColumn("part", F.coalesce("component", "line")).drop("component")
-    several = named.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("size")).where("low != high and size > 3")
+    same = [F.bit_xor(F.xxhash64("line", F.lit(k))).alias(f"same{k}") for k in range(2)]
+    several = named.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("size"), *same).where("low != high and size > 3")
+    several = several.groupBy("same0", "same1", "size").agg(F.min("band").alias("band"))
     several = several.select("band", F.ceil(F.col("size") / PART).cast("int").alias("parts"))
     rows = written(named.join(several.hint("merge"), "band"), "open")
     dealt = rows.withColumn("own", F.pmod(F.xxhash64("line"), "parts")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
