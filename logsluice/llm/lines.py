@@ -32,6 +32,8 @@ PART = 20_000
 #: Text bytes that are hashed at once (so that arrays stay in a core's cache), band rows that a task
 #: holds, text bytes of a bucket of bands.
 CHUNK, HELD, BUCKET = 256 << 10, 4 << 20, 32 << 20
+#: Lines times shingles of a band that are compared as one table.
+DENSE = 4 << 20
 #: Lines link at UP * intersection >= DOWN * union.
 UP, DOWN = 100, 75
 
@@ -302,37 +304,61 @@ def open_bands(shared: DataFrame, known: DataFrame, docs: DataFrame) -> DataFram
 def joining_links(rows: DataFrame) -> DataFrame:
     """The links between lines of a band that join their components: fewer than the band has lines.
 
-    Each line counts the shingles that it shares with every line before it, from lists of the lines
-    that have a shingle. Lines that are joined by then are not looked at.
+    Each line counts the shingles that it shares with every line before it: by a product of a small
+    table, else from lists of the lines that have a shingle. Lines that are joined by then are not looked at.
     """
 
-    def probe(texts: list[bytes], part: np.ndarray) -> list[tuple[bytes, bytes]]:
-        names = distinct_shingles(*shingles(texts))
-        owner = (names >> np.uint64(42)).astype(np.int64)
-        size = np.bincount(owner, minlength=len(texts))
-        _, token = np.unique(names & np.uint64((1 << 42) - 1), return_inverse=True)
+    def shared_with(token: np.ndarray, first: np.ndarray) -> Callable[[int], np.ndarray]:
+        """A function of i: how many shingles line i shares with each line before it."""
+        lines, kinds = len(first) - 1, int(token.max()) + 1
+        owner = np.repeat(np.arange(lines), np.diff(first))
+        if lines * kinds <= DENSE:
+            table = np.zeros((lines, kinds), np.float32)
+            table[owner, token] = 1
+            counts = (table @ table.T).astype(np.int64)
+            return lambda i: counts[i, :i]
         order = np.argsort(token, kind="stable")
-        lists, start = owner[order], np.searchsorted(token[order], np.arange(token.max() + 2))
-        first = np.cumsum(size) - size
-        _, root = np.unique(part, return_inverse=True)
-        found = []
-        for i in range(1, len(texts)):
-            if not (root[:i] != root[i]).any():
-                continue
-            own = token[first[i] : first[i] + size[i]]
-            shared = np.bincount(np.concatenate([lists[start[t] : start[t + 1]] for t in own.tolist()]), minlength=len(texts))[:i]
-            for j in np.flatnonzero((root[:i] != root[i]) & (UP * shared >= DOWN * (size[:i] + size[i] - shared))).tolist():
-                if root[j] != root[i]:
-                    root[root == root[j]] = root[i]
-                    found.append((texts[j], texts[i]))
+        lists, start = owner[order], np.searchsorted(token[order], np.arange(kinds + 1))
+
+        def one(i: int) -> np.ndarray:
+            own = token[first[i] : first[i + 1]].tolist()
+            return np.bincount(np.concatenate([lists[start[t] : start[t + 1]] for t in own]), minlength=lines)[:i]
+
+        return one
+
+    def probe(names: np.ndarray, first: np.ndarray, part: np.ndarray) -> list[tuple[int, int]]:
+        """Pairs of lines of a band; names: their distinct shingles, from first[i] on those of line i."""
+        size = np.diff(first)
+        _, token = np.unique(names & np.uint64((1 << 42) - 1), return_inverse=True)
+        shared, root, found = shared_with(token, first), np.unique(part, return_inverse=True)[1], []
+        for i in range(1, len(size)):
+            other = root[:i] != root[i]
+            if other.any():
+                common = shared(i)
+                for j in np.flatnonzero(other & (UP * common >= DOWN * (size[:i] + size[i] - common))).tolist():
+                    if root[j] != root[i]:
+                        root[root == root[j]] = root[i]
+                        found.append((j, i))
         return found
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (band, part, text), _ in groups(batches, 1 << 40):
-            start = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
-            found = []
-            for a, b in zip(start.tolist(), np.append(start[1:], len(band)).tolist()):
-                found += probe(text[a:b].tolist(), part[a:b])
+            start = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]])).tolist()
+            ends = [*start[1:], len(band)]
+            found, at = [], 0
+            while at < len(start):
+                # Shingles of several bands at once, up to a chunk of text.
+                to, size = at, 0
+                while to < len(start) and (to == at or size < CHUNK):
+                    size += sum(map(len, text[start[to] : ends[to]]))
+                    to += 1
+                base = start[at]
+                names = distinct_shingles(*shingles(text[base : ends[to - 1]].tolist()))
+                first = np.searchsorted(names >> np.uint64(42), np.arange(ends[to - 1] - base + 1, dtype=np.uint64))
+                for a, b in zip(start[at:to], ends[at:to]):
+                    own = first[a - base : b - base + 1]
+                    found += [(text[a + i], text[a + j]) for i, j in probe(names[own[0] : own[-1]], own - own[0], part[a:b])]
+                at = to
             yield links_out(found)
 
     return rows.repartition("band").sortWithinPartitions("band").mapInArrow(task, _LINKS)

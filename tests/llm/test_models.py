@@ -168,6 +168,8 @@ def test_large_bands_are_read_in_parts(spark, monkeypatch):
     rows = [(i, head + "".join(rng.choices("etaoinshr ", k=34))) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     whole = {r.doc_id for r in lines.doubled_lines(docs).collect()}
+    monkeypatch.setattr(lines, "DENSE", 0)
+    assert {r.doc_id for r in lines.doubled_lines(docs).collect()} == whole
     monkeypatch.setattr(lines, "PART", 7)
     assert {r.doc_id for r in lines.doubled_lines(docs).collect()} == whole == set(brute_components(rows))
 
