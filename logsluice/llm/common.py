@@ -96,6 +96,12 @@ def shingle_hashes(words: list[bytes], hashes: WordHashes, n: int = 5) -> np.nda
     return np.unique(mixed(out + np.uint64(n)))
 
 
+def filter_bits(keys: int) -> int:
+    """Bits of a filter for so many keys, 16 each: 1 MB to 64 MB. Beyond some 30 million keys it lets more
+    rows through to the join."""
+    return 1 << min(29, max(23, (16 * keys - 1).bit_length()))
+
+
 def bit_filter(ids: DataFrame, key: str, bits: int = 1 << 23) -> np.ndarray:
     """A Bloom filter of fixed size (two bits a key) over a long column, as packed bytes.
 

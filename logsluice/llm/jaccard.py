@@ -4,30 +4,33 @@ Sets are indexed by prefix (the tokens that a partner must share), in one global
 that are frequent anywhere last, others by hash. An index list has its entries in blocks by the
 number of tokens that follow; a block whose best entry cannot reach the overlap is skipped.
 
-Answers are derived, not computed again: each set is first compared with the one set that shares
-most of its lists. A set that is linked takes over that set's answers (its component); index lists
-are then read again and only pairs that no computed answer settles are compared. Where those would
-be many, rounds go before that compare each set with a few of other components in its lists, so a
-large group of near copies grows together from its links. No link between components is lost.
+Answers are derived, not computed again. Each set is first compared with the one set that shares
+most of its lists; linked sets are one component. Sets whose lists still hold several components are
+compared once with a pivot, the root of the largest component in their lists, and keep the difference
+to it. Sets of one pivot derive their answers from those differences: |x & y| = |z| - |z - x| - |z - y|
++ what the two differences share; most pairs are settled by the sizes alone. Only pairs of different
+pivots are left to be compared by themselves, and those are first bounded by a third of each set.
+No link between components is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsluice.llm.common import WordHashes, bit_filter, column, components, maybe_in, mixed, shingle_hashes, texts_of, written
+from logsluice.llm.common import WordHashes, bit_filter, column, components, filter_bits, maybe_in, mixed, shingle_hashes, texts_of, written
 
 #: Two sets link when UP * intersection >= DOWN * union.
 UP, DOWN = 100, 75
 HEAVY_HERE, FLUSH = 4, 4_000_000
 BLOCK = 128
-#: Spans of the rounds, which go on while the open pairs are more than OPEN per list entry.
-ROUNDS, OPEN = (6,), 8
+#: A sketch is the first SKETCH-th of a set in the order of its hashes. A pivot is kept where it may share
+#: half of what a link needs. Differences that a task compares at once, in bytes.
+SKETCH, NEAR, PART_BYTES = 3, 0.5, 32 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -36,9 +39,9 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def set_rows(docs: DataFrame, n: int) -> DataFrame:
-    """Per document its set size and 128-bit set hash; and rows (token, count) of tokens that are
-    frequent in a task (those have no size)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("token", pa.int64()), ("count", pa.int64())])
+    """Per document its set size, 128-bit set hash and sketch (the first hashes, 32 bits of each); and
+    rows (token, count) of tokens that are frequent in a task (those have no size)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sketch", pa.binary()), ("token", pa.int64()), ("count", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, kept, held = WordHashes(), [], 0
@@ -48,26 +51,27 @@ def set_rows(docs: DataFrame, n: int) -> DataFrame:
             at = np.flatnonzero(counts >= HEAVY_HERE)
             at = at[np.argsort(-counts[at], kind="stable")[:20_000]]
             none = pa.nulls(len(at), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(tokens[at].view(np.int64)), pa.array(counts[at])], schema=schema)
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(at), pa.binary()), pa.array(tokens[at].view(np.int64)), pa.array(counts[at])], schema=schema)
 
         for batch in batches:
-            sizes, s1, s2 = [], [], []
+            sizes, s1, s2, sketches = [], [], [], []
             for text in texts_of(batch):
                 tokens = shingle_hashes(words_of(text), hashes, n)
                 sizes.append(len(tokens))
                 s1.append(int(mixed(tokens).sum(dtype=np.uint64).view(np.int64)))
                 s2.append(int(mixed(tokens ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64).view(np.int64)))
+                sketches.append((tokens[: -(-len(tokens) // SKETCH)] >> np.uint64(32)).astype("<u4").tobytes())
                 kept.append(tokens)
                 held += len(tokens)
             none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), none, none], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sketches, pa.binary()), none, none], schema=schema)
             if held >= FLUSH:
                 yield frequent()
                 kept, held = [], 0
         if kept:
             yield frequent()
 
-    return docs.mapInArrow(task, "doc_id long, n_shingles long, s1 long, s2 long, token long, count long")
+    return docs.mapInArrow(task, "doc_id long, n_shingles long, s1 long, s2 long, sketch binary, token long, count long")
 
 
 def prefix_length(n: int) -> int:
@@ -182,7 +186,7 @@ def nearest_pairs(lists: DataFrame) -> DataFrame:
 
 
 def pairs_out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    both = np.array(pairs, np.int64)
+    both = np.array(pairs, np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
@@ -203,48 +207,107 @@ def unsettled(lists: DataFrame, known: DataFrame) -> DataFrame:
     return out.select("list", "doc_id", "n", "rest", "times", "part", F.coalesce("weight", F.lit(1)).alias("weight"), "pairs")
 
 
-def round_pairs(lists: DataFrame, span: int) -> DataFrame:
-    """(a, b): each set b with up to 2 * span sets a of other, larger parts that stand near it in its
-    lists, in an order that each round deals anew. Those that share most lists go first.
+def pivots(lists: DataFrame) -> DataFrame:
+    """(a, b): for each set b of unsettled() lists its pivot a, the root of the largest component in the
+    lists that it has most of. A root may be its own pivot."""
+    heavy = lists.groupBy("list").agg(F.max_by("part", F.struct("weight", -F.col("part"))).alias("a"))
+    pairs = lists.join(heavy, "list").groupBy(F.col("doc_id").alias("b"), "a").agg(F.sum("times").alias("times"))
+    return pairs.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).where("a != b").select("a", "b")
+
+
+def most_shared(x: np.ndarray, n_x: int, y: np.ndarray, n_y: int) -> int:
+    """What two sets share at most, by their sketches. Both hold all hashes below the smaller of their last ones."""
+    if not len(x) or not len(y):
+        return 0
+    last = min(x[-1], y[-1])
+    x, y = x[: np.searchsorted(x, last)], y[: np.searchsorted(y, last)]
+    at = np.searchsorted(y, x)
+    same = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
+    return same + min(n_x - len(x), n_y - len(y))
+
+
+def needed(n_x, n_y):
+    """The overlap of a link."""
+    return -(-DOWN * (n_x + n_y) // (UP + DOWN))
+
+
+def sketched(pairs: DataFrame, sets: DataFrame, share: float = 1.0) -> DataFrame:
+    """The pairs (a, b) whose sketches allow `share` of the overlap of a link."""
+    own = named_by(pairs, sets.select("doc_id", "n_shingles", "sketch")).dropDuplicates(["doc_id"])
+    side = lambda x: own.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b, x, y = (column(batch, c) for c in ("n_a", "n_b", "sketch_a", "sketch_b"))
+            keep = [most_shared(np.frombuffer(p, "<u4"), i, np.frombuffer(q, "<u4"), j) >= share * needed(i, j) for i, j, p, q in zip(n_a, n_b, x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(task, "a long, b long")
+
+
+def settled_by_pivot(rows: DataFrame) -> DataFrame:
+    """(a, b): the links that join components of sets with one pivot, from their differences alone; fewer
+    than the group has sets.
 
-    lists: rows of unsettled(). At most span pairs per entry leave a list.
+    rows: those of differences() with part, the component of the set. The sets of a large group are
+    dealt to parts, and each pair of parts is a group.
     """
 
+    def probe(doc: np.ndarray, n: np.ndarray, minus: np.ndarray, n_pivot: int, tokens: list[np.ndarray], part: np.ndarray) -> list[tuple[int, int]]:
+        order = np.argsort(n, kind="stable")
+        doc, n, minus, part = doc[order], n[order], minus[order], part[order]
+        size = np.array([len(tokens[k]) for k in order])
+        first = np.concatenate([[0], np.cumsum(size)])
+        _, token = np.unique(np.concatenate([tokens[k] for k in order]), return_inverse=True)
+        by_token = np.argsort(token, kind="stable")
+        owner = np.repeat(np.arange(len(doc)), size)[by_token]
+        start = np.searchsorted(token[by_token], np.arange((int(token.max()) if len(token) else -1) + 2))
+        root, found = np.unique(part, return_inverse=True)[1], []
+        for i in range(1, len(doc)):
+            before = np.arange(int(np.searchsorted(UP * n[:i], DOWN * n[i])), i)
+            before = before[root[before] != root[i]]
+            if not len(before):
+                continue
+            least = n_pivot - minus[before] - minus[i]
+            need = needed(n[before], n[i])
+            linked, open_ = least >= need, (least < need) & (least + np.minimum(size[before], size[i]) >= need)
+            if open_.any():
+                lists = [owner[start[t] : start[t + 1]] for t in token[first[i] : first[i + 1]].tolist()]
+                common = np.bincount(np.concatenate(lists), minlength=len(doc))[before] if lists else np.zeros(len(before), np.int64)
+                linked |= open_ & (least + common >= need)
+            for j in before[linked].tolist():
+                if root[j] != root[i]:
+                    root[root == root[j]] = root[i]
+                    found.append((int(doc[j]), int(doc[i])))
+        return found
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, doc, n, rest, times, part, weight), _ in groups(batches):
-            start = np.searchsorted(key, key)
-            found = []
-            for d in range(1, span + 1):
-                y = np.arange(d, len(key))
-                x = y - d
-                keep = (start[y] <= x) & (part[x] != part[y]) & may_link(n[x], n[y], rest[x], rest[y])
-                x, y = x[keep], y[keep]
-                # b is of the smaller part, so that sets outside of a large part are tried most.
-                swap = (weight[x] < weight[y]) | ((weight[x] == weight[y]) & (doc[x] > doc[y]))
-                found.append(np.stack([np.where(swap, doc[y], doc[x]), np.where(swap, doc[x], doc[y]), np.minimum(times[x], times[y])]))
-            a, b, shared = np.concatenate(found, axis=1)
-            if len(a):
-                order = np.lexsort((a, b))
-                a, b, shared = a[order], b[order], shared[order]
-                first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-                yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(np.add.reduceat(shared, first))], names=["a", "b", "times"])
-
-    dealt = lists.repartition("list").sortWithinPartitions("list", F.xxhash64("doc_id", F.lit(span)))
-    pairs = dealt.select("list", "doc_id", "n", "rest", "times", "part", "weight").mapInArrow(task, "a long, b long, times long")
-    best = Window.partitionBy("b").orderBy(F.desc("times"), "a")
-    pairs = pairs.groupBy("a", "b").agg(F.sum("times").alias("times")).withColumn("place", F.row_number().over(best))
-    return pairs.where(F.col("place") <= 2 * span).select("a", "b")
-
-
-def open_pairs(lists: DataFrame, known: DataFrame, most: int = 50_000) -> DataFrame:
-    """Pairs of a list whose sets are in different components, blocks of entries skipped.
+        for (key, doc, part, n, minus, n_pivot, tokens), _ in groups(batches, 1 << 40):
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist()
+            for s, e in zip(start, [*start[1:], len(key)], strict=True):
+                found = probe(doc[s:e], n[s:e], minus[s:e], int(n_pivot[s]), [np.frombuffer(x, np.uint64) for x in tokens[s:e]], part[s:e])
+                if found:
+                    yield pairs_out(found)
+
+    several = rows.groupBy("pivot").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.sum(F.octet_length("tokens")).alias("bytes")).where("low != high")
+    split = rows.join(several.select("pivot", F.ceil((F.col("bytes") + 1) / PART_BYTES).cast("int").alias("parts")), "pivot").withColumn("own", F.pmod(F.xxhash64("doc_id"), "parts"))
+    split = split.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    key = F.when(F.col("parts") == 1, F.col("pivot")).otherwise(F.xxhash64("pivot", F.least("own", "other"), F.greatest("own", "other")))
+    ordered = split.select(key.alias("group"), "doc_id", "part", "n", "minus", "n_pivot", "tokens").repartition("group").sortWithinPartitions("group", "doc_id")
+    return ordered.mapInArrow(task, "a long, b long")
+
+
+def open_pairs(lists: DataFrame, known: DataFrame, settled: DataFrame, most: int = 50_000) -> DataFrame:
+    """Pairs of a list whose sets are in different components and have not the same pivot, blocks of
+    entries skipped. settled: (doc_id, pivot).
 
     A list of more than `most` sets is read as pairs of its parts.
     """
 
-    def probe(doc, n, rest, part) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def probe(doc, n, rest, part, pivot, has) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         order = np.argsort(-rest, kind="stable")
-        doc, n, rest, part = doc[order], n[order], rest[order], part[order]
+        doc, n, rest, part, pivot, has = doc[order], n[order], rest[order], part[order], pivot[order], has[order]
         starts = np.arange(0, len(doc), BLOCK)
         low = np.minimum.reduceat(n, starts)
         for i in range(1, len(doc)):
@@ -253,7 +316,7 @@ def open_pairs(lists: DataFrame, known: DataFrame, most: int = 50_000) -> DataFr
             need = -(-DOWN * (low[: i // BLOCK + 1].astype(np.int64) + int(n[i])) // (UP + DOWN))
             for s in starts[: i // BLOCK + 1][1 + rest[i] >= need]:
                 e = min(s + BLOCK, i)
-                hit = (part[s:e] != part[i]) & may_link(n[s:e], n[i], rest[s:e], rest[i])
+                hit = (part[s:e] != part[i]) & ~(has[s:e] & has[i] & (pivot[s:e] == pivot[i])) & may_link(n[s:e], n[i], rest[s:e], rest[i])
                 if hit.any():
                     other = doc[s:e][hit]
                     yield np.minimum(other, doc[i]), np.maximum(other, doc[i])
@@ -280,87 +343,140 @@ def open_pairs(lists: DataFrame, known: DataFrame, most: int = 50_000) -> DataFr
                 yield pairs_out(found)
                 found = []
 
-    named = with_parts(lists, known).select("list", "doc_id", "n", "rest", "part")
+    named = with_parts(lists, known).select("list", "doc_id", "n", "rest", "part").join(settled, "doc_id", "left")
+    named = named.withColumn("has", F.col("pivot").isNotNull()).withColumn("pivot", F.coalesce("pivot", "doc_id"))
     # Lists inside one component are settled: they go before anything is gathered by list. A long
     # list is split: its sets are dealt into parts, and each pair of parts is a list.
     mixed_lists = named.groupBy("list").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("size")).where("low != high")
     split = named.join(mixed_lists.select("list", F.ceil(F.col("size") / most).cast("int").alias("parts")), "list").withColumn("own", F.pmod(F.xxhash64("doc_id"), "parts"))
     split = split.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     key = F.when(F.col("parts") == 1, F.col("list")).otherwise(F.xxhash64("list", F.least("own", "other"), F.greatest("own", "other")))
-    ordered = split.select(key.alias("list"), "doc_id", "n", "rest", "part").repartition("list").sortWithinPartitions("list", "doc_id")
+    ordered = split.select(key.alias("list"), "doc_id", "n", "rest", "part", "pivot", "has").repartition("list").sortWithinPartitions("list", "doc_id")
     return ordered.mapInArrow(task, "a long, b long").distinct()
 
 
-def linked(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets. docs: (doc_id, text) that pairs name."""
-    texts = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
+def compared(pairs: DataFrame, docs: DataFrame, n: int, judge: Callable, schema: str) -> DataFrame:
+    """Rows of judge((a, b, set of a, set of b) of a batch's pairs), with schema. docs: (doc_id, text)."""
+    texts = named_by(pairs, docs).groupBy("doc_id").agg(F.min("text").alias("text"))
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last, own = WordHashes(), None, np.empty(0, np.uint64)
-        for batch in batches:
-            keep = []
-            for a, x, y in zip(column(batch, "a"), texts_of(batch, "text_a"), texts_of(batch, "text_b"), strict=True):
+        hashes = WordHashes()
+
+        def sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+            last, own = None, np.empty(0, np.uint64)
+            for a, b, x, y in zip(column(batch, "a"), column(batch, "b"), texts_of(batch, "text_a"), texts_of(batch, "text_b"), strict=True):
                 if a != last:
                     last, own = a, shingle_hashes(words_of(x), hashes, n)
-                other = shingle_hashes(words_of(y), hashes, n)
-                common = len(np.intersect1d(own, other, assume_unique=True))
-                keep.append(common > 0 and UP * common >= DOWN * (len(own) + len(other) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+                yield a, b, own, shingle_hashes(words_of(y), hashes, n)
 
-    return both.mapInArrow(task, "a long, b long")
+        for batch in batches:
+            yield judge(sets(batch))
+
+    return both.mapInArrow(task, schema)
 
 
-def named_by(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The documents that pairs name, and few others: thinned out by a filter of fixed size."""
-    seen = docs.sparkSession.sparkContext.broadcast(bit_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id"))
+def linked(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """The pairs (a, b) that link, by their whole sets."""
+
+    def judge(rows: Iterator[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keep = []
+        for a, b, x, y in rows:
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            if common > 0 and UP * common >= DOWN * (len(x) + len(y) - common):
+                keep.append((a, b))
+        return pairs_out(keep)
+
+    return compared(pairs, docs, n, judge, "a long, b long")
+
+
+def differences(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(pivot, doc_id, n, minus, n_pivot, tokens): for pairs (pivot, set) that share NEAR of what a link
+    needs, the hashes that one of both has; the first `minus` of them are the pivot's. Pivots come too."""
+    schema = pa.schema([("pivot", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("minus", pa.int64()), ("n_pivot", pa.int64()), ("tokens", pa.binary())])
+
+    def judge(rows: Iterator[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        out: list[tuple] = []
+        last = None
+        for a, b, x, y in rows:
+            less, more = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+            if len(x) - len(less) >= NEAR * needed(len(x), len(y)):
+                if a != last:
+                    out.append((a, a, len(x), 0, len(x), b""))
+                    last = a
+                out.append((a, b, len(y), len(less), len(x), np.concatenate([less, more]).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    return compared(pairs, docs, n, judge, "pivot long, doc_id long, n long, minus long, n_pivot long, tokens binary").dropDuplicates(["pivot", "doc_id"])
+
+
+def named_by(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows whose doc_id is in pairs, and few others: thinned out by a filter sized by the pairs."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    seen = rows.sparkSession.sparkContext.broadcast(bit_filter(ids, "id", filter_bits(2 * pairs.count())))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array(maybe_in(seen.value, ids)))
 
-    return docs.mapInArrow(task, "doc_id long, text string")
+    return rows.mapInArrow(task, rows.schema)
 
 
-def joined(pairs: DataFrame, known: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """known with the components that linked pairs join."""
-    links = linked(pairs, named_by(pairs, docs), n).union(known.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b")))
-    return written(components(written(links, "links")), "known")
+def grown(links: DataFrame, known: DataFrame) -> DataFrame:
+    """known with the components that links join."""
+    old = known.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    return written(components(written(links.union(old), "links")), "known")
+
+
+def by_key(docs: DataFrame, n: int) -> DataFrame:
+    """jaccard_components of rows of which some share an id but not the set: each (id, text) is a node,
+    and nodes of one id are one document."""
+    rows = docs.withColumn("key", F.xxhash64("doc_id", "text"))
+    found = jaccard_components(rows.groupBy("key").agg(F.first("text").alias("text")).select(F.col("key").alias("doc_id"), "text"), n)
+    rows = written(rows.select("doc_id", "key").join(found.select(F.col("doc_id").alias("key"), "n_shingles", F.col("component_id").alias("class")), "key"), "rows")
+    some = rows.where("doc_id is not null and n_shingles > 0")
+    least = some.groupBy("class").agg(F.min("doc_id").alias("a"))
+    known = components(some.join(least, "class").select("a", F.col("doc_id").alias("b"))).withColumnRenamed("node", "doc_id")
+    return rows.join(known, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text).
 
     Null and empty texts have empty sets and link with nothing. Rows that share an id are one
-    node; rows with a null id keep a null component. An empty table gives no rows.
+    node, which links where one of its texts does; rows with a null id keep a null component. An
+    empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = written(set_rows(docs, n), "sets")
     sets = rows.where("token is null")
+    full = sets.where("n_shingles > 0 and doc_id is not null")
+    if not full.groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("x"), F.max(F.struct("s1", "s2")).alias("y")).where("x != y").isEmpty():
+        return by_key(docs, n)
     top = rows.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(100_000).toArrow()
     heavy, counts = top.column("token").to_numpy().view(np.uint64), top.column("count").to_numpy()
     order = np.argsort(heavy)
     heavy, ranks = heavy[order], counts[order]
     lists = written(index_lists(index_rows(docs, heavy, ranks, n)), "lists")
 
-    full = sets.where("n_shingles > 0 and doc_id is not null")
     least = full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("a"), F.count("*").alias("rows")).where("rows > 1")
     copies = full.select("s1", "s2", "n_shingles", F.col("doc_id").alias("b")).join(least, ["s1", "s2", "n_shingles"]).select("a", "b").where("a != b")
 
-    first = written(nearest_pairs(lists), "pairs")
-    links = written(linked(first, named_by(first, docs), n).union(copies), "links")
-    known = written(components(links), "known")
-    for span in ROUNDS:
-        open_lists = written(unsettled(lists, known), "open")
-        # Rounds only save work: few open pairs are compared at once, whatever the rounds would find.
-        if open_lists.select((F.sum("pairs") > OPEN * F.count("*")).alias("many")).first().many is not True:
-            break
-        known = joined(written(round_pairs(open_lists, span), "pairs"), known, docs, n)
-    more = written(open_pairs(lists, known), "pairs")
+    first = written(sketched(written(nearest_pairs(lists), "pairs"), full), "pairs")
+    known = written(components(written(linked(first, docs, n).union(copies), "links")), "known")
+    open_lists = written(unsettled(lists, known), "open")
+    to_pivots = written(sketched(written(pivots(open_lists), "pairs"), full, NEAR), "pairs")
+    apart = written(differences(to_pivots, docs, n), "differences")
+    own = apart.join(known.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    known = grown(settled_by_pivot(own.select("pivot", "doc_id", F.coalesce("component", "doc_id").alias("part"), "n", "minus", "n_pivot", "tokens")), known)
+    # A pivot may also have another one; then its pairs with its own sets are compared once more.
+    settled = apart.groupBy("doc_id").agg(F.max_by("pivot", F.struct(F.col("pivot") != F.col("doc_id"), "pivot")).alias("pivot"))
+    left = written(open_pairs(lists, known, settled), "pairs")
+    more = written(sketched(left, full), "pairs")
     if not more.isEmpty():
-        known = joined(more, known, docs, n)
+        known = grown(linked(more, docs, n), known)
     out = sets.select("doc_id", "n_shingles").join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from logsluice.llm import jaccard
 from logsluice.llm.common import components
@@ -52,8 +54,8 @@ def test_components_match_brute_force(spark):
         assert sorted(map(tuple, jaccard.jaccard_components(docs).collect())) == brute(rows)
 
 
-def test_rounds_keep_components_exact(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "OPEN", 0)
+def test_pivots_keep_components_exact(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PART_BYTES", 900)
     rng = random.Random(4)
     base = [f"w{k}" for k in range(60)]
     rows = []
@@ -69,8 +71,10 @@ def test_rounds_keep_components_exact(spark, monkeypatch):
 def test_long_lists_are_split_without_loss(spark):
     rows = spark.createDataFrame([(1, d, 40, 39, d % 7) for d in range(60)], "list long, doc_id long, n int, rest int, part long")
     known = rows.select("doc_id", "part").withColumnRenamed("doc_id", "node").withColumnRenamed("part", "component")
+    none = rows.select("doc_id", F.lit(1).cast("long").alias("pivot")).limit(0)
+    assert jaccard.open_pairs(rows.drop("part"), known, rows.select("doc_id", F.lit(1).cast("long").alias("pivot"))).isEmpty()
     for most in (7, 1000):
-        found = {(r.a, r.b) for r in jaccard.open_pairs(rows.drop("part"), known, most).collect()}
+        found = {(r.a, r.b) for r in jaccard.open_pairs(rows.drop("part"), known, none, most).collect()}
         assert found == {(a, b) for a in range(60) for b in range(a) if a % 7 != b % 7} or found == {(b, a) for a in range(60) for b in range(a) if a % 7 != b % 7}
 
 
@@ -84,6 +88,24 @@ def test_repeated_null_and_empty(spark):
     assert sorted(r.doc_id or 0 for r in jaccard.keep_one(docs).collect()) == [0, 2, 9]
 
 
+def test_an_id_with_several_texts_is_one_document(spark):
+    near = lambda k: " ".join([f"w{i}" for i in range(40)] + [f"x{k}"])
+    rows = [(1, "some other words that are not like it"), (1, near(1)), (2, near(2)), (3, "some other words that are not like it"), (4, "alone"), (None, near(3)), (5, None), (5, "")]
+    got = sorted(map(str, jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    want = [(1, 4, 1), (1, 37, 1), (2, 37, 1), (3, 4, 1), (4, 1, 4), (None, 37, None), (5, 0, 5), (5, 0, 5)]
+    assert got == sorted(map(str, spark.createDataFrame(want, "doc_id long, n_shingles long, component_id long").collect()))
+
+
+def test_sketches_never_understate(spark):
+    rng = np.random.default_rng(3)
+    for wide in (40, 1 << 40):  # 40: all hashes have equal first bits, or many do
+        for _ in range(300):
+            pool = np.unique(rng.integers(0, wide, 60).astype(np.uint64) << np.uint64(20))
+            x, y = (np.sort(rng.choice(pool, rng.integers(1, len(pool)), replace=False)) for _ in range(2))
+            cut = lambda t: (t[: -(-len(t) // jaccard.SKETCH)] >> np.uint64(32)).astype("<u4")
+            assert jaccard.most_shared(cut(x), len(x), cut(y), len(y)) >= len(np.intersect1d(x, y))
+
+
 @settings(max_examples=4, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 60)), min_size=1, max_size=60))
 def test_components_of_any_graph(spark, edges):
