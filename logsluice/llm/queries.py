@@ -83,4 +83,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL where it can express a query.
-ORACLES: dict[str, str] = {"op13_collocations": collocations.SQL}
+ORACLES: dict[str, str] = {"op1_warc": warc.SQL, "op5_jaccard_join": jaccard.SQL, "op13_collocations": collocations.SQL}

@@ -2,7 +2,7 @@
 
 Each record is a gzip member of its own with its length in the member's extra field, so the reader
 inflates the first bytes, parses the headers, and seeks past a record that the pushed predicates
-do not want. Revisit records carry the headers of the response they repeat, without its payload.
+do not want. Members of other writers don't tell their length: they are inflated to find their end. Revisit records carry the headers of the response they repeat, without its payload.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import base64
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
@@ -81,30 +81,56 @@ def write_records(rows: DataFrame, path: str) -> None:
     rows.select("record_type", "record_id", "url", "refers_to", "payload").mapInArrow(task, "records long").agg(F.sum("records")).collect()
 
 
-def members(source, size: int) -> Iterator[tuple[dict[str, str], bytes | None, object]]:
-    """(WARC headers, first bytes of the block, load): load() inflates the whole record."""
+def headers_of(lines: bytes) -> dict[str, str]:
+    """Header fields by their names in lower case; the first line and lines without a colon are left out."""
+    fields = (x.split(":", 1) for x in lines.decode("utf-8", "replace").split("\r\n")[1:] if ":" in x)
+    return {k.strip().lower(): v.strip() for k, v in fields}
+
+
+def whole_member(source, at: int) -> tuple[bytes, int]:
+    """The inflated bytes of the gzip member at a place, and its length in the file."""
+    unpack, out, read = zlib.decompressobj(31), [], 0
+    source.seek(at)
+    while not unpack.eof:
+        data = source.read(1 << 16)
+        if not data:
+            raise ValueError(f"the record at byte {at} has no end")
+        out.append(unpack.decompress(data))
+        read += len(data)
+    return b"".join(out), read - len(unpack.unused_data)
+
+
+def members(source, size: int) -> Iterator[tuple[dict[str, str], bytes, Callable[[], bytes]]]:
+    """(WARC headers, first bytes of the block with its HTTP headers, load): load() gives the whole block."""
     at, first = 0, 1 << 14
     while at < size:
         source.seek(at)
         start = source.read(first)
-        if start[:4] != FIXED[:4]:
-            raise ValueError(f"no record with a length at byte {at}")
-        extra, _, _, length, _ = struct.unpack_from("<H2sHII", start, 10)
-        body = start[12 + extra : length - 8]
-        head = zlib.decompressobj(-15).decompress(body, 1 << 14)
+        if start[:2] != FIXED[:2]:
+            raise ValueError(f"no gzip member at byte {at}")
+        if start[:4] == FIXED[:4] and start[12:14] == b"sl":
+            extra, _, _, length, _ = struct.unpack_from("<H2sHII", start, 10)
+            head = zlib.decompressobj(-15).decompress(start[12 + extra : length - 8], 1 << 14)
+
+            def load(at=at, extra=extra, length=length, start=start) -> bytes:
+                if length <= first:
+                    body = start[12 + extra : length - 8]
+                else:
+                    source.seek(at + 12 + extra)
+                    body = source.read(length - 20 - extra)
+                return zlib.decompress(body, -15)
+        else:
+            head, length = whole_member(source, at)
+            load = lambda head=head: head
         end = head.find(b"\r\n\r\n")
-
-        def load(at=at, extra=extra, length=length, body=body) -> bytes:
-            if length > first:
-                source.seek(at + 12 + extra)
-                body = source.read(length - 20 - extra)
-            return zlib.decompress(body, -15)
-
-        if end < 0:
+        if end < 0 or head.find(b"\r\n\r\n", end + 4) < 0:  # headers longer than the first bytes
             head = load()
             end = head.find(b"\r\n\r\n")
-        lines = head[:end].decode().split("\r\n")[1:]
-        yield dict(x.split(": ", 1) for x in lines), head[end + 4 :], load
+        if end < 0:
+            raise ValueError(f"the record at byte {at} has no headers")
+        fields = headers_of(head[:end])
+        to = end + 4 + int(fields["content-length"])
+        yield fields, head[end + 4 : to], lambda load=load, end=end, to=to: load()[end + 4 : to]
         at += length
 
 
@@ -154,18 +180,21 @@ class WarcReader(DataSourceReader):
         for name, size in partition.value:
             with here.open_input_file(name) as source:
                 for head, block, load in members(source, size):
-                    if head["WARC-Type"] == "warcinfo":
+                    if head.get("warc-type") == "warcinfo":
                         continue
-                    row = {k: head.get(h) for k, h in HEADERS.items()}
+                    row = {k: head.get(h.lower()) for k, h in HEADERS.items()}
                     row["payload_digest"] = (row["payload_digest"] or "").removeprefix("sha1:") or None
                     if any(row[k] not in v for k, v in self.wanted.items()):
                         continue
                     payload = None
-                    length = next((int(x[15:]) for x in block.split(b"\r\n\r\n", 1)[0].split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
+                    http = head.get("content-type", "").startswith("application/http") and b"\r\n\r\n" in block
+                    told = headers_of(block.split(b"\r\n\r\n", 1)[0]).get("content-length", "") if http else head["content-length"]
+                    length = int(told) if told.isdecimal() else None
                     if self.payload and row["warc_type"] != "revisit":
-                        whole = load().split(b"\r\n\r\n", 2)[2]
-                        payload = whole[: int(head["Content-Length"]) - (len(block.split(b"\r\n\r\n", 1)[0]) + 4)]
-                        if self.verify and (digest_of(payload) != row["payload_digest"] or len(payload) != length):
+                        payload = load().split(b"\r\n\r\n", 1)[1] if http else load()
+                        if length is None:
+                            length = len(payload)
+                        if self.verify and (row["payload_digest"] not in (None, digest_of(payload)) or len(payload) != length):
                             raise ValueError(f"{name}: digest of {row['record_id']} differs")
                     rows.append((*row.values(), length, payload))
                     held += len(payload or b"") + 200
@@ -228,3 +257,16 @@ def archived(pages: DataFrame, least_bytes: int = 0, path: str | None = None) ->
     register(spark)
     rows = spark.read.format("warc").option("verify", "true").load(path)
     return rows.select(page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), page_number("refers_to").alias("refers_to"))
+
+
+#: The same rows by SQL: a base32 character is five bits of the hexadecimal SHA-1.
+SQL = """
+WITH rows AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first_id FROM rows)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((CAST('0x' || substr(hex, CAST(5 * (k // 4) + 1 AS BIGINT), 5) AS INTEGER) >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM firsts
+"""

@@ -1,6 +1,7 @@
 """WARC round trips and Order MinHash against brute force."""
 
 import base64
+import gzip
 import hashlib
 import random
 
@@ -39,6 +40,24 @@ def test_warc_pushes_header_predicates(spark, tmp_path):
     assert list(reader.pushFilters([warc.EqualTo(("warc_type",), "revisit")])) == [] and reader.wanted == {"warc_type": {"revisit"}}
 
 
+def test_long_headers_and_archives_of_other_writers(spark, tmp_path):
+    own, other = tmp_path / "own", tmp_path / "other"
+    urls = ["http://h/" + "u" * n for n in (*range(16_040, 16_160, 5), 70_000)]
+    pages = spark.createDataFrame([(i, u, f"body {i}") for i, u in enumerate(urls)], "page_id long, url string, html string").repartition(2)
+    warc.write_records(warc.with_revisits(pages), str(own))
+    warc.register(spark)
+    got = spark.read.format("warc").option("verify", "true").load(str(own)).select("target_uri", "payload", "payload_bytes").collect()
+    assert sorted((r.target_uri, bytes(r.payload).decode(), r.payload_bytes) for r in got) == sorted((u, f"body {i}", len(f"body {i}")) for i, u in enumerate(urls))
+    body = b"HTTP/1.1 200 OK\r\nServer:x\r\n\r\n" + bytes(range(256)) * 900
+    plain = b"one\r\n\r\ntwo"
+    other.mkdir()
+    with open(other / "a.warc.gz", "wb") as out:
+        for kind, content, block in (("warcinfo", "application/warc-fields", b"a: b\r\n"), ("response", "application/http; msgtype=response", body), ("resource", "text/plain", plain)):
+            out.write(gzip.compress(f"WARC/1.0\r\nwarc-type:{kind}\r\nWARC-Target-URI: u\r\nContent-Type:{content}\r\nContent-Length:{len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"))
+    got = spark.read.format("warc").load(str(other)).collect()
+    assert [(r.warc_type, r.target_uri, bytes(r.payload), r.payload_bytes) for r in got] == [("response", "u", body.split(b"\r\n\r\n", 1)[1], 230_400), ("resource", "u", plain, len(plain))]
+
+
 def test_fingerprints(spark):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(3000)]
