@@ -198,28 +198,27 @@ def packed(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     total = pieces.count()
     salts = min(4096, max(16, total // 2_000_000))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("length", "salt").count().orderBy("length", "salt").toArrow().to_pylist()
-    sizes: Counter[int] = Counter()
-    before: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(salts, np.int64))
-    for row in counts:
-        before[row["length"]][row["salt"]] = sizes[row["length"]]
-        sizes[row["length"]] += row["count"]
+    # Ranks of a length go on from salt to salt; only the histogram of lengths reaches the driver.
+    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
+    starts = counts.select("length", "salt", before.alias("before"))
+    sizes = Counter({r.length: r.n for r in salted.groupBy("length").agg(F.count("*").alias("n")).collect()})
     places = slots(swap_search(best_fit(sizes, capacity), capacity))
-    before = dict(before)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, salt, rank = (batch.column(c).to_numpy() for c in ("length", "salt", "rank"))
+            length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
             sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
             for size in np.unique(length):
                 at = np.flatnonzero(length == size)
-                own, ranks = places[int(size)], before[int(size)][salt[at]] + rank[at]
+                own, ranks = places[int(size)], rank[at]
                 k = np.searchsorted(own[:, 0], ranks, side="right") - 1
                 sequence[at], offset[at] = own[k, 1] + ranks - own[k, 0], own[k, 2]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(5)), pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.select("doc_id", "piece", "start", "length", "ids_crc32", "salt", (F.row_number().over(order) - 1).cast("long").alias("rank"))
+    ranked = ranked.join(starts, ["length", "salt"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
     return ranked.mapInArrow(task, PIECES + ", sequence_id long, offset long")
 
 
