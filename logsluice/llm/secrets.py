@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsluice.llm.common import column
+from logsluice.llm.common import column, written
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_@-])(?=[A-Za-z+/_-]*(?:[0-9]|[a-z][A-Z]))[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9@])")
 NAME = r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|(?<=[?&])key)"
@@ -179,10 +179,17 @@ def labelled(found: DataFrame) -> DataFrame:
 def fit(findings_with_label: DataFrame, words: frozenset[str], most_labelled: int = 20_000) -> Forest:
     """Forest of at most `most_labelled` labelled findings: of each label those with the smallest
     hashes, up to half of it, so that a rare label is never left out."""
-    rows = []
+    half, rows = most_labelled // 2, []
+    sizes = {r.label: r.n for r in findings_with_label.where("label is not null").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    key = F.xxhash64("doc_id", "start", "candidate")
     for label in (0, 1):
-        some = findings_with_label.where(F.col("label") == label).orderBy(F.xxhash64("doc_id", "start", "candidate"), "doc_id", "start")
-        rows += some.select("candidate", "before", "after", "path", "label").limit(most_labelled // 2).collect()
+        own = findings_with_label.where(F.col("label") == label)
+        # About twice the rows wanted have a hash below this, so tasks send no more than that to the driver.
+        bound = -(1 << 63) + (1 << 64) * 2 * half // max(1, sizes.get(label, 0))
+        near = own.where(key < F.lit(bound)) if bound < 1 << 62 else own
+        best = lambda some: some.orderBy(key, "doc_id", "start").select("candidate", "before", "after", "path", "label").limit(half).collect()
+        found = best(near)
+        rows += found if len(found) == min(half, sizes.get(label, 0)) else best(own)
     x = np.array([features_of(r.candidate, r.before, r.after, r.path, words) for r in rows], float).reshape(-1, len(FEATURES))
     return fit_forest(x, np.array([r.label for r in rows], float))
 
@@ -199,20 +206,22 @@ def judged(found: DataFrame, forest: Forest, words: frozenset[str], threshold: f
     return found.mapInArrow(task, "doc_id long, start int, length int, score double, is_secret boolean")
 
 
-def model_of(docs: DataFrame) -> tuple[Forest, frozenset[str]]:
+def model_of(docs: DataFrame) -> tuple[Forest, frozenset[str], DataFrame]:
+    """Forest, dictionary and the labelled findings, which are written once to the shared folder."""
     words = dictionary(docs)
-    return fit(labelled(findings(docs)), words), words
+    found = written(labelled(findings(docs)), "findings")
+    return fit(found, words), words, found
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Judged candidates of every whole text; null and empty texts and tables give none."""
-    forest, words = model_of(docs)
-    return judged(findings(docs), forest, words)
+    forest, words, found = model_of(docs)
+    return judged(found, forest, words)
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", threshold: float = 0.5) -> DataFrame:
     """docs with their columns; candidates judged secret are replaced by `mark` in text."""
-    forest, words = model_of(docs)
+    forest, words, _ = model_of(docs)
     names = docs.columns
     where = F.col("source").cast("string") if "source" in names else F.lit("")
     rows = docs.select(F.struct(*names).alias("row"), F.col("text").cast("string").alias("text"), where.alias("path"))

@@ -218,6 +218,17 @@ def test_secret_candidates_and_labels(spark):
     assert any(r.is_secret for r in secrets.judged(rows.where("label = 1"), forest, frozenset()).collect())
 
 
+def test_sample_of_labels_is_that_of_the_smallest_hashes(spark, monkeypatch):
+    rows = [(i, 0, f"c{i}", "", "", "", 1 if i % 50 == 0 else 0) for i in range(4000)]
+    found = spark.createDataFrame(rows, "doc_id long, start int, candidate string, before string, after string, path string, label int").repartition(4)
+    seen = []
+    monkeypatch.setattr(secrets, "features_of", lambda c, *_: seen.append(c) or [0.0] * len(secrets.FEATURES))
+    secrets.fit(found, frozenset(), 200)
+    hashed = found.selectExpr("candidate", "label", "xxhash64(doc_id, start, candidate) AS h").orderBy("h").collect()
+    want = [[r.candidate for r in hashed if r.label == k][:100] for k in (0, 1)]
+    assert seen == want[0] + want[1] and len(want[1]) == 80
+
+
 def test_pipeline_runs_on_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = docs
