@@ -29,15 +29,16 @@ SCHEMA = pa.schema([
 class Numbers:
     """Word numbers of a block, in order of first use."""
 
+    class Known(dict):
+        def __missing__(self, word: bytes) -> int:
+            n = self[word] = len(self)
+            return n
+
     def __init__(self):
-        self.known: dict[bytes, int] = {}
+        self.known: dict[bytes, int] = self.Known()
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        out = list(map(known.get, words))
-        if None in out:
-            out = [known.setdefault(w, len(known)) for w in words]
-        return np.array(out, np.uint32)
+        return np.fromiter(map(self.known.__getitem__, words), np.uint32, len(words))
 
 
 def squeezed(numbers: np.ndarray) -> bytes:

@@ -3,8 +3,13 @@
 Word counts come from all training documents, by a shuffle of block word lists. Words have
 classes: one for words seen once or never, one for each of the most frequent words, and classes by
 word ending. P(word | history) = P(class | history) * P(word | class): a GRU in numpy, fitted by
-truncated backpropagation on a bounded sample, gives the first; counts of all training documents
-give the second. The state is carried across windows to the end of a document.
+truncated backpropagation on all training documents, gives the first; their counts give the second.
+The state is carried across windows to the end of a document.
+
+All training documents are dealt by hash to cells of some CELL tokens, the cells to rounds. In a
+round a task per cell goes on from the same parameters, through each of its tokens; Spark adds up
+what the tasks changed, weighted by tokens, and the driver gets one set of parameters. Cells and
+their order come from ids and texts, so the model does not depend on how the table is cut.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ import heapq
 import json
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +33,10 @@ from logsluice.llm.common import written
 END = b" "
 TOP, ENDINGS, HIDDEN, WINDOW = 63, 48, 32, 64
 CLASSES = 1 + TOP + ENDINGS
+#: Training tokens of a cell; rounds at most; a parameter's change times tokens is added up as a whole number of 2**-FIXED.
+CELL, ROUNDS, FIXED = 1_000_000, 8, 16
+#: States whose logits are taken at once, so that these stay in a core's cache.
+SOFTMAX = 512
 
 
 def in_training(doc_id: int | None) -> bool:
@@ -116,55 +126,112 @@ class Gru:
         logits -= logits.max(axis=-1, keepdims=True)
         return logits - np.log(np.exp(logits).sum(axis=-1, keepdims=True))
 
+    def turned(self) -> tuple[np.ndarray, ...]:
+        """The parameters for states that stand in columns; those of the gates negated, the others doubled, as
+        moved() takes them: tanh(x) = 1 - 2 / (1 + exp(2 x))."""
+        sign = np.full(3 * self.hidden, 2, self.p["u"].dtype)
+        sign[: 2 * self.hidden] = -1
+        return np.ascontiguousarray((self.p["x"] * sign).T), np.ascontiguousarray((self.p["u"] * sign).T), np.vstack([self.p["v"], self.p["c"]]).T.copy()
+
+    def exponentials(self, logits: np.ndarray, bounded: bool) -> np.ndarray:
+        """exp of the logits (classes, batch) in place, less their largest where they could overflow."""
+        if not bounded:
+            logits -= logits.max(axis=0)
+        return np.exp(logits, out=logits)
+
+    def bounded(self) -> bool:
+        """States are within -1 and 1, so logits have a bound."""
+        return bool(np.abs(self.p["v"]).sum(axis=0).max() + np.abs(self.p["c"]).max() < 60)
+
+    def moved(self, a: np.ndarray, ut: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """step() with states in columns; a: the inputs' columns of the table, which it overwrites."""
+        k = self.hidden
+        u = ut @ h
+        zr, n, um = a[: 2 * k], a[2 * k :], u[2 * k :]
+        zr += u[: 2 * k]
+        with np.errstate(over="ignore"):  # its reciprocal is 0 there
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            n += zr[k:] * um
+            np.exp(n, out=n)
+        n += 1
+        np.divide(-2, n, out=n)
+        n += 1
+        new = h - n
+        new *= zr[:k]
+        new += n
+        return new, zr[:k], zr[k:], n, um
+
     def train_window(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
         """Gradients of one window (time, batch), back to its start; the state after it; the loss."""
-        hs, kept = [], []
-        fresh = (x != self.classes)[..., None].astype(h.dtype)
-        for t in range(len(x)):
+        (xt, ut, vt), bounded = self.turned(), self.bounded()
+        (wide, batch), k, kind = x.shape, self.hidden, h.dtype
+        fresh = (x != self.classes).astype(kind)
+        before, after, kept = np.empty((k, wide, batch), kind), np.ones((k + 1, wide * batch), kind), []
+        h = np.ascontiguousarray(h.T)
+        for t in range(wide):
             h = h * fresh[t]
-            hs.append(h)
-            h, *rest = self.step(x[t], h)
-            kept.append(rest)
-        stacked = np.stack([*hs[1:], h])
-        for t in range(1, len(x)):  # a state that the next document does not see is still read out
-            stacked[t - 1] = (1 - kept[t - 1][0]) * kept[t - 1][2] + kept[t - 1][0] * hs[t - 1]
-        out = self.log_probs(stacked)
-        n = max(1.0, float(mask.sum()))
-        at = np.indices(y.shape)
-        loss = -float((out[at[0], at[1], y] * mask).sum()) / n
-        d = np.exp(out)
-        d[at[0], at[1], y] -= 1
-        d *= (mask / n)[..., None].astype(np.float32)
-        g = {k: np.zeros_like(v) for k, v in self.p.items()}
-        g["v"] = np.tensordot(stacked, d, ((0, 1), (0, 1)))
-        g["c"] = d.sum(axis=(0, 1))
-        dh_all, back = d @ self.p["v"].T, np.zeros_like(h)
-        for t in reversed(range(len(x))):
-            z, r, m, um = kept[t]
-            dh = dh_all[t] + back
-            dm = dh * (1 - z) * (1 - m * m)
-            dz = dh * (hs[t] - m) * z * (1 - z)
-            dr = dm * um * r * (1 - r)
-            da = np.concatenate([dz, dr, dm], axis=1)
-            du = np.concatenate([dz, dr, dm * r], axis=1)
-            np.add.at(g["x"], x[t], da)
-            g["u"] += hs[t].T @ du
-            back = (dh * z + du @ self.p["u"].T) * fresh[t]
-        return g, h, loss
-
-    def fit(self, sequences: list[np.ndarray], steps: int = 500, batch: int = 64, window: int = 32, rate: float = 0.01) -> Gru:
-        """Adam over windows of streams of documents; a stream's state starts at zero with each
-        document and is carried across its windows, gradients are not."""
+            before[:, t] = h
+            rest = self.moved(xt[:, x[t]], ut, h)
+            kept.append((h, *rest[1:]))
+            h = rest[0]
+            after[:k, t * batch : (t + 1) * batch] = h
+        share, wanted = (mask / max(1.0, float(mask.sum()))).astype(kind).reshape(-1), y.reshape(-1)
+        gv, loss, out = np.zeros_like(vt), 0.0, np.empty((k, wide * batch), kind)
+        for s in range(0, wide * batch, SOFTMAX):
+            to = min(s + SOFTMAX, wide * batch)
+            own, at = after[:, s:to], np.arange(to - s)
+            d = self.exponentials(vt @ own, bounded)
+            sums = d.sum(axis=0)
+            loss -= float((np.log(d[wanted[s:to], at] / sums) * share[s:to]).sum())
+            d *= share[s:to] / sums
+            d[wanted[s:to], at] -= share[s:to]
+            gv += d @ own.T
+            out[:, s:to] = self.p["v"] @ d
+        back, da, du = np.zeros_like(h), np.empty((wide, batch, 3 * k), kind), np.empty((3 * k, wide, batch), kind)
+        for t in reversed(range(wide)):
+            back += out[:, t * batch : (t + 1) * batch]
+            h0, z, r, m, um = kept[t]
+            own = np.empty((3 * k, batch), kind)
+            rest = back * (1 - z)
+            np.multiply(rest, 1 - m * m, out=own[2 * k :])
+            rest *= z
+            np.multiply(rest, h0 - m, out=own[:k])
+            np.multiply(own[2 * k :], um, out=own[k : 2 * k])
+            own[k : 2 * k] *= 0.5 * r * (1 - r)  # um is doubled
+            da[t] = own.T
+            own[2 * k :] *= r
+            du[:, t] = own
+            back *= z
+            back += self.p["u"] @ own
+            back *= fresh[t]
+        flat = x.reshape(-1)
+        order = np.argsort(flat.astype(np.uint16), kind="stable")
+        start = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        gx = np.zeros_like(self.p["x"])
+        gx[flat[order[start]]] = np.add.reduceat(da.reshape(-1, 3 * k)[order], start, axis=0)
+        gu = before.reshape(k, -1) @ du.reshape(3 * k, -1).T
+        return {"x": gx, "u": gu, "v": gv[:, :k].T, "c": gv[:, k]}, np.ascontiguousarray(h.T), loss
+
+    def fit(self, sequences: list[np.ndarray], steps: int = 500, batch: int = 0, window: int = 32, rate: float = 0.01, done: float = 0.0, part: float = 1.0) -> Gru:
+        """Adam over windows of streams of documents, all tokens once and on until `steps`; a stream's
+        state starts at zero with each document and is carried across its windows, gradients are not.
+        done: the share of the whole training that lies behind; part: that of this call."""
         start = self.classes
-        long = np.concatenate([np.concatenate([[start], s]) for s in sequences]) if sequences else np.empty(0, int)
+        long = np.concatenate([x for s in sequences for x in ([start], s)]).astype(np.int64) if sequences else np.empty(0, np.int64)
+        batch = batch or (256 if len(long) >= 256 * 1024 else 64)
         if len(long) < 2 * batch:
             batch = 1
-        width = (len(long) - 1) // batch
+        width = -(-(len(long) - 1) // batch)
         if width < 1:
             return self
-        x, y = long[: width * batch].reshape(batch, width).T, long[1 : width * batch + 1].reshape(batch, width).T
+        long = np.append(long, np.full(width * batch + 1 - len(long), start))
+        x, y = long[:-1].reshape(batch, width).T, long[1:].reshape(batch, width).T
+        x, y = np.ascontiguousarray(x), np.ascontiguousarray(y)
         first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         h, at = np.zeros((batch, self.hidden), np.float32), 0
+        steps = max(steps, -(-width // window))
         for k in range(1, steps + 1):
             if at >= width:
                 h, at = np.zeros_like(h), 0
@@ -173,46 +240,86 @@ class Gru:
             g, h, _ = self.train_window(own, np.where(want == start, 0, want), mask, h)
             at += window
             size = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
+            now = rate * min(1.0, 2 - 2 * (done + part * k / steps))
             for name, v in g.items():
                 v *= min(1.0, 1.0 / (size + 1e-9))
                 first[name] += 0.1 * (v - first[name])
                 second[name] += 0.01 * (v * v - second[name])
-                self.p[name] -= np.float32(rate * min(1.0, 2 - 2 * k / steps)) * (first[name] / (1 - 0.9**k)) / (np.sqrt(second[name] / (1 - 0.99**k)) + 1e-6)
+                self.p[name] -= np.float32(now) * (first[name] / (1 - 0.9**k)) / (np.sqrt(second[name] / (1 - 0.99**k)) + 1e-6)
         return self
 
     def score(self, sequences: list[np.ndarray], batch: int = 256) -> np.ndarray:
         """log10 probability of each class sequence, to its end."""
         out = np.zeros(len(sequences))
+        (xt, ut, vt), bounded = self.turned(), self.bounded()
         order = sorted(range(len(sequences)), key=lambda k: -len(sequences[k]))
         for s in range(0, len(order), batch):
             rows = order[s : s + batch]
             sizes = np.array([len(sequences[k]) for k in rows])
-            h, last = np.zeros((len(rows), self.hidden), np.float32), np.full(len(rows), self.classes)
+            h, last, total = np.zeros((self.hidden, len(rows)), np.float32), np.full(len(rows), self.classes), np.zeros(len(rows))
             for at in range(0, int(sizes[0]), WINDOW):
                 n = int((sizes > at).sum())
                 wide = min(WINDOW, int(sizes[0]) - at)
-                y = np.zeros((wide, n), np.int64)
+                y = np.zeros((n, wide), np.int64)
                 for j in range(n):
                     piece = sequences[rows[j]][at : at + wide]
-                    y[: len(piece), j] = piece
+                    y[j, : len(piece)] = piece
+                y, h, places = np.ascontiguousarray(y.T), np.ascontiguousarray(h[:, :n]), np.arange(n)
                 mask = at + np.arange(wide)[:, None] < sizes[:n]
-                h, hs = h[:n], []
+                picked, sums = np.empty((2, wide, n), np.float32)
+                own = np.ones((self.hidden + 1, n), np.float32)
                 for t in range(wide):
-                    h = self.step(last[:n] if t == 0 else y[t - 1], h)[0]
-                    hs.append(h)
-                probs = self.log_probs(np.stack(hs))
-                picked = np.take_along_axis(probs, y[..., None], axis=2)[..., 0].astype(np.float64)
-                out[rows[:n]] += (picked * mask).sum(axis=0)
+                    own[:-1] = h = self.moved(xt[:, last[:n] if t == 0 else y[t - 1]], ut, h)[0]
+                    e = self.exponentials(vt @ own, bounded)
+                    picked[t], sums[t] = e[y[t], places], e.sum(axis=0)
+                total[:n] += (np.log(picked / sums).astype(np.float64) * mask).sum(axis=0)
                 last = y[-1]
+            out[rows] = total
         return out / np.log(10)
 
-
-def scored(docs: DataFrame, most_sample: int = 400_000, steps: int = 500) -> DataFrame:
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
+
+    def with_flat(self, values: np.ndarray) -> Gru:
+        new, at = Gru(self.classes, self.hidden), 0
+        for k in sorted(self.p):
+            size = self.p[k].size
+            new.p[k] = values[at : at + size].astype(np.float32).reshape(self.p[k].shape)
+            at += size
+        return new
+
+
+def trained(rows: DataFrame, tokens: int, steps: int) -> Gru:
+    """The model of all rows (doc_id, classes) with so many tokens: each is trained on."""
+    rounds = max(1, min(ROUNDS, -(-tokens // CELL)))
+    cells = max(1, -(-tokens // (CELL * rounds)))
+    model = Gru()
+    for k in range(rounds):
+
+        def task(batches: Iterator[pa.RecordBatch], k: int = k, model: Gru = model) -> Iterator[pa.RecordBatch]:
+            own = [np.frombuffer(x, np.uint8) for batch in batches for x in batch.column("classes").to_pylist()]
+            size = sum(map(len, own))
+            if size:
+                before = model.flat().astype(np.float64)
+                after = model.with_flat(before).fit(own, -(-steps * size // max(size, tokens)), done=k / rounds, part=1 / rounds).flat()
+                changes = np.rint((after - before) * size * 2.0**FIXED).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(changes), dtype=np.int32)), pa.array(np.append(size, changes))], names=["at", "value"])
+
+        own = rows.where(F.pmod(F.xxhash64(F.lit("round"), "doc_id", "classes"), F.lit(rounds)) == k)
+        own = own.repartition(cells, F.xxhash64("doc_id", "classes")).sortWithinPartitions("doc_id", "classes")
+        sums = own.mapInArrow(task, "at int, value long").groupBy("at").agg(F.sum("value").alias("value")).orderBy("at").toArrow()
+        if sums.num_rows:
+            size, *changes = sums.column("value").to_pylist()
+            model = model.with_flat(model.flat() + np.array(changes, np.float64) / (size * 2.0**FIXED))
+    return model
+
+
+def scored(docs: DataFrame, steps: int = 500) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
-    Counts are over all training documents. The GRU is fitted on training documents of up to
-    eight blocks (smallest hashes), `most_sample` tokens at most. Null and empty texts have the
-    end token only. Repeated rows are scored each; without training documents all words are unknown.
+    Counts are over all training documents, and the GRU is fitted on all of them: on each token at
+    least once, `steps` steps at least. Null and empty texts have the end token only. Repeated rows
+    are scored each; without training documents all words are unknown.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     blocks = written(in_blocks(docs, numbering, in_training), "blocks")
@@ -222,37 +329,30 @@ def scored(docs: DataFrame, most_sample: int = 400_000, steps: int = 500) -> Dat
     def looked_up(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         parts = [(n, opened(p).astype(np.int64), unpacked_bytes(w)) for n, w, p in numbered(left, right)]
         size = sum(len(p[0]) for p in parts)
-        c, cls = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        c, cls = np.zeros(size, np.int64), np.zeros(size, np.uint8)
         for numbers, own, words in parts:
             c[numbers] = own
             cls[numbers] = [counts.class_of(w, n) for w, n in zip(words, own.tolist(), strict=True)]
         return c, cls
 
-    names = [r.block for r in blocks.select("block").distinct().orderBy(F.xxhash64("block")).limit(8).collect()]
-    share = most_sample // max(1, len(names))
-
-    def sample(left: pa.Table, right: pa.Table) -> pa.Table:
-        _, cls = looked_up(left, right)
-        out, size = [], 0
-        for doc, training, numbers in documents_of(left):
-            if training and size < share:
-                out.append(cls[numbers].astype(np.uint8).tobytes())
-                size += len(out[-1])
-        return pa.table({"classes": pa.array(out, pa.binary())})
-
-    few = lambda rows: rows.where(F.col("block").isin(names) if names else F.lit(False))
-    found = assembled(few(blocks), few(payloads), sample, "classes binary").orderBy(F.xxhash64("classes"), "classes").collect()
-    model = Gru().fit([np.frombuffer(bytes(r.classes), np.uint8).astype(np.int64) for r in found], steps)
-
     def put(left: pa.Table, right: pa.Table) -> pa.Table:
         c, cls = looked_up(left, right)
         base, inside = np.log10((c + 1) / (counts.tokens + counts.words + 1)), counts.inside(cls, c)
         rows = list(documents_of(left))
-        score = model.score([cls[n] for _, _, n in rows]) + [inside[n].sum() for _, _, n in rows]
         return pa.table({
             "doc_id": pa.array([r[0] for r in rows], pa.int64()), "held_out": pa.array([not r[1] for r in rows]), "n_tokens": pa.array([len(r[2]) for r in rows], pa.int64()),
-            "n_known": pa.array([int((c[n] > 0).sum()) for _, _, n in rows], pa.int64()), "train_tokens": pa.array([counts.tokens] * len(rows), pa.int64()),
-            "base_score": pa.array([float(base[n].sum()) for _, _, n in rows]), "score": pa.array(score),
+            "n_known": pa.array([int((c[n] > 0).sum()) for _, _, n in rows], pa.int64()), "base_score": pa.array([float(base[n].sum()) for _, _, n in rows]),
+            "inside": pa.array([float(inside[n].sum()) for _, _, n in rows]), "classes": pa.array([cls[n].tobytes() for _, _, n in rows], pa.binary()),
         })
 
-    return assembled(blocks, payloads, put, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    rows = written(assembled(blocks, payloads, put, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, inside double, classes binary"), "classes")
+    model = trained(rows.where("not held_out").select("doc_id", "classes"), counts.tokens, steps)
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = model.score([np.frombuffer(x, np.uint8) for x in batch.column("classes").to_pylist()])
+            columns = {n: batch.column(n) for n in ("doc_id", "held_out", "n_tokens", "n_known")}
+            columns |= {"train_tokens": pa.array([counts.tokens] * len(found), pa.int64()), "base_score": batch.column("base_score")}
+            yield pa.RecordBatch.from_pydict(columns | {"score": pa.array(found + batch.column("inside").to_numpy())})
+
+    return rows.mapInArrow(scores, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

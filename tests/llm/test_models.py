@@ -39,6 +39,32 @@ def test_lm_counts_and_scores(spark):
     assert lm.scored(docs.limit(0)).collect() == []
 
 
+def test_gru_learns_from_all_training_documents(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}{e}" for i in range(30) for e in ("ab", "cd", "ef")]
+    rows = [(i, " ".join(rng.choices(words[i % 7 :: 7], k=rng.randrange(1, 60)))) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(lm, "CELL", 1500, raising=False)
+    some, one = (sorted(map(tuple, lm.scored(docs.repartition(n), steps=40).collect())) for n in (12, 1))
+    assert some[0][4] > 2 * 1500
+    assert np.allclose([x[6] for x in some], [x[6] for x in one], rtol=1e-6, atol=0)
+
+
+def test_gru_fit_goes_through_each_token(monkeypatch):
+    seen = Counter()
+    window = lm.Gru.train_window
+
+    def counted(self, x, y, mask, h):
+        seen.update(y[mask > 0].tolist())
+        return window(self, x, y, mask, h)
+
+    monkeypatch.setattr(lm.Gru, "train_window", counted)
+    rng = np.random.default_rng(4)
+    seqs = [rng.integers(0, 20, n) for n in (1, 900, 64, 33, 4001)]
+    lm.Gru(20, 4).fit(seqs, 1)
+    assert seen == Counter(np.concatenate(seqs).tolist())
+
+
 def test_gru_gradients_and_windows():
     model = lm.Gru(5, 4)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
