@@ -51,31 +51,32 @@ def worded(text: bytes) -> list[tuple[int, bytes]]:
     return [(i, x) for i, x in enumerate(text.split(b"\n")) if x and not x.isspace()]
 
 
-def characters(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def characters(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all lines in a row, and their starts."""
-    points = np.frombuffer("".join([x.decode() for x in lines]).encode("utf-32-le"), "<u4")
-    sizes = np.array([len(x.decode()) for x in lines])
-    return points, np.concatenate([[0], np.cumsum(sizes)])
+    points = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4")
+    return points, np.concatenate([[0], np.cumsum([len(x) for x in lines], dtype=np.int64)])
 
 
 def shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, owner): all character shingles of the lines; shorter lines are one shingle."""
-    points, start = characters([x.decode().ljust(SHINGLE, "\0").encode() if len(x) < SHINGLE * 4 and len(x.decode()) < SHINGLE else x for x in lines])
+    points, start = characters([x.decode().ljust(SHINGLE, "\0") for x in lines])
     h = np.concatenate([points.astype(np.uint64) + np.uint64(1), np.zeros(SHINGLE, np.uint64)])
     factor, width = int(FACTOR), 1
     while width < SHINGLE:  # polynomials of twice the length
-        h = h[:-width] * np.uint64(factor) + h[width:]
-        factor, width = factor * factor % (1 << 64), 2 * width
-    h = h[: len(points)]
-    sizes = np.diff(start)
-    owner = np.repeat(np.arange(len(lines)), sizes)
-    inside = np.arange(len(points)) - start[owner] <= sizes[owner] - SHINGLE
-    return mixed(h[inside]), owner[inside]
+        longer = h[:-width] * np.uint64(factor)
+        longer += h[width:]
+        h, factor, width = longer, factor * factor % (1 << 64), 2 * width
+    # None starts at the last places of a line.
+    inside = np.ones(len(points), bool)
+    inside[(start[1:, None] - np.arange(1, SHINGLE)).reshape(-1)] = False
+    return mixed(h[: len(points)][inside]), np.repeat(np.arange(len(lines)), np.diff(start) - (SHINGLE - 1))
 
 
 def distinct_shingles(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Sorted distinct (owner, hash) as one number: 22 bits of owner and 42 of hash."""
-    names = (owner.astype(np.uint64) << np.uint64(42)) | (hashes >> np.uint64(22))
+    names = owner.astype(np.uint64)
+    names <<= np.uint64(42)
+    names |= hashes >> np.uint64(22)
     names.sort()
     return names[np.concatenate([[True], names[1:] != names[:-1]])[: len(names)]]
 

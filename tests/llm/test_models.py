@@ -127,6 +127,18 @@ def test_line_dedup(spark):
     assert lines.dedup_lines(docs.limit(0)).collect() == []
 
 
+def test_shingles_of_mixed_lines():
+    texts = ["a", "abcdefgh", "é" * 7, "日本語のテキストです", "x" * 50, "\0", "abc def ghi jkl", "🙂" * 9]
+    hashes, owner = lines.shingles([t.encode() for t in texts])
+    wide = [t.ljust(lines.SHINGLE, "\0") for t in texts]
+    want = [(i, t[k : k + lines.SHINGLE]) for i, t in enumerate(wide) for k in range(len(t) - lines.SHINGLE + 1)]
+    assert owner.tolist() == [i for i, _ in want]
+    names = {}
+    assert all(names.setdefault(w, h) == h for (_, w), h in zip(want, hashes.tolist(), strict=True))
+    assert len(set(names.values())) == len(names)
+    assert all(len(x) == 0 for x in lines.shingles([]))
+
+
 def test_line_dedup_of_template_lines(spark):
     """Lines of one template, each with one near copy that is neither first nor next in its buckets."""
     rng = random.Random(16)
