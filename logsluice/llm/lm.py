@@ -126,93 +126,93 @@ class Gru:
         logits -= logits.max(axis=-1, keepdims=True)
         return logits - np.log(np.exp(logits).sum(axis=-1, keepdims=True))
 
-    def turned(self) -> tuple[np.ndarray, ...]:
-        """The parameters for states that stand in columns; those of the gates negated, the others doubled, as
-        moved() takes them: tanh(x) = 1 - 2 / (1 + exp(2 x))."""
-        sign = np.full(3 * self.hidden, 2, self.p["u"].dtype)
-        sign[: 2 * self.hidden] = -1
-        return np.ascontiguousarray((self.p["x"] * sign).T), np.ascontiguousarray((self.p["u"] * sign).T), np.vstack([self.p["v"], self.p["c"]]).T.copy()
+    def scaled(self) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """Input tables and state matrices of each gate as moved() takes them, those of the gates negated, the others
+        doubled (tanh(x) = 1 - 2 / (1 + exp(2 x))); and the output matrix with its constants as last row."""
+        parts = [(slice(g * self.hidden, (g + 1) * self.hidden), sign) for g, sign in enumerate((-1, -1, 2))]
+        one, two = ([np.ascontiguousarray(self.p[name][:, at]) * self.p[name].dtype.type(sign) for at, sign in parts] for name in "xu")
+        return one, two, np.vstack([self.p["v"], self.p["c"]])
 
     def exponentials(self, logits: np.ndarray, bounded: bool) -> np.ndarray:
-        """exp of the logits (classes, batch) in place, less their largest where they could overflow."""
+        """exp of the logits (batch, classes) in place, less their largest where they could overflow."""
         if not bounded:
-            logits -= logits.max(axis=0)
+            logits -= logits.max(axis=1, keepdims=True)
         return np.exp(logits, out=logits)
 
     def bounded(self) -> bool:
         """States are within -1 and 1, so logits have a bound."""
         return bool(np.abs(self.p["v"]).sum(axis=0).max() + np.abs(self.p["c"]).max() < 60)
 
-    def moved(self, a: np.ndarray, ut: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """step() with states in columns; a: the inputs' columns of the table, which it overwrites."""
-        k = self.hidden
-        u = ut @ h
-        zr, n, um = a[: 2 * k], a[2 * k :], u[2 * k :]
-        zr += u[: 2 * k]
+    def moved(self, tables: list[np.ndarray], gates: list[np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """step() on scaled() parameters. Each gate has arrays of its own, so that all of them lie in a row in memory."""
+        z, r, um = (h @ g for g in gates)
         with np.errstate(over="ignore"):  # its reciprocal is 0 there
-            np.exp(zr, out=zr)
-            zr += 1
-            np.reciprocal(zr, out=zr)
-            n += zr[k:] * um
+            for gate, own in ((z, tables[0]), (r, tables[1])):
+                gate += own.take(x, axis=0)
+                np.exp(gate, out=gate)
+                gate += 1
+                np.reciprocal(gate, out=gate)
+            n = r * um
+            n += tables[2].take(x, axis=0)
             np.exp(n, out=n)
         n += 1
         np.divide(-2, n, out=n)
         n += 1
         new = h - n
-        new *= zr[:k]
+        new *= z
         new += n
-        return new, zr[:k], zr[k:], n, um
+        return new, z, r, n, um
 
     def train_window(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
         """Gradients of one window (time, batch), back to its start; the state after it; the loss."""
-        (xt, ut, vt), bounded = self.turned(), self.bounded()
+        (tables, gates, outs), bounded = self.scaled(), self.bounded()
         (wide, batch), k, kind = x.shape, self.hidden, h.dtype
-        fresh = (x != self.classes).astype(kind)
-        before, after, kept = np.empty((k, wide, batch), kind), np.ones((k + 1, wide * batch), kind), []
-        h = np.ascontiguousarray(h.T)
+        fresh = (x != self.classes).astype(kind)[:, :, None]
+        before, after, kept = np.empty((wide, batch, k), kind), np.ones((wide * batch, k + 1), kind), []
         for t in range(wide):
-            h = h * fresh[t]
-            before[:, t] = h
-            rest = self.moved(xt[:, x[t]], ut, h)
-            kept.append((h, *rest[1:]))
+            h = np.multiply(h, fresh[t], out=before[t])
+            rest = self.moved(tables, gates, x[t], h)
+            kept.append(rest[1:])
             h = rest[0]
-            after[:k, t * batch : (t + 1) * batch] = h
+            after[t * batch : (t + 1) * batch, :k] = h
         share, wanted = (mask / max(1.0, float(mask.sum()))).astype(kind).reshape(-1), y.reshape(-1)
-        gv, loss, out = np.zeros_like(vt), 0.0, np.empty((k, wide * batch), kind)
+        gv, loss, out, ones = np.zeros_like(outs), 0.0, np.empty((wide * batch, k), kind), np.ones(self.classes, kind)
+        back_v = np.ascontiguousarray(self.p["v"].T)
         for s in range(0, wide * batch, SOFTMAX):
             to = min(s + SOFTMAX, wide * batch)
-            own, at = after[:, s:to], np.arange(to - s)
-            d = self.exponentials(vt @ own, bounded)
-            sums = d.sum(axis=0)
-            loss -= float((np.log(d[wanted[s:to], at] / sums) * share[s:to]).sum())
-            d *= share[s:to] / sums
-            d[wanted[s:to], at] -= share[s:to]
-            gv += d @ own.T
-            out[:, s:to] = self.p["v"] @ d
-        back, da, du = np.zeros_like(h), np.empty((wide, batch, 3 * k), kind), np.empty((3 * k, wide, batch), kind)
+            own, at = after[s:to], np.arange(to - s)
+            d = self.exponentials(own @ outs, bounded)
+            sums = d @ ones
+            loss -= float((np.log(d[at, wanted[s:to]] / sums) * share[s:to]).sum())
+            d *= (share[s:to] / sums)[:, None]
+            d[at, wanted[s:to]] -= share[s:to]
+            gv += own.T @ d
+            out[s:to] = d @ back_v
+        back, da, dn = np.zeros((batch, k), kind), np.empty((wide, batch, 3 * k), kind), np.empty((wide, batch, k), kind)
+        back_zr, back_n = (np.ascontiguousarray(u.T) for u in np.split(self.p["u"], [2 * k], axis=1))
         for t in reversed(range(wide)):
-            back += out[:, t * batch : (t + 1) * batch]
-            h0, z, r, m, um = kept[t]
-            own = np.empty((3 * k, batch), kind)
+            back += out[t * batch : (t + 1) * batch]
+            h0, (z, r, m, um), own = before[t], kept[t], da[t]
             rest = back * (1 - z)
-            np.multiply(rest, 1 - m * m, out=own[2 * k :])
+            new = rest * (1 - m * m)
             rest *= z
-            np.multiply(rest, h0 - m, out=own[:k])
-            np.multiply(own[2 * k :], um, out=own[k : 2 * k])
-            own[k : 2 * k] *= 0.5 * r * (1 - r)  # um is doubled
-            da[t] = own.T
-            own[2 * k :] *= r
-            du[:, t] = own
+            np.multiply(rest, h0 - m, out=own[:, :k])
+            um *= new
+            um *= 0.5 * r * (1 - r)  # um is doubled
+            own[:, k : 2 * k] = um
+            own[:, 2 * k :] = new
+            np.multiply(new, r, out=dn[t])
             back *= z
-            back += self.p["u"] @ own
+            back += own[:, : 2 * k] @ back_zr
+            back += dn[t] @ back_n
             back *= fresh[t]
-        flat = x.reshape(-1)
+        flat, da, before = x.reshape(-1), da.reshape(-1, 3 * k), before.reshape(-1, k)
         order = np.argsort(flat.astype(np.uint16), kind="stable")
         start = np.flatnonzero(np.diff(flat[order], prepend=-1))
         gx = np.zeros_like(self.p["x"])
-        gx[flat[order[start]]] = np.add.reduceat(da.reshape(-1, 3 * k)[order], start, axis=0)
-        gu = before.reshape(k, -1) @ du.reshape(3 * k, -1).T
-        return {"x": gx, "u": gu, "v": gv[:, :k].T, "c": gv[:, k]}, np.ascontiguousarray(h.T), loss
+        gx[flat[order[start]]] = np.add.reduceat(da.take(order, axis=0), start, axis=0)
+        gu = np.hstack([before.T @ da[:, : 2 * k], before.T @ dn.reshape(-1, k)])
+        return {"x": gx, "u": gu, "v": gv[:k], "c": gv[k]}, h, loss
 
     def fit(self, sequences: list[np.ndarray], steps: int = 500, batch: int = 0, window: int = 32, rate: float = 0.01, done: float = 0.0, part: float = 1.0) -> Gru:
         """Adam over windows of streams of documents, all tokens once and on until `steps`; a stream's
@@ -249,32 +249,51 @@ class Gru:
         return self
 
     def score(self, sequences: list[np.ndarray], batch: int = 256) -> np.ndarray:
-        """log10 probability of each class sequence, to its end."""
+        """log10 probability of each class sequence, to its end. Sequences stand one behind the other in up to
+        `batch` lanes, so that about as many are gone through at once whatever their lengths."""
         out = np.zeros(len(sequences))
-        (xt, ut, vt), bounded = self.turned(), self.bounded()
-        order = sorted(range(len(sequences)), key=lambda k: -len(sequences[k]))
-        for s in range(0, len(order), batch):
-            rows = order[s : s + batch]
-            sizes = np.array([len(sequences[k]) for k in rows])
-            h, last, total = np.zeros((self.hidden, len(rows)), np.float32), np.full(len(rows), self.classes), np.zeros(len(rows))
-            for at in range(0, int(sizes[0]), WINDOW):
-                n = int((sizes > at).sum())
-                wide = min(WINDOW, int(sizes[0]) - at)
-                y = np.zeros((n, wide), np.int64)
-                for j in range(n):
-                    piece = sequences[rows[j]][at : at + wide]
-                    y[j, : len(piece)] = piece
-                y, h, places = np.ascontiguousarray(y.T), np.ascontiguousarray(h[:, :n]), np.arange(n)
-                mask = at + np.arange(wide)[:, None] < sizes[:n]
-                picked, sums = np.empty((2, wide, n), np.float32)
-                own = np.ones((self.hidden + 1, n), np.float32)
-                for t in range(wide):
-                    own[:-1] = h = self.moved(xt[:, last[:n] if t == 0 else y[t - 1]], ut, h)[0]
-                    e = self.exponentials(vt @ own, bounded)
-                    picked[t], sums[t] = e[y[t], places], e.sum(axis=0)
-                total[:n] += (np.log(picked / sums).astype(np.float64) * mask).sum(axis=0)
-                last = y[-1]
-            out[rows] = total
+        order = sorted((k for k in range(len(sequences)) if len(sequences[k])), key=lambda k: -len(sequences[k]))
+        if not order:
+            return out
+        (tables, gates, outs), bounded, ones = self.scaled(), self.bounded(), np.ones(self.classes, np.float32)
+        ends, lanes = [(0, k) for k in range(min(batch, len(order)))], [[] for _ in range(min(batch, len(order)))]
+        for k in order:  # to the lane that ends first
+            size, lane = ends[0]
+            heapq.heapreplace(ends, (size + len(sequences[k]), lane))
+            lanes[lane].append(k)
+        lanes.sort(key=lambda own: -sum(len(sequences[k]) for k in own))
+        first = [np.cumsum([0, *(len(sequences[k]) for k in own)]) for own in lanes]
+        sizes, lines = np.array([f[-1] for f in first]), [np.concatenate([sequences[k] for k in own]) for own in lanes]
+        # Where a sequence starts: its time, then its lane.
+        starts = np.concatenate([np.stack([f[:-1], np.full(len(f) - 1, j)]) for j, f in enumerate(first)], axis=1)
+        starts = starts[:, np.argsort(starts[0], kind="stable")]
+        found = [np.empty(n, np.float32) for n in sizes]
+        h, last = np.zeros((len(lanes), self.hidden), np.float32), np.full(len(lanes), self.classes)
+        for at in range(0, int(sizes[0]), WINDOW):
+            n = int((sizes > at).sum())
+            wide = min(WINDOW, int(sizes[0]) - at)
+            y = np.zeros((n, wide), np.int64)
+            for j in range(n):
+                piece = lines[j][at : at + wide]
+                y[j, : len(piece)] = piece
+            y, h, places = np.ascontiguousarray(y.T), h[:n], np.arange(n)
+            x = np.vstack([last[:n], y[:-1]])
+            own_starts = starts[:, slice(*np.searchsorted(starts[0], [at, at + wide]))]
+            x[own_starts[0] - at, own_starts[1]] = self.classes
+            cuts = np.searchsorted(own_starts[0], np.arange(at, at + wide + 1)).tolist()
+            picked, sums = np.empty((2, wide, n), np.float32)
+            own = np.ones((n, self.hidden + 1), np.float32)
+            for t in range(wide):
+                if cuts[t] < cuts[t + 1]:
+                    h[own_starts[1, cuts[t] : cuts[t + 1]]] = 0
+                own[:, :-1] = h = self.moved(tables, gates, x[t], h)[0]
+                e = self.exponentials(own @ outs, bounded)
+                picked[t], sums[t] = e[places, y[t]], e @ ones
+            last = y[-1]
+            for j, row in enumerate(np.log(picked / sums).T):
+                found[j][at : at + wide] = row[: max(0, int(sizes[j]) - at)]
+        for own, f, values in zip(lanes, first, found, strict=True):
+            out[own] = np.add.reduceat(values.astype(np.float64), f[:-1])
         return out / np.log(10)
 
     def flat(self) -> np.ndarray:

@@ -92,6 +92,23 @@ def test_gru_gradients_and_windows():
     assert np.allclose(model.score(seq), want, atol=1e-3)
 
 
+def test_gru_steps_are_full_and_in_a_row_in_memory(monkeypatch):
+    moved, seen = lm.Gru.moved, []
+
+    def counted(*args):
+        out = moved(*args)
+        seen.append(all(x.flags.c_contiguous for x in out))
+        return out
+
+    monkeypatch.setattr(lm.Gru, "moved", counted)
+    rng, model = np.random.default_rng(3), lm.Gru(5, 4)
+    seqs = [rng.integers(0, 5, n) for n in (10, 0, 90, *[10] * 25)]
+    got = model.score(seqs, batch=4)
+    assert len(seen) == 90 and all(seen)  # 350 tokens in four lanes, the longest 90
+    assert np.allclose(got, [model.score([s])[0] for s in seqs])
+    assert model.score([]).tolist() == [] and model.score(seqs[1:2]).tolist() == [0]
+
+
 def brute_lines(rows):
     """First place of each component of lines with similar shingles."""
     places = [(d is None, d or 0, i, x) for d, t in rows for i, x in enumerate((t or "").split("\n")) if x.strip(" \t\n\r\x0b\x0c")]
