@@ -14,6 +14,7 @@ Joins are merge joins at every size: no side of them has a bound that would allo
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ PART = 20_000
 CHUNK, HELD, BUCKET = 256 << 10, 4 << 20, 32 << 20
 #: Lines times shingles of a band that are compared as one table.
 DENSE = 4 << 20
+#: An empty bin of a signature looks at the others fewer times than this.
+TRIES = 400
 #: Lines link at UP * intersection >= DOWN * union.
 UP, DOWN = 100, 75
 
@@ -60,7 +63,9 @@ def characters(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, owner): all character shingles of the lines; shorter lines are one shingle."""
     points, start = characters([x.decode().ljust(SHINGLE, "\0") for x in lines])
-    h = np.concatenate([points.astype(np.uint64) + np.uint64(1), np.zeros(SHINGLE, np.uint64)])
+    h = np.zeros(len(points) + SHINGLE, np.uint64)
+    h[: len(points)] = points
+    h[: len(points)] += np.uint64(1)
     factor, width = int(FACTOR), 1
     while width < SHINGLE:  # polynomials of twice the length
         longer = h[:-width] * np.uint64(factor)
@@ -81,34 +86,45 @@ def distinct_shingles(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return names[np.concatenate([[True], names[1:] != names[:-1]])[: len(names)]]
 
 
+@functools.cache
+def other_bins(bins: int) -> np.ndarray:
+    """(tries, bins): the bin that a hash of a bin's number and a try points to; from the first try on."""
+    tries = np.arange(1, TRIES, dtype=np.uint64) << np.uint64(20)
+    return (mixed(np.arange(bins, dtype=np.uint64) + tries[:, None]) % np.uint64(bins)).astype(np.int64)
+
+
 def least_hashes(lines: list[bytes], bins: int) -> tuple[np.ndarray, np.ndarray]:
-    """(the least hash of each bin, a row a line; number of distinct shingles of each line)."""
+    """(the least hash of each bin, a row a line; number of distinct shingles of each line). bins: a power of two.
+
+    One sort gives both: by 22 bits of owner, the bin (leading bits of the hash), its lower half, and what bits are left."""
     hashes, owner = shingles(lines)
-    n = len(lines)
-    sizes = np.bincount((distinct_shingles(hashes, owner) >> np.uint64(42)).astype(np.int64), minlength=n)
+    n, high = len(lines), bins.bit_length() - 1
+    names = owner.astype(np.uint64)
+    names <<= np.uint64(high)
+    names |= hashes >> np.uint64(64 - high)
+    names <<= np.uint64(32)
+    names |= hashes & np.uint64(0xFFFFFFFF)
+    names <<= np.uint64(10 - high)
+    hashes <<= np.uint64(high)
+    names |= hashes >> np.uint64(54 + high)
+    names.sort()
+    names = names[np.concatenate([[True], names[1:] != names[:-1]])[: len(names)]]
+    own = (names >> np.uint64(42 - high)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])[: len(own)])
+    sizes = np.bincount((own[first] >> high), np.diff(np.append(first, len(own))), minlength=n).astype(np.int64)
     least = np.full(n * bins, ~np.uint64(0))
-    own = ((hashes >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
-    np.minimum.at(least, owner * bins + own.astype(np.int64), hashes & np.uint64(0xFFFFFFFF))
-    least = least.reshape(n, bins)
-    # An empty bin takes the value of a bin that a hash of its number and a try points to.
-    rows = np.flatnonzero((least == ~np.uint64(0)).any(axis=1))
-    source = least[rows]
-    filled = source != ~np.uint64(0)
-    now = source.copy()
-    open_ = ~filled
-    for attempt in range(1, 400):
-        if not len(rows):
-            break
-        to = (mixed(np.arange(bins, dtype=np.uint64) + np.uint64(attempt << 20)) % np.uint64(bins)).astype(np.int64)
-        take = open_ & filled[:, to]
-        now = np.where(take, source[:, to] + np.uint64(attempt << 32), now)
-        open_ &= ~take
-        going = open_.any(axis=1)
-        if not going.all():
-            least[rows[~going]] = now[~going]
-            rows, source, filled, now, open_ = rows[going], source[going], filled[going], now[going], open_[going]
-    least[rows] = now
-    return least, sizes
+    least[own[first]] = (names[first] >> np.uint64(10 - high)) & np.uint64(0xFFFFFFFF)
+    # An empty bin takes the value of the first full bin that its tries point to; ever more tries are looked at at once.
+    filled = least != ~np.uint64(0)
+    empty, tries, at, many = np.flatnonzero(~filled), other_bins(bins), 0, 1
+    while len(empty) and at < len(tries):
+        to = (empty & -bins) + tries[at : at + many, empty & (bins - 1)]
+        full = filled[to]
+        step, found = full.argmax(axis=0), full.any(axis=0)
+        took = np.flatnonzero(found)
+        least[empty[took]] = least[to[step[took], took]] + ((step[took] + at + 1).astype(np.uint64) << np.uint64(32))
+        empty, at, many = empty[~found], at + many, min(2 * many, 32)
+    return least.reshape(n, bins), sizes
 
 
 def bands(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -183,6 +199,13 @@ def shared_bands(rows: DataFrame) -> DataFrame:
     schema = pa.schema([("band", pa.int64()), ("line", pa.int64()), ("n", pa.int32()), ("other", pa.int64())])
 
     def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # Rows alone in their band go before the rest is sorted.
+        order = np.argsort(rows["band"])
+        band = rows["band"][order]
+        alone = np.concatenate([[True], band[1:] != band[:-1], [True]])
+        rows = rows[order[~(alone[1:] & alone[:-1])]]
+        if not len(rows):
+            return
         rows = rows[np.lexsort((rows["line"], rows["n"], rows["band"]))]
         band, line, n = rows["band"], rows["line"], rows["n"].astype(np.int64)
         # A line that several tasks sent stands in a row.
@@ -195,7 +218,9 @@ def shared_bands(rows: DataFrame) -> DataFrame:
         at = np.flatnonzero(~new)
         x, y = np.concatenate([first[at], at - 1]), np.concatenate([at, at])
         fits = sizes_allow(n[x], n[y])
-        pairs = np.unique(np.sort(np.stack([line[x[fits]], line[y[fits]]]), axis=0), axis=1)
+        pairs = np.sort(np.stack([line[x[fits]], line[y[fits]]]), axis=0)
+        pairs = pairs[:, np.lexsort((pairs[1], pairs[0]))]
+        pairs = pairs[:, np.concatenate([[True], (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)])[: pairs.shape[1]]]
         yield pa.RecordBatch.from_arrays([pa.array(band[many].view(np.int64)), pa.array(line[many]), pa.array(n[many].astype(np.int32)), pa.nulls(int(many.sum()), pa.int64())], schema=schema)
         none = pairs.shape[1]
         yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64()), pa.array(pairs[0]), pa.nulls(none, pa.int32()), pa.array(pairs[1])], schema=schema)
@@ -306,32 +331,37 @@ def joining_links(rows: DataFrame) -> DataFrame:
     """The links between lines of a band that join their components: fewer than the band has lines.
 
     Each line counts the shingles that it shares with every line before it: by a product of a small
-    table, else from lists of the lines that have a shingle. Lines that are joined by then are not looked at.
+    table of the shingles that several lines have, else from lists of the lines that have a shingle.
+    Lines that are joined by then are not looked at.
     """
 
-    def shared_with(token: np.ndarray, first: np.ndarray) -> Callable[[int], np.ndarray]:
-        """A function of i: how many shingles line i shares with each line before it."""
-        lines, kinds = len(first) - 1, int(token.max()) + 1
-        owner = np.repeat(np.arange(lines), np.diff(first))
+    def shared_with(token: np.ndarray, owner: np.ndarray, lines: int) -> Callable[[int], np.ndarray]:
+        """A function of i: how many shingles line i shares with each line before it. token: sorted."""
+        kinds = int(token[-1]) + 1 if len(token) else 0
         if lines * kinds <= DENSE:
             table = np.zeros((lines, kinds), np.float32)
             table[owner, token] = 1
             counts = (table @ table.T).astype(np.int64)
             return lambda i: counts[i, :i]
-        order = np.argsort(token, kind="stable")
-        lists, start = owner[order], np.searchsorted(token[order], np.arange(kinds + 1))
+        start, order = np.searchsorted(token, np.arange(kinds + 1)), np.argsort(owner, kind="stable")
+        by_line, first = token[order], np.searchsorted(owner[order], np.arange(lines + 1))
 
         def one(i: int) -> np.ndarray:
-            own = token[first[i] : first[i + 1]].tolist()
-            return np.bincount(np.concatenate([lists[start[t] : start[t + 1]] for t in own]), minlength=lines)[:i]
+            own = by_line[first[i] : first[i + 1]].tolist()
+            return np.bincount(np.concatenate([owner[:0], *(owner[start[t] : start[t + 1]] for t in own)]), minlength=lines)[:i]
 
         return one
 
     def probe(names: np.ndarray, first: np.ndarray, part: np.ndarray) -> list[tuple[int, int]]:
         """Pairs of lines of a band; names: their distinct shingles, from first[i] on those of line i."""
         size = np.diff(first)
-        _, token = np.unique(names & np.uint64((1 << 42) - 1), return_inverse=True)
-        shared, root, found = shared_with(token, first), np.unique(part, return_inverse=True)[1], []
+        names = names & np.uint64((1 << 42) - 1)
+        order = np.argsort(names)
+        ordered = names[order]
+        ends = np.concatenate([[True], ordered[1:] != ordered[:-1], [True]])
+        several = np.flatnonzero(~(ends[1:] & ends[:-1]))
+        token, owner = np.cumsum(ends[several]) - 1, np.repeat(np.arange(len(size)), size)[order[several]]
+        shared, root, found = shared_with(token, owner, len(size)), np.unique(part, return_inverse=True)[1], []
         for i in range(1, len(size)):
             other = root[:i] != root[i]
             if other.any():

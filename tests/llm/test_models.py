@@ -144,6 +144,38 @@ def test_line_dedup(spark):
     assert lines.dedup_lines(docs.limit(0)).collect() == []
 
 
+def test_joining_links_by_shared_shingles(spark, monkeypatch):
+    rng = random.Random(9)
+    line = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    base = [line(300) for _ in range(6)]
+    texts = [*base, *(x[:-9] + line(9) for x in base[:4]), *(line(40) for _ in range(30)), "a", "a" * 400]
+    rows = spark.createDataFrame([(band, k, t.encode()) for band in (1, 2) for k, t in enumerate(texts)], "band long, part long, text binary")
+    want = {tuple(lines.key_of(t.encode()) for t in (x, y)) for x, y in zip(base[:4], texts[6:10])}
+    for dense in (1 << 16, 0):  # a table, and lists
+        monkeypatch.setattr(lines, "DENSE", dense)
+        assert {(bytes(r.a), bytes(r.b)) for r in lines.joining_links(rows).collect()} == want
+
+
+def test_signatures_by_one_sort(monkeypatch):
+    rng = random.Random(8)
+    texts = ["a", "b" * 40, "ééé", *("".join(rng.choice("abc é🙂") for _ in range(n)) for n in (9, 12, 60, 300, 2000))]
+    sorts, distinct = [], lines.distinct_shingles
+    monkeypatch.setattr(lines, "distinct_shingles", lambda *x: sorts.append(1) or distinct(*x))
+    least, sizes = lines.least_hashes([t.encode() for t in texts], 64)
+    assert not sorts  # sizes and least hashes come from the same sort
+    hashes, owner = lines.shingles([t.encode() for t in texts])
+    for i in range(len(texts)):
+        own = sorted({int(h) for h in hashes[owner == i]})
+        assert sizes[i] == len(own)
+        full = {}
+        for h in own:
+            full[h >> 58] = min(h & 0xFFFFFFFF, full.get(h >> 58, 1 << 32))
+        for k in range(64):
+            tries = (int(lines.mixed(np.array([k + (a << 20)], np.uint64))[0]) % 64 for a in range(1, 400))
+            want = full.get(k) if k in full else next((full[x] + (a << 32) for a, x in enumerate(tries, 1) if x in full), (1 << 64) - 1)
+            assert int(least[i, k]) == want
+
+
 def test_shingles_of_mixed_lines():
     texts = ["a", "abcdefgh", "é" * 7, "日本語のテキストです", "x" * 50, "\0", "abc def ghi jkl", "🙂" * 9]
     hashes, owner = lines.shingles([t.encode() for t in texts])
