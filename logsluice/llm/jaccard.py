@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsluice.llm.common import WordHashes, bit_filter, column, components, filter_bits, maybe_in, mixed, shingle_hashes, texts_of, written
+from logsluice.llm.common import bit_filter, column, components, filter_bits, maybe_in, mixed, shingle_sets, spread, sums_of, texts_of, written
 
 #: Two sets link when UP * intersection >= DOWN * union.
 UP, DOWN = 100, 75
@@ -33,9 +33,9 @@ BLOCK = 128
 SKETCH, NEAR, PART_BYTES = 3, 0.5, 32 << 20
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """bytes.lower() changes A-Z only; split() splits at the white space of the word pattern."""
-    return text.lower().split()
+def signs(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes of sets that lie one after the other."""
+    return sums_of(mixed(tokens), sizes).view(np.int64), sums_of(mixed(tokens ^ np.uint64(0x5BD1E995)), sizes).view(np.int64)
 
 
 def set_rows(docs: DataFrame, n: int) -> DataFrame:
@@ -44,7 +44,7 @@ def set_rows(docs: DataFrame, n: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sketch", pa.binary()), ("token", pa.int64()), ("count", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, kept, held = WordHashes(), [], 0
+        kept, held = [], 0
 
         def frequent() -> pa.RecordBatch:
             tokens, counts = np.unique(np.concatenate(kept), return_counts=True)
@@ -54,27 +54,27 @@ def set_rows(docs: DataFrame, n: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(at), pa.binary()), pa.array(tokens[at].view(np.int64)), pa.array(counts[at])], schema=schema)
 
         for batch in batches:
-            sizes, s1, s2, sketches = [], [], [], []
-            for text in texts_of(batch):
-                tokens = shingle_hashes(words_of(text), hashes, n)
-                sizes.append(len(tokens))
-                s1.append(int(mixed(tokens).sum(dtype=np.uint64).view(np.int64)))
-                s2.append(int(mixed(tokens ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64).view(np.int64)))
-                sketches.append((tokens[: -(-len(tokens) // SKETCH)] >> np.uint64(32)).astype("<u4").tobytes())
+            done = 0
+            for tokens, sizes in shingle_sets(texts_of(batch), n):
+                few = -(-sizes // SKETCH)
+                sketch = (tokens[spread(np.cumsum(sizes) - sizes, few)] >> np.uint64(32)).astype("<u4")
+                ends = np.append(0, 4 * np.cumsum(few)).astype(np.int32)
+                sketches = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(sketch)])
+                none = pa.nulls(len(sizes), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, len(sizes)), pa.array(sizes), *map(pa.array, signs(tokens, sizes)), sketches, none, none], schema=schema)
+                done += len(sizes)
                 kept.append(tokens)
                 held += len(tokens)
-            none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sketches, pa.binary()), none, none], schema=schema)
-            if held >= FLUSH:
-                yield frequent()
-                kept, held = [], 0
+                if held >= FLUSH:
+                    yield frequent()
+                    kept, held = [], 0
         if kept:
             yield frequent()
 
     return docs.mapInArrow(task, "doc_id long, n_shingles long, s1 long, s2 long, sketch binary, token long, count long")
 
 
-def prefix_length(n: int) -> int:
+def prefix_length(n):
     """A partner shares one of so many first tokens: it has at least ceil(0.75 n) of all."""
     return n - -(-DOWN * n // UP) + 1
 
@@ -87,27 +87,40 @@ def index_rows(docs: DataFrame, heavy: np.ndarray, ranks: np.ndarray, n: int) ->
     names = ["token", "doc_id", "n", "rest"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, met = WordHashes(), set()
+        met: set[tuple[int, int, int]] = set()
+        # By their first bits, most tokens are known not to be frequent.
+        some = np.zeros(1 << 20, bool)
+        some[heavy >> np.uint64(44)] = True
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            for doc, text in zip(column(batch, "doc_id"), texts_of(batch), strict=True):
-                tokens = shingle_hashes(words_of(text), hashes, n)
-                k = len(tokens)
-                sign = (k, int(mixed(tokens).sum(dtype=np.uint64)), int(mixed(tokens ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64)))
-                if not k or doc is None or sign in met:
+            docs_, done = column(batch, "doc_id"), 0
+            for tokens, sizes in shingle_sets(texts_of(batch), n):
+                own = docs_[done : done + len(sizes)]
+                done += len(sizes)
+                new = np.zeros(len(sizes), bool)
+                for k, (doc, *sign) in enumerate(zip(own, sizes.tolist(), *(x.tolist() for x in signs(tokens, sizes)), strict=True)):
+                    if sign[0] and doc is not None and (sign := tuple(sign)) not in met:
+                        met.add(sign)
+                        new[k] = True
+                if not new.any():
                     continue
-                met.add(sign)
-                rank = np.zeros(k, np.int64)
-                if len(heavy):
-                    at = np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)
-                    rank = np.where(heavy[at] == tokens, ranks[at], 0)
-                ordered = tokens[np.argsort(rank, kind="stable")[: prefix_length(k)]]
-                out[0].append(ordered.view(np.int64))
-                out[1].append(np.full(len(ordered), doc, np.int64))
-                out[2].append(np.full(len(ordered), k, np.int32))
-                out[3].append(np.arange(k - 1, k - 1 - len(ordered), -1, dtype=np.int32))
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
+                tokens, sizes = tokens[np.repeat(new, sizes)], sizes[new]
+                doc = np.array([d for d, x in zip(own, new.tolist(), strict=True) if x], np.int64)
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                rank = np.zeros(len(tokens), np.int64)
+                maybe = np.flatnonzero(some[tokens >> np.uint64(44)])
+                if len(maybe):
+                    at = np.minimum(np.searchsorted(heavy, tokens[maybe]), len(heavy) - 1)
+                    rank[maybe] = np.where(heavy[at] == tokens[maybe], ranks[at], 0)
+                rare, often = np.flatnonzero(rank == 0), np.flatnonzero(rank)
+                often = often[np.lexsort((rank[often], owner[often]))]
+                # Place of each token in its set's order, rare ones first.
+                n_rare = np.bincount(owner[rare], minlength=len(sizes))
+                order = np.concatenate([rare, often])
+                place = np.concatenate([spread(np.zeros(len(sizes), np.int64), n_rare), spread(n_rare, sizes - n_rare)])
+                kept = place < prefix_length(sizes)[owner[order]]
+                order, place = order[kept], place[kept]
+                k = sizes[owner[order]]
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[order].view(np.int64)), pa.array(doc[owner[order]]), pa.array(k.astype(np.int32)), pa.array((k - 1 - place).astype(np.int32))], names=names)
 
     return docs.mapInArrow(task, "token long, doc_id long, n int, rest int")
 
@@ -355,6 +368,11 @@ def open_pairs(lists: DataFrame, known: DataFrame, settled: DataFrame, most: int
     return ordered.mapInArrow(task, "a long, b long").distinct()
 
 
+def set_list(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """The shingle hashes of each text, sorted."""
+    return [x for tokens, sizes in shingle_sets(texts, n) for x in np.split(tokens, np.cumsum(sizes)[:-1])]
+
+
 def compared(pairs: DataFrame, docs: DataFrame, n: int, judge: Callable, schema: str) -> DataFrame:
     """Rows of judge((a, b, set of a, set of b) of a batch's pairs), with schema. docs: (doc_id, text)."""
     texts = named_by(pairs, docs).groupBy("doc_id").agg(F.min("text").alias("text"))
@@ -362,14 +380,18 @@ def compared(pairs: DataFrame, docs: DataFrame, n: int, judge: Callable, schema:
     both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-
         def sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
             last, own = None, np.empty(0, np.uint64)
-            for a, b, x, y in zip(column(batch, "a"), column(batch, "b"), texts_of(batch, "text_a"), texts_of(batch, "text_b"), strict=True):
-                if a != last:
-                    last, own = a, shingle_hashes(words_of(x), hashes, n)
-                yield a, b, own, shingle_hashes(words_of(y), hashes, n)
+            for s in range(0, batch.num_rows, 256):
+                some = batch.slice(s, 256)
+                a, x = column(some, "a"), texts_of(some, "text_a")
+                new = [p != q for p, q in zip(a, [last, *a], strict=False)]
+                found = iter(set_list([t for t, is_new in zip(x, new, strict=True) if is_new] + texts_of(some, "text_b"), n))
+                owns = iter([next(found) for is_new in new if is_new])
+                for i, j, is_new, y in zip(a, column(some, "b"), new, found, strict=True):
+                    if is_new:
+                        last, own = i, next(owns)
+                    yield i, j, own, y
 
         for batch in batches:
             yield judge(sets(batch))

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from logsluice.llm import jaccard
-from logsluice.llm.common import components
+from logsluice.llm.common import LONG, PIECE, components, shingle_sets
 
 
 def brute(rows, n=5):
@@ -106,6 +106,26 @@ def test_sketches_never_understate(spark):
             assert jaccard.most_shared(cut(x), len(x), cut(y), len(y)) >= len(np.intersect1d(x, y))
 
 
+def test_sets_of_many_texts_at_once_are_those_of_each():
+    rng = random.Random(6)
+    words = [b"a", b"A", b"ab", b"ba", b"aB", "é".encode(), "É".encode(), b"x" * LONG, b"X" * LONG + b"y", b"x" * LONG + b"z", b"q" * (2 * PIECE), b"Q" * (2 * PIECE)]
+    some = lambda n, most: b"".join(rng.choice(words[:most]) + rng.choice([b" ", b"\t", b"\n\v", b"\f \r", "\u00a0".encode()]) for _ in range(n))
+    texts = [b"", b" \n", b"a", b"A ", b"one two three four", *(some(rng.randrange(9), 10) for _ in range(300)), some(30, 12), b"w " * PIECE, some(PIECE, 10), *(some(rng.randrange(60), 10) for _ in range(300))]
+    for most in (1, 5_000, 1 << 30):
+        found = [x for tokens, sizes in shingle_sets(texts, 5, most) for x in np.split(tokens, np.cumsum(sizes)[:-1])]
+        assert len(found) == len(texts)
+        for text, got in zip(texts, found, strict=True):
+            w = text.lower().split()
+            want = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+            assert len(got) == len(want) and (np.diff(got.astype(object)) > 0).all()
+        flat = [set(x.tolist()) for x in found[:305]]
+        plain = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for t in texts[:305]]
+        for _ in range(3_000):
+            i, j = rng.randrange(305), rng.randrange(305)
+            assert len(flat[i] & flat[j]) == len(plain[i] & plain[j])
+    assert list(shingle_sets([])) == []
+
+
 @settings(max_examples=4, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 60)), min_size=1, max_size=60))
 def test_components_of_any_graph(spark, edges):
